@@ -31,6 +31,24 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(read(spark, sf_dir, "documents"), tokenizer_path(PIECES))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.token_files import token_files
+
+    return token_files(read(spark, sf_dir, "documents"), tokenizer_path(BPE_JSON))
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.mixing import mix
+
+    return mix(read(spark, sf_dir, "documents"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.fingerprints import fingerprints
+
+    return fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.token_counts import token_counts
 
@@ -44,8 +62,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op9_token_counts, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_token_files, op4_mix_sources, op5_fingerprints, op9_token_counts, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tidemark.llm import mixing
+
+    return {"op4_mix_sources": mixing.ORACLE_SQL}

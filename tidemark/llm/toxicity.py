@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import LONG_WORD, arrow, documents, fold, lower_ascii, slices
 
-SAMPLE = 12_000  #: labelled rows used for training, at most
+SAMPLE = 8_000  #: labelled rows used for training, at most
 FEATURES = 8192  #: features kept by the screen, at most
 BITS = 22
 MEMO = 250_000
@@ -73,12 +73,8 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def _rows(docs: list[set[bytes]], memo: dict[bytes, tuple[int, ...]]) -> list[np.ndarray]:
-    out = []
-    for ws in docs:
-        got = np.fromiter((f for w in ws for f in (memo.get(w) or memo.setdefault(w, features_of(w)))), np.int64)
-        out.append(np.unique(got))
-    return out
+def _row(words: set[bytes]) -> np.ndarray:
+    return np.unique(np.fromiter((f for w in words for f in features_of(w)), np.uint32))
 
 
 def train(texts: list[bytes], toxic: np.ndarray, penalty: float = 1.0, decay: float = 0.02, steps: int = 300) -> Model:
@@ -88,28 +84,35 @@ def train(texts: list[bytes], toxic: np.ndarray, penalty: float = 1.0, decay: fl
     bias = float(np.log(share / (1 - share)))
     if not len(y) or y.min() == y.max():
         return Model(bias, {})
-    words = [words_of(t) for t in texts]
-    memo: dict[bytes, tuple[int, ...]] = {}
-    rows = _rows(words, memo)
+    rows, pairs = [], []
+    for i, t in enumerate(texts):
+        words = words_of(t)
+        rows.append(_row(words))
+        pairs += [(i, _row(s)) for s in swaps(words)]
     n = 1 << BITS
-    df = lambda keep: sum((np.bincount(np.concatenate(rows_), minlength=n) for rows_ in [[r for r, k in zip(rows, keep, strict=True) if k]] if rows_), np.zeros(n, np.int64))
-    p, q = df(y == 1), df(y == 0)
+    p, q = np.zeros(n, np.int32), np.zeros(n, np.int32)
+    for r, one in zip(rows, y, strict=True):
+        (p if one else q)[r] += 1  # a row's features are distinct
     np_, nq = (y == 1).sum(), (y == 0).sum()
-    z = (np.log((p + 0.5) / (np_ - p + 0.5)) - np.log((q + 0.5) / (nq - q + 0.5))) / np.sqrt(1 / (p + 0.5) + 1 / (q + 0.5))
-    sure = np.flatnonzero(((p >= 2) & (z > 2.5)) | (z < -5))
+    z = np.zeros(n, np.float32)
+    some = np.flatnonzero(p + q)
+    p, q = p[some], q[some]
+    z[some] = (np.log((p + 0.5) / (np_ - p + 0.5)) - np.log((q + 0.5) / (nq - q + 0.5))) / np.sqrt(1 / (p + 0.5) + 1 / (q + 0.5))
+    many = np.zeros(n, bool)
+    many[some] = p >= 2
+    sure = np.flatnonzero((many & (z > 2.5)) | (z < -5))
     chosen = np.sort(sure[np.argsort(-np.abs(z[sure]), kind="stable")[:FEATURES]])
     if not len(chosen):
         return Model(bias, {})
-    place = np.full(n, -1, np.int64)
+    place = np.full(n, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
 
     def matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        cols = [place[r][place[r] >= 0] for r in rows]
-        return np.repeat(np.arange(len(rows)), [len(c) for c in cols]), np.concatenate([*cols, np.zeros(0, np.int64)])
+        cols = [c[c >= 0] for c in (place[r] for r in rows)]
+        return np.repeat(np.arange(len(rows)), [len(c) for c in cols]), np.concatenate([*cols, np.zeros(0, np.int32)])
 
-    pairs = [(i, s) for i, ws in enumerate(words) for s in swaps(ws)]
     ri, ci = matrix(rows)
-    si, sj = matrix(_rows([s for _, s in pairs], memo))
+    si, sj = matrix([r for _, r in pairs])
     base = np.array([i for i, _ in pairs], np.int64)
     k, w, b = len(chosen), np.zeros(len(chosen)), bias
     m, v = np.zeros(k + 1), np.zeros(k + 1)
