@@ -49,6 +49,12 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.exact_dedup import exact_dedup
+
+    return exact_dedup(read(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.token_counts import token_counts
 
@@ -62,10 +68,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_token_files, op4_mix_sources, op5_fingerprints, op9_token_counts, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_token_files, op4_mix_sources, op5_fingerprints, op6_exact_dedup, op9_token_counts, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidemark.llm import mixing
+    from tidemark.llm import exact_dedup, mixing
 
-    return {"op4_mix_sources": mixing.ORACLE_SQL}
+    return {"op4_mix_sources": mixing.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL}
