@@ -55,6 +55,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.lm_scores import lm_scores
+
+    return lm_scores(read(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.token_counts import token_counts
 
@@ -68,7 +74,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_token_files, op4_mix_sources, op5_fingerprints, op6_exact_dedup, op9_token_counts, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_token_files, op4_mix_sources, op5_fingerprints, op6_exact_dedup, op7_lm_scores, op9_token_counts, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

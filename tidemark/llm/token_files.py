@@ -7,28 +7,28 @@ write atomic and any store that Spark reaches will do. Shards are ranges of doc_
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import rans
+from tidemark.llm.blocks import mix
 from tidemark.llm.common import arrow, documents, partitions_for, shared_dir, slices
 from tidemark.llm.ordered import packed, range_ends, unpacked
 
 CHUNK_TOKENS = 1 << 21  #: a chunk ends with the document that reaches this many ids
-MEMO = 250_000  #: pieces in a generation of what a worker remembers
-_ODD = re.compile(r" (?:\s|\Z)")
-_WHITE = re.compile(r"\s")
-_CUT = re.compile(r" (?=\S)")
+PIECES = 1_500_000  #: pieces a worker remembers before it starts afresh, about 100 MB
+#: bytes that may follow a space at which a text is cut: not white space, nor a lead byte of characters among which some is
+_CUT = np.array([not (0x09 <= b <= 0x0D or 0x1C <= b <= 0x20 or b in (0xC2, 0xE1, 0xE2, 0xE3)) for b in range(256)])
+_PLAIN = re.compile(rb" [^\x09-\x0D\x1C-\x20<\xC2\xE1-\xE3]+", re.DOTALL)
 FILE_SCHEMA = "shard int, chunk int, before long, n_docs int, n_tokens long, doc_ids binary, lengths binary, payload binary"
 _FILE = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("payload", pa.binary())])
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -38,9 +38,9 @@ _NULL_ID = -(1 << 63)
 
 class Encoder:
     """A tokenizers file. With byte-level splitting, no token crosses a space that a non-space follows, so texts are cut
-    there and pieces met before aren't encoded again; other kinds of tokenizer get whole texts."""
+    there, and pieces met before are looked up by a 64-bit hash of their bytes; other kinds of tokenizer get whole texts."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, pieces: int = PIECES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -49,102 +49,203 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and not any(t.get("lstrip") or t.get("rstrip") or " " in t["content"] for t in spec.get("added_tokens", []))
-        #: bytes of each token's text
         shown = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.width = np.zeros(max(shown.values()) + 1, np.int64)
+        self.width = np.zeros(max(shown.values()) + 1, np.int64)  # bytes of each token's text
         self.width[list(shown.values())] = [len(t) for t in shown]
-        if self.by_piece:
-            marks = dict(zip(".,", self._encode([".", ","]), strict=True))
-            self.first, self.rest = Memo(self._encode, marks), Memo(lambda texts: self._joined([" " + t for t in texts]), marks)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), 4096):
-            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
-        return out
+        self.memo = PieceMemo(self._pieces, pieces)
 
-    def _joined(self, texts: list[str]) -> list[bytes]:
-        """The same for pieces that start with a space: those without other white space are encoded in one go, and the ids
-        dealt back by the bytes that each token stands for."""
-        plain = [not _WHITE.search(t, 1) and "<" not in t for t in texts]
-        out = [b""] * len(texts)
-        odd = [i for i, ok in enumerate(plain) if not ok]
-        for i, x in zip(odd, self._encode([texts[i] for i in odd]), strict=True):
-            out[i] = x
-        where = [i for i, ok in enumerate(plain) if ok]
-        for at in range(0, len(where), 8192):
-            part = where[at : at + 8192]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(texts[i] for i in part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum([len(texts[i].encode()) for i in part])
-            cuts = np.searchsorted(np.cumsum(self.width[ids]), ends, "right").tolist()
-            flat, a = ids.tobytes(), 0
-            for i, b in zip(part, cuts, strict=True):
-                out[i] = flat[4 * a : 4 * b]
-                a = b
-        return out
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed 32-bit ids of each text."""
+    def _pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in a row, number of ids of each). Pieces that start with a space and hold no other white space
+        are encoded in one go, and the ids dealt back by the bytes that each token stands for."""
+        counts, parts = np.zeros(len(pieces), np.int64), []
+        plain = [_PLAIN.fullmatch(p) is not None for p in pieces]
+        at = 0
+        while at < len(pieces):
+            to = at + 1
+            if plain[at]:
+                while to < len(pieces) and plain[to] and to - at < 8192:
+                    to += 1
+            ids = self._ids(b"".join(pieces[at:to]).decode())
+            if to - at > 1:
+                ends = np.cumsum(np.fromiter(map(len, pieces[at:to]), np.int64, to - at))
+                counts[at:to] = np.diff(np.searchsorted(np.cumsum(self.width[ids]), ends, "right"), prepend=0)
+            else:
+                counts[at] = len(ids)
+            parts.append(ids)
+            at = to
+        return np.concatenate([*parts, np.zeros(0, np.uint32)]), counts
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each)."""
         if not self.by_piece:
-            return self._encode(texts)
-        split = [_CUT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
-        heads = self.first.look([s[0] for s in split])
-        tails = self.rest.look(list(itertools.chain.from_iterable(s[1:] for s in split)))
-        out, at = [], 0
-        for s, head in zip(split, heads, strict=True):
-            out.append(head + b"".join(tails[at : at + len(s) - 1]))
-            at += len(s) - 1
-        return out
+            got = [self._ids(t.decode()) for t in texts]
+            return np.concatenate([*got, np.zeros(0, np.uint32)]), np.array([len(x) for x in got], np.int64)
+        flat = np.frombuffer(b"".join(texts), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        starts = np.concatenate([[0], ends[:-1]]) if len(texts) else ends
+        cut = np.zeros(len(flat) + 1, bool)
+        cut[:-2] = (flat[:-1] == 32) & _CUT[flat[1:]] if len(flat) > 1 else False
+        cut[ends - 1] = False  # what follows belongs to the next text
+        cut[starts[starts < ends]] = True
+        first = np.flatnonzero(cut)
+        ids, counts = self.memo.look(flat, first, np.append(first[1:], len(flat)) if len(first) else first)
+        total = np.concatenate([[0], np.cumsum(counts)])
+        at = np.searchsorted(first, np.concatenate([starts, ends[-1:]]))
+        return ids, np.diff(total[at])
+
+
+_BASE, _BASE_INVERSE = 0x2545F4914F6CDD1D, pow(0x2545F4914F6CDD1D, -1, 1 << 64)
+_STRETCH = 1 << 19  #: bytes hashed at once
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    done = 1
+    while done < n:
+        step = min(done, n - done)
+        out[done : done + step] = out[:step] * np.uint64(pow(base, done, 1 << 64))
+        done += step
+    return out
 
 
-class Memo:
-    """Ids of pieces met before, in two generations: a full one becomes the old one, from which pieces met again come back."""
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], marks: dict[str, bytes]) -> None:
-        self.encode, self.marks, self.new, self.old = encode, marks, {}, {}
-
-    def look(self, pieces: list[str]) -> list[bytes]:
-        """The packed ids of each piece."""
-        new, old = self.new, self.old
-        out = list(map(new.get, pieces))
-        gaps = [i for i, x in enumerate(out) if x is None]
-        fresh = {pieces[i] for i in gaps}
-        back = fresh.intersection(old)
-        new.update((p, old[p]) for p in back)
-        fresh -= back
-        # letters and a final mark are tokens of their own, so the part before the mark is looked up by itself
-        marked = {p for p in fresh if len(p) > 1 and p[-1] in ".," and p[-2].isalpha()}
-        bare = {p[:-1] for p in marked}
-        todo = sorted((fresh - marked) | bare.difference(new))
-        new.update(zip(todo, self.encode(todo), strict=True))
-        for p in marked:
-            new[p] = new[p[:-1]] + self.marks[p[-1]]
-        for i in gaps:
-            out[i] = new[pieces[i]]
-        if len(new) > MEMO:
-            self.old, self.new = {k: v for k, v in new.items() if len(k) <= 64}, {}
+class PieceMemo:
+    """Token ids by piece, in flat arrays: an open-addressing table of hashes, and a pool of ids. Starts afresh when full."""
+
+    def __init__(self, compute: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int) -> None:
+        self.compute, self.most = compute, most
+        self.bits = max(4, (2 * most - 1).bit_length())
+        self.up, self.down = _powers(_BASE, _STRETCH), _powers(_BASE_INVERSE, _STRETCH)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.slot = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        self.start, self.count, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32)
+        self.held = self.used = 0
+
+    def hashes(self, flat: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Never 0. Pieces longer than _STRETCH get 0: they aren't remembered."""
+        out = np.zeros(len(a), np.uint64)
+        at = 0
+        while at < len(a):
+            low = int(a[at])
+            to = int(np.searchsorted(b, low + _STRETCH, "right"))
+            if to > at:
+                part = flat[low : int(b[to - 1])]
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * self.up[: len(part)], dtype=np.uint64)])
+                s, e = a[at:to] - low, b[at:to] - low
+                out[at:to] = mix((sums[e] - sums[s]) * self.down[s] + (e - s).astype(np.uint64) * np.uint64(_BASE)) | np.uint64(1)
+            at = max(to, at + 1)
+        return out
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), -1, np.int64)
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        got = self.keys[at]
+        hit = (got == h) & (h != 0)
+        out[hit] = self.slot[at[hit]]
+        todo = np.flatnonzero(~hit & (got != 0) & (h != 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+            got = self.keys[at[todo]]
+            hit = got == h[todo]
+            out[todo[hit]] = self.slot[at[todo[hit]]]
+            todo = todo[~hit & (got != 0)]
         return out
 
+    def add(self, h: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """h: distinct, none held yet."""
+        n = len(h)
+        for name, need in (("start", self.held + n), ("count", self.held + n), ("pool", self.used + len(ids))):
+            old = getattr(self, name)
+            if need > len(old):
+                new = np.zeros(max(need, 2 * len(old)), old.dtype)
+                new[: len(old)] = old
+                setattr(self, name, new)
+        self.start[self.held : self.held + n] = self.used + np.cumsum(counts) - counts
+        self.count[self.held : self.held + n] = counts
+        self.pool[self.used : self.used + len(ids)] = ids
+        at, todo = (h >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(n)
+        while len(todo):
+            free = todo[self.keys[at[todo]] == 0]
+            _, one = np.unique(at[free], return_index=True)
+            won = free[one]
+            self.keys[at[won]], self.slot[at[won]] = h[won], self.held + won
+            todo = np.setdiff1d(todo, won, assume_unique=True)
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+        self.held, self.used = self.held + n, self.used + len(ids)
+
+    def look(self, flat: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces flat[a:b] in a row, number of ids of each)."""
+        h = self.hashes(flat, a, b)
+        at = self.find(h)
+        gaps = np.flatnonzero(at < 0)
+        if len(gaps):
+            keys, one, back = np.unique(h[gaps], return_index=True, return_inverse=True)
+            if self.held + len(keys) > self.most:
+                self.clear()
+                gaps = np.arange(len(h))
+                keys, one, back = np.unique(h, return_index=True, return_inverse=True)
+            raw = flat.tobytes()
+            pick = gaps[one]
+            if len(keys) and keys[0] == 0:  # pieces too long to be remembered are encoded one by one
+                pick = np.concatenate([pick[1:], gaps[h[gaps] == 0]])
+                keys = np.concatenate([keys[1:], np.zeros(len(pick) - len(keys) + 1, np.uint64)])
+            ids, counts = self.compute([raw[i:j] for i, j in zip(a[pick].tolist(), b[pick].tolist(), strict=True)])
+            real = int((keys != 0).sum())
+            if self.held + real > self.most:  # one call with more pieces than the table takes: make room
+                while real > self.most:
+                    self.bits, self.most = self.bits + 1, 2 * self.most
+                self.clear()
+            base, cut = self.held, int(counts[:real].sum())
+            self.add(keys[:real], ids[:cut], counts[:real])
+            long = h[gaps] == 0
+            order = np.full(len(gaps), 0, np.int64)
+            order[~long] = base + np.searchsorted(keys[:real], h[gaps][~long])
+            at[gaps] = order
+            if long.any():
+                return self._with_long(at, gaps[long], ids[cut:], counts[real:])
+        n = self.count[at].astype(np.int64)
+        return self.pool[np.repeat(self.start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
+
+    def _with_long(self, at: np.ndarray, where: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.count[at].astype(np.int64)
+        n[where] = counts
+        ends, own, out = np.cumsum(n), np.cumsum(counts), []
+        edge = 0
+        for i, j, k in zip(where.tolist(), own.tolist(), counts.tolist(), strict=True):
+            m = n[edge:i]
+            out += [self.pool[np.repeat(self.start[at[edge:i]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))], ids[j - k : j]]
+            edge = i + 1
+        m = n[edge:]
+        out.append(self.pool[np.repeat(self.start[at[edge:]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))])
+        return np.concatenate(out), n if len(ends) else n
+
 
 def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2) -> None:
     """Encodes and writes. Rows of one doc_id go in the order of their ids' bytes; null doc_ids come first, as the smallest."""
     ends = range_ends(docs.select("doc_id"), partitions_for(docs.sparkSession))
     n = max(1, len(ends))
-    tail = np.array([end_id], "<u4").tobytes()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer_path)
+        kind = "<u2" if len(encoder.width) <= 1 << 16 and end_id < 1 << 16 else "<u4"
+        end, shrink = np.array([end_id], kind).tobytes(), zstandard.ZstdCompressor(1).compress
         for batch in batches:
             for part, texts in slices(batch):
                 ids = [_NULL_ID if i is None else i for i in part.column("doc_id").to_pylist()]
-                coded = [packed(np.ascontiguousarray(np.frombuffer(x + tail, np.uint8).reshape(-1, 4).T).tobytes()) for x in encoder.encode([t.decode() for t in texts])]
+                tokens, counts = encoder.encode(texts)
+                tokens, edges = tokens.astype(kind), np.cumsum(counts).tolist()
+                coded = [kind.encode() + shrink(tokens[i:j].tobytes() + end) for i, j in zip([0, *edges[:-1]], edges, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(np.searchsorted(ends, ids), n - 1).astype(np.int32)), pa.array(ids, pa.int64()), pa.array(coded, pa.binary())], names=["pid", "doc_id", "payload"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
         held: list[np.ndarray] = []
         size = chunk = before = 0
-        shard = -1
+        shard, grow = -1, zstandard.ZstdDecompressor().decompress
 
         def flush() -> pa.RecordBatch:
             body = rans.encode(np.concatenate(held))
@@ -153,7 +254,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2) -> N
         for batch in batches:
             for pid, i, body in zip(*(batch.column(c).to_pylist() for c in ("pid", "doc_id", "payload")), strict=True):
                 shard = pid
-                held.append(np.ascontiguousarray(np.frombuffer(unpacked(body), np.uint8).reshape(4, -1).T).reshape(-1).view("<u4"))
+                held.append(np.frombuffer(grow(body[3:]), body[:3].decode()))
                 ids.append(i)
                 size += len(held[-1])
                 if size >= CHUNK_TOKENS:
