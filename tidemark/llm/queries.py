@@ -61,6 +61,12 @@ def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(read(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.token_counts import token_counts
 
@@ -74,7 +80,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_token_files, op4_mix_sources, op5_fingerprints, op6_exact_dedup, op7_lm_scores, op9_token_counts, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_token_files, op4_mix_sources, op5_fingerprints, op6_exact_dedup, op7_lm_scores, op8_jaccard_join, op9_token_counts, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
