@@ -152,27 +152,50 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample:
     return scored(docs, model, threshold)
 
 
+class Scorer:
+    """Scores texts with a model; features of words met before are remembered."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.memo = model, {}
+
+    def __call__(self, texts: list[bytes]) -> list[float]:
+        memo, weights, out = self.memo, self.model.weights, []
+        for t in texts:
+            present: set[int] = set()
+            for w in words_of(t):
+                got = memo.get(w)
+                if got is None:
+                    got = tuple(f for f in features_of(w) if f in weights)
+                    if len(w) <= LONG_WORD:
+                        memo[w] = got
+                if got:
+                    present.update(got)
+            out.append(self.model.score(present))
+        if len(memo) > MEMO:
+            memo.clear()
+        return out
+
+
 def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, tuple[int, ...]] = {}
-        weights = model.weights
+        scorer = Scorer(model)
         for batch in batches:
             for part, texts in slices(batch):
-                scores = []
-                for t in texts:
-                    present: set[int] = set()
-                    for w in words_of(t):
-                        got = memo.get(w)
-                        if got is None:
-                            got = tuple(f for f in features_of(w) if f in weights)
-                            if len(w) <= LONG_WORD:
-                                memo[w] = got
-                        if got:
-                            present.update(got)
-                    scores.append(model.score(present))
-                if len(memo) > MEMO:
-                    memo.clear()
+                scores = scorer(texts)
                 yield arrow({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "score": scores, "predicted": [int(s >= threshold) for s in scores]}, _OUT)
 
     rows = documents(docs, "doc_id", "text").withColumn("held_out", fold(4) == 2)
     return rows.mapInArrow(run, SCHEMA)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, with all columns, that score under the threshold. Null and empty texts have no toxic feature."""
+    model = fit(docs, labels, sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            for part, texts in slices(batch):
+                yield part.filter(pa.array(np.array(scorer(texts)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
