@@ -9,6 +9,7 @@ with the smallest sum of ranks. Characters outside the pieces fall back to byte
 
 from __future__ import annotations
 
+import functools
 import itertools
 import zlib
 from collections.abc import Iterable, Iterator
@@ -205,6 +206,12 @@ class Codec:
         return raw.replace(SPACE, " ").removeprefix(" ")
 
 
+@functools.lru_cache(1)
+def codec_for(model_path: str) -> Codec:
+    """A worker process keeps its codec, and the words it has met, from task to task."""
+    return Codec(model_path)
+
+
 SCHEMA = "doc_id long, text string, ids array<int>, n_pieces long, n_byte_pieces long, ids_crc32 long, decoded_equal boolean"
 _OUT = pa.schema([("doc_id", pa.int64()), ("text", pa.large_string()), ("ids", pa.list_(pa.int32())), ("n_pieces", pa.int64()), ("n_byte_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_equal", pa.bool_())])
 
@@ -221,7 +228,7 @@ def encode(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("ids",)) -
     ddl = ", ".join(x.strip() for x in SCHEMA.split(", ") if x.strip().split(" ")[0] in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model_path)
+        codec = codec_for(model_path)
         is_byte = np.zeros(max(codec.pieces.decoded, default=0) + 1, bool)
         is_byte[list(codec.pieces.byte_of)] = True
         for batch in batches:

@@ -7,6 +7,7 @@ with the link. Counting a word is then one walk over its bytes. Words of like le
 
 from __future__ import annotations
 
+import functools
 from collections import deque
 from collections.abc import Iterator
 
@@ -124,6 +125,12 @@ class LongestMatch:
         return out
 
 
+@functools.lru_cache(1)
+def table_for(model_path: str) -> WordTable:
+    """A worker process keeps its automaton, and the words it has met, from task to task."""
+    return WordTable(LongestMatch(*pieces_of(model_path)).count)
+
+
 def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_words, n_tokens, n_unknown of each row's whole text.
 
@@ -132,7 +139,7 @@ def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(LongestMatch(*pieces_of(model_path)).count)
+        table = table_for(model_path)
         for batch in batches:
             for part, texts in slices(batch):
                 doc, at, rows = table.look([t.split() for t in texts])

@@ -7,6 +7,7 @@ write atomic and any store that Spark reaches will do. Shards are ranges of doc_
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -224,13 +225,19 @@ class PieceMemo:
         return np.concatenate(out), n if len(ends) else n
 
 
+@functools.lru_cache(1)
+def encoder_for(path: str) -> Encoder:
+    """A worker process keeps its encoder, and the pieces it has met, from task to task."""
+    return Encoder(path)
+
+
 def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2) -> None:
     """Encodes and writes. Rows of one doc_id go in the order of their ids' bytes; null doc_ids come first, as the smallest."""
     ends = range_ends(docs.select("doc_id"), partitions_for(docs.sparkSession))
     n = max(1, len(ends))
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = encoder_for(tokenizer_path)
         kind = "<u2" if len(encoder.width) <= 1 << 16 and end_id < 1 << 16 else "<u4"
         end, shrink = np.array([end_id], kind).tobytes(), zstandard.ZstdCompressor(1).compress
         for batch in batches:
