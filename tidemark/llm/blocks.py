@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents, lower_ascii, materialise, partitions_for, slices
 
-BLOCK_BYTES = 6 << 20  #: text of a block; a longer single text is a block of its own
+BLOCK_BYTES = 4 << 20  #: text of a block; a longer single text is a block of its own
 BUCKET_BYTES = 24 << 20  #: text that a bucket answers for, roughly
 NULL_ID = np.iinfo(np.int64).max  #: stands for a null doc_id, so it counts as the largest
 _POS_BITS, _SEQ_BITS = 22, 20

@@ -8,8 +8,9 @@
 3. A cluster's different sets are stored in a prefix tree, ordered by their frequency in the cluster. Traversal shares the overlap of
    common beginnings, and leaves a subtree when the remaining lengths can't reach the threshold, or when all its sets are
    in the query's component already: what is connected needs no further link.
-4. A cluster too large for one task is dealt into parts that are joined each by itself; then the components' first sets are
-   joined; and if components remain apart, the pairs of sets from different ones that share a prefix element are compared.
+4. A cluster too large for one task is dealt into parts that are joined each by itself. If components remain apart, the sets
+   that share a prefix element are joined in a tree of their own, element by element, with the components found so far; where an
+   element is shared by too many, in one tree for each pair of parts.
 
 Equal sets are one class throughout, so copies cost nothing but their row.
 """
@@ -262,15 +263,22 @@ class PrefixTree:
         node.docs.append(q)
 
 
-def tree_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links between sets of distinct 64-bit keys that connect whatever the threshold connects; positions of the sets."""
-    if len(sets) < 2:
+def tree_links(sets: list[np.ndarray], percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links between sets of distinct 64-bit keys that connect whatever the threshold connects; positions of the sets.
+
+    known: the component each set is in already; links within one aren't looked for.
+    """
+    first: dict[int, int] = {}
+    same = [(first.setdefault(c, i), i) for i, c in enumerate(known or [])]
+    if len(sets) < 2 or (known and len(first) < 2):
         return []
     _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(counts), np.int64)
     rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
     ends = np.cumsum([len(s) for s in sets])
     tree, out, mark = PrefixTree(percent), [], np.zeros(len(counts), bool)
+    for x, y in same:
+        tree.forest.union(x, y)
     for q in np.argsort([len(s) for s in sets], kind="stable").tolist():
         ranks = np.sort(rank[inverse[ends[q] - len(sets[q]) : ends[q]]])
         mark[ranks] = True
@@ -280,56 +288,42 @@ def tree_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def _join_groups(rows: DataFrame, percent: int) -> DataFrame:
-    """rows: cluster, part, node, payload. Links a, b within each (cluster, part)."""
+def _join_groups(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """rows: keys, node, comp, payload. Links a, b within each group of rows that agree in the keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, sets = None, [], []
+        key, nodes, comps, sets = None, [], [], []
 
         def flush() -> pa.RecordBatch:
-            got = tree_links(sets, percent)
+            got = tree_links(sets, percent, comps)
             return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in got], pa.int64()), pa.array([nodes[j] for _, j in got], pa.int64())], names=["a", "b"])
 
         for batch in batches:
             for r in batch.to_pylist():
-                if (r["cluster"], r["part"]) != key:
+                if (now := tuple(r[k] for k in keys)) != key:
                     yield flush()
-                    key, nodes, sets = (r["cluster"], r["part"]), [], []
+                    key, nodes, comps, sets = now, [], [], []
                 nodes.append(r["node"])
+                comps.append(r["comp"])
                 sets.append(np.frombuffer(r["payload"], "<u8"))
         yield flush()
 
-    dealt = rows.select("cluster", "part", "node", "payload").repartition(partitions_for(rows.sparkSession), "cluster", "part")
-    return dealt.sortWithinPartitions("cluster", "part", "node").mapInArrow(run, "a long, b long")
-
+    dealt = rows.select(*keys, "node", "comp", "payload").repartition(partitions_for(rows.sparkSession), *keys)
+    return dealt.sortWithinPartitions(*keys, "node").mapInArrow(run, "a long, b long")
 
-def _compare(pairs: DataFrame, percent: int) -> DataFrame:
-    """pairs: a, b, x, y (their sets). Those at or above the threshold."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for r in batch.to_pylist():
-                x, y = np.frombuffer(r["x"], "<u8"), np.frombuffer(r["y"], "<u8")
-                if (100 + percent) * len(np.intersect1d(x, y, assume_unique=True)) >= percent * (len(x) + len(y)):
-                    keep.append((r["a"], r["b"]))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in keep], pa.int64()), pa.array([b for _, b in keep], pa.int64())], names=["a", "b"])
-
-    return pairs.mapInArrow(run, "a long, b long")
-
-
-def _explode_prefix(rows: DataFrame, percent: int) -> DataFrame:
+def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
     """rows: node, n, skip, payload, comp. One row for each prefix element that another text has too."""
-    out = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("comp", pa.int64())])
+    out = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("comp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 n = r["n"]
                 t = np.frombuffer(r["payload"], "<i8")[r["skip"] : n - (percent * n + 99) // 100 + 1]
-                yield pa.RecordBatch.from_arrays([pa.array(t), *(pa.array(np.full(len(t), r[c])) for c in ("node", "n", "comp"))], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array(t), *(pa.array(np.full(len(t), r[c])) for c in ("node", "comp"))], schema=out)
 
-    return rows.mapInArrow(run, "token long, node long, n long, comp long")
+    return rows.mapInArrow(run, "token long, node long, comp long")
 
 
 def _links(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -338,36 +332,24 @@ def _links(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     sizes = members.join(sets.select("node", "n"), "node").groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("size")).where("sets > 1")
     parts = F.ceil(F.greatest(F.col("sets") / PART_SETS, F.col("size") / PART_SIZE)).cast("int")
     sizes = materialise(sizes.select("cluster", parts.alias("parts")), "sizes")
-    dealt = rows.join(sizes, "cluster").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    links = materialise(_join_groups(dealt, percent), "links")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = rows.join(sizes, "cluster").withColumn("part", part).withColumn("comp", F.col("node"))
+    links = materialise(_join_groups(dealt, ["cluster", "part"], percent), "links")
     large = sizes.where("parts > 1").select("cluster")
     if large.isEmpty():
         return links
     inside = materialise(members.join(large, "cluster"), "inside")
-
-    def apart(links: DataFrame) -> DataFrame:
-        """node, cluster, comp in clusters that are still in several components."""
-        comps = components(links.join(inside.select(F.col("node").alias("a")), "a", "left_semi").select("a", "b"))
-        named = inside.join(comps, "node", "left").select("node", "cluster", F.coalesce("comp", "node").alias("comp"))
-        split = named.groupBy("cluster").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("cluster")
-        return materialise(named.join(split, "cluster"), "apart")
-
-    left = apart(links)
-    heads = left.where("node = comp")
-    count = heads.groupBy("cluster").agg(F.count("*").alias("heads"))
-    heads = heads.join(count, "cluster").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("heads") / PART_SETS)).cast("int"))
-    more = materialise(_join_groups(sets.join(heads.select("node", "cluster", "part"), "node"), percent), "links")
-    links = links.unionByName(more)
-    left = apart(links)
-    if left.isEmpty():
-        return links
-    prefix = materialise(_explode_prefix(sets.join(left.select("node", "comp"), "node").select("node", "n", "skip", "payload", "comp"), percent), "prefix")
-    a, b = (prefix.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp")]) for s in "ab")
-    fits = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.col("comp_a") < F.col("comp_b"))
-    pairs = a.join(b, "token").where(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    with_x = pairs.join(sets.select(F.col("node").alias("a"), F.col("payload").alias("x")), "a")
-    with_y = with_x.join(sets.select(F.col("node").alias("b"), F.col("payload").alias("y")), "b").select("a", "b", "x", "y")
-    return links.unionByName(materialise(_compare(with_y, percent), "links"))
+    comps = components(links.join(inside.select(F.col("node").alias("a")), "a", "left_semi").select("a", "b"))
+    named = inside.join(comps, "node", "left").select("node", "cluster", F.coalesce("comp", "node").alias("comp"))
+    split = named.groupBy("cluster").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("cluster")
+    left = sets.join(named.join(split, "cluster").select("node", "comp"), "node")
+    tokens = materialise(_prefixes(left.select("node", "n", "skip", "payload", "comp"), percent), "prefix")
+    shared = tokens.groupBy("token").agg(F.count("*").alias("sets"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+    met = tokens.join(shared.select("token", F.ceil(F.col("sets") / PART_SETS).cast("int").alias("parts")), "token").withColumn("part", part)
+    # a pair of parts for each other part; sets of one part meet in the pair with itself, or in any other
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    paired = met.select("token", "node", "comp", "part", other.alias("other")).select("token", "node", "comp", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    return links.unionByName(materialise(_join_groups(paired.join(sets.select("node", "payload"), "node"), ["token", "low", "high"], percent), "links"))
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:
