@@ -1,3 +1,3 @@
 """Importing this package registers all queries."""
 
-from tidemark.plans import aggregates, audits, predicates, retrieval, streams, temporal  # noqa: F401
+from tidemark.plans import aggregates, audits, lifecycles, predicates, retrieval, streams, temporal  # noqa: F401
