@@ -6,6 +6,8 @@ later steps reuse.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,33 +136,37 @@ def adjacent_relations(claims: DataFrame) -> DataFrame:
 def held_relations(claims: DataFrame) -> DataFrame:
     """Each claim against the one currently held: a fold, since only SUPERSEDE and CORRECT replace what is held.
 
-    A slot's claims are one bounded history; the fold runs over each slot's rows in order.
+    Slots are dealt by hash and read in order, so the fold holds one value however long a slot's history is.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["observed_at", "event_id"])
-        _, behaviour, _ = L.SEMANTICS[BEHAVES_LIKE[rows["predicate"].iloc[0]]]
-        many = L.SEMANTICS[BEHAVES_LIKE[rows["predicate"].iloc[0]]][0] == "many"
-        held, out = None, []
-        for r in rows.itertuples():
-            if held is None:
-                rel, held = "FIRST", r.bucket
-            elif r.bucket == held:
-                rel = "REPEAT"
-            elif r.kind == "correct":
-                rel, held = "CORRECT", r.bucket
-            elif r.kind == "conflict" or behaviour == "immutable":
-                rel = "CONFLICT"
-            elif many:
-                rel = "COEXIST"
-            elif r.kind == "supersede":
-                rel, held = "SUPERSEDE", r.bucket
-            else:
-                rel = "UNKNOWN"
-            out.append((r.event_id, r.subject, r.predicate, rel, held))
-        return pd.DataFrame(out, columns=["event_id", "subject", "predicate", "relation", "held"])
-
-    return claims.select("event_id", *SLOT, "bucket", "kind", "observed_at").groupBy(*SLOT).applyInPandas(fold, "event_id long, subject long, predicate string, relation string, held int")
+    rules = {p: L.SEMANTICS[like] for p, like in BEHAVES_LIKE.items()}
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slot, held = None, None
+        for rows in batches:
+            out = []
+            for event, subject, predicate, bucket, kind in zip(*(rows[c] for c in ("event_id", "subject", "predicate", "bucket", "kind")), strict=True):
+                if (subject, predicate) != slot:
+                    slot, held = (subject, predicate), None
+                cardinality, behaviour, _ = rules[predicate]
+                if held is None:
+                    rel, held = "FIRST", bucket
+                elif bucket == held:
+                    rel = "REPEAT"
+                elif kind == "correct":
+                    rel, held = "CORRECT", bucket
+                elif kind == "conflict" or behaviour == "immutable":
+                    rel = "CONFLICT"
+                elif cardinality == "many":
+                    rel = "COEXIST"
+                elif kind == "supersede":
+                    rel, held = "SUPERSEDE", bucket
+                else:
+                    rel = "UNKNOWN"
+                out.append((event, subject, predicate, rel, held))
+            yield pd.DataFrame(out, columns=["event_id", "subject", "predicate", "relation", "held"])
+
+    rows = claims.select("event_id", *SLOT, "bucket", "kind", "observed_at").repartition(*SLOT).sortWithinPartitions(*SLOT, *ORDER)
+    return rows.mapInPandas(fold, "event_id long, subject long, predicate string, relation string, held int")
 
 
 def current_state(transitions: DataFrame) -> DataFrame:
