@@ -25,8 +25,8 @@ from tidemark.llm.blocks import mix
 from tidemark.llm.common import arrow, documents, partitions_for, shared_dir, slices
 from tidemark.llm.ordered import packed, range_ends, unpacked
 
-CHUNK_TOKENS = 1 << 21  #: a chunk ends with the document that reaches this many ids
-PIECES = 1_500_000  #: pieces a worker remembers before it starts afresh, about 100 MB
+CHUNK_TOKENS = 1 << 20  #: a chunk ends with the document that reaches this many ids
+PIECES = 700_000  #: pieces a worker remembers, about 60 MB; when full, it keeps those met again
 #: bytes that may follow a space at which a text is cut: not white space, nor a lead byte of characters among which some is
 _CUT = np.array([not (0x09 <= b <= 0x0D or 0x1C <= b <= 0x20 or b in (0xC2, 0xE1, 0xE2, 0xE3)) for b in range(256)])
 _PLAIN = re.compile(rb" [^\x09-\x0D\x1C-\x20<\xC2\xE1-\xE3]+", re.DOTALL)
@@ -113,7 +113,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class PieceMemo:
-    """Token ids by piece, in flat arrays: an open-addressing table of hashes, and a pool of ids. Starts afresh when full."""
+    """Token ids by piece, in flat arrays: an open-addressing table of hashes, and a pool of ids. A full one keeps the pieces met again."""
 
     def __init__(self, compute: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int) -> None:
         self.compute, self.most = compute, most
@@ -123,9 +123,18 @@ class PieceMemo:
 
     def clear(self) -> None:
         self.keys, self.slot = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        self.hash, self.again = np.zeros(1024, np.uint64), np.zeros(1024, bool)
         self.start, self.count, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32)
         self.held = self.used = 0
 
+    def shrink(self) -> None:
+        """Keeps what was met again since it came in or since the last time, if that is little enough."""
+        kept = np.flatnonzero(self.again[: self.held])
+        h, n, start, pool = self.hash[kept], self.count[kept].astype(np.int64), self.start[kept], self.pool
+        self.clear()
+        if 2 * len(kept) <= self.most:
+            self.add(h, pool[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n)
+
     def hashes(self, flat: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Never 0. Pieces longer than _STRETCH get 0: they aren't remembered."""
         out = np.zeros(len(a), np.uint64)
@@ -159,14 +168,15 @@ class PieceMemo:
     def add(self, h: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
         """h: distinct, none held yet."""
         n = len(h)
-        for name, need in (("start", self.held + n), ("count", self.held + n), ("pool", self.used + len(ids))):
+        for name, need in (("hash", self.held + n), ("again", self.held + n), ("start", self.held + n), ("count", self.held + n), ("pool", self.used + len(ids))):
             old = getattr(self, name)
             if need > len(old):
-                new = np.zeros(max(need, 2 * len(old)), old.dtype)
+                new = np.zeros(max(need, len(old) + len(old) // 2), old.dtype)
                 new[: len(old)] = old
                 setattr(self, name, new)
         self.start[self.held : self.held + n] = self.used + np.cumsum(counts) - counts
         self.count[self.held : self.held + n] = counts
+        self.hash[self.held : self.held + n] = h
         self.pool[self.used : self.used + len(ids)] = ids
         at, todo = (h >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(n)
         while len(todo):
@@ -183,12 +193,14 @@ class PieceMemo:
         h = self.hashes(flat, a, b)
         at = self.find(h)
         gaps = np.flatnonzero(at < 0)
+        self.again[at[at >= 0] if len(gaps) else at] = True
         if len(gaps):
             keys, one, back = np.unique(h[gaps], return_index=True, return_inverse=True)
             if self.held + len(keys) > self.most:
-                self.clear()
-                gaps = np.arange(len(h))
-                keys, one, back = np.unique(h, return_index=True, return_inverse=True)
+                self.shrink()
+                at = self.find(h)
+                gaps = np.flatnonzero(at < 0)
+                keys, one, back = np.unique(h[gaps], return_index=True, return_inverse=True)
             raw = flat.tobytes()
             pick = gaps[one]
             if len(keys) and keys[0] == 0:  # pieces too long to be remembered are encoded one by one
@@ -197,9 +209,11 @@ class PieceMemo:
             ids, counts = self.compute([raw[i:j] for i, j in zip(a[pick].tolist(), b[pick].tolist(), strict=True)])
             real = int((keys != 0).sum())
             if self.held + real > self.most:  # one call with more pieces than the table takes: make room
+                self.clear()
                 while real > self.most:
                     self.bits, self.most = self.bits + 1, 2 * self.most
                 self.clear()
+                return self.look(flat, a, b)
             base, cut = self.held, int(counts[:real].sum())
             self.add(keys[:real], ids[:cut], counts[:real])
             long = h[gaps] == 0
