@@ -302,12 +302,12 @@ def runtime_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.max("ts").alias("beat")).withColumn("stale", e.agg(F.max("ts")).scalar() - F.col("beat") > F.expr("INTERVAL 1 HOUR"))
 
 
-@query("rule_conflicts", f"""WITH {MEMORIES_SQL}, t AS (SELECT memory_id, tenant, memory_id % 2 AS polarity, list_distinct(regexp_extract_all(lower(left(content, 300)), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM memories WHERE memory_type = 'policy')
+@query("rule_conflicts", f"""WITH {MEMORIES_SQL}, t AS (SELECT memory_id, tenant, (memory_id // 60) % 2 AS polarity, list_distinct(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM memories WHERE memory_type = 'policy')
 SELECT a.memory_id AS a, b.memory_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE, 6) AS overlap FROM t a JOIN t b ON a.tenant = b.tenant AND a.polarity <> b.polarity AND a.memory_id < b.memory_id WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE >= 0.03""")
 def rule_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of one scope with opposite polarity and much the same words."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.left("content", F.lit(300))), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
-    t = memories(spark, sf_dir).where("memory_type = 'policy'").select("memory_id", "tenant", (F.col("memory_id") % 2).alias("polarity"), words.alias("w"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
+    t = memories(spark, sf_dir).where("memory_type = 'policy'").select("memory_id", "tenant", (F.floor(F.col("memory_id") / 60) % 2).alias("polarity"), words.alias("w"))
     a, b = (t.select("tenant", *[F.col(c).alias(f"{c}_{s}") for c in ("memory_id", "polarity", "w")]) for s in "ab")
     j = a.join(b, "tenant").where("polarity_a <> polarity_b and memory_id_a < memory_id_b").withColumn("overlap", S.jaccard(F.col("w_a"), F.col("w_b")))
     return j.where("overlap >= 0.03").select(F.col("memory_id_a").alias("a"), F.col("memory_id_b").alias("b"), F.round("overlap", 6).alias("overlap"))

@@ -174,9 +174,9 @@ def forget_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.agg(F.count_if(scope).alias("deleted")).join(kept.agg(F.count("*").alias("remaining"), F.count_if(scope).alias("residue"), F.count_if(probe).alias("elsewhere")))
 
 
-@query("scope_preview", f"WITH {MEMORIES_SQL} SELECT tenant, workspace, count(*) AS matched, count(*) FILTER (memory_type = 'policy') AS policies FROM memories WHERE contains(lower(content), 'the') AND memory_id BETWEEN 100 AND 700 GROUP BY ALL")
+@query("scope_preview", f"WITH {MEMORIES_SQL} SELECT tenant, workspace, count(*) AS matched, count(*) FILTER (memory_type = 'policy') AS policies FROM memories WHERE contains(lower(content), 'the') AND lifecycle_state <> 'archived' GROUP BY ALL")
 def scope_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = memories(spark, sf_dir).where(F.lower("content").contains("the") & F.col("memory_id").between(100, 700))
+    m = memories(spark, sf_dir).where(F.lower("content").contains("the") & (F.col("lifecycle_state") != "archived"))
     return m.groupBy("tenant", "workspace").agg(F.count("*").alias("matched"), F.count_if(F.col("memory_type") == "policy").alias("policies"))
 
 

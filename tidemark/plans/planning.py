@@ -13,12 +13,12 @@ from tidemark.sources.adapters import table
 q = lambda s: s.replace("'", "''")
 #: questions: benchmark texts with an ending that names a predicate in some of them
 ENDINGS = ("", " chức vụ gì", " sống ở đâu", " mức lương", " làm việc ở đâu dự án nào", " date of birth", " work", " hôm qua", " deploy")
-_Q = "q AS (SELECT item_id, left(text, 60) || " + "CASE item_id % 9 " + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(ENDINGS)) + " END AS x FROM benchmark)"
+_Q = "q AS (SELECT item_id, text || " + "CASE item_id % 9 " + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(ENDINGS)) + " END AS x FROM benchmark)"
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ending = F.element_at(F.array(*[F.lit(e) for e in ENDINGS]), (F.col("item_id") % 9 + 1).cast("int"))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.left("text", F.lit(60)), ending).alias("x"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.concat("text", ending).alias("x"))
 
 
 def _any(phrases: tuple[str, ...]) -> str:

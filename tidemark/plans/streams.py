@@ -63,9 +63,9 @@ def recent_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.tail(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), 20, "conv_id", "turn")
 
 
-@query("active_scan", f"WITH {MEMORIES_SQL} SELECT memory_id FROM memories WHERE lifecycle_state <> 'archived' AND tenant = 'src2' AND (workspace = 'en' OR workspace IS NULL) AND memory_id <= 800")
+@query("active_scan", f"WITH {MEMORIES_SQL} SELECT memory_id FROM memories WHERE lifecycle_state <> 'archived' AND tenant = 'src2' AND (workspace = 'en' OR workspace IS NULL)")
 def active_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memories(spark, sf_dir).where("lifecycle_state <> 'archived' and tenant = 'src2' and (workspace = 'en' or workspace is null) and memory_id <= 800").select("memory_id")
+    return memories(spark, sf_dir).where("lifecycle_state <> 'archived' and tenant = 'src2' and (workspace = 'en' or workspace is null)").select("memory_id")
 
 
 @query("governed_ingest", None)
