@@ -63,6 +63,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """A small result of many tasks, in a sixteenth of the session's partitions, so that writing it makes fewer files."""
+    return df.repartition(max(1, partitions_for(df.sparkSession) // 16))
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

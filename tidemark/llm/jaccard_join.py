@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import NULL_ID, bucket_cuts, chain, mix, n_buckets, pack, pack_counts, texts_of, unpack, unpack_counts, word_hashes, write_blocks
-from tidemark.llm.common import materialise, partitions_for
-from tidemark.llm.components import components
+from tidemark.llm.common import gathered, materialise, partitions_for
+from tidemark.llm.components import IN_ONE_TASK, components
 
 PART_SETS, PART_SIZE = 600, 1 << 20  #: sets, and elements of them, that one prefix tree takes in
 _TRUNCATE = np.uint64(24)  # bits left out while occurrences are counted; they only decide the order
@@ -153,10 +153,16 @@ def _postings(k: int, percent: int, n_b: int):
             sets = Sets(texts_of(row)[1], k)
             mine = np.flatnonzero(sets.rep[sets.doc])
             key, doc = sets.key[mine], sets.doc[mine]
-            codes = np.concatenate([np.frombuffer(zstandard.decompress(r["codes"]), np.uint8) for r in sorted(replies.to_pylist(), key=lambda r: r["bucket"])])
+            got = sorted(replies.to_pylist(), key=lambda r: r["bucket"])
+            codes = np.concatenate([np.frombuffer(zstandard.decompress(r["codes"]), np.uint8) for r in got if r["codes"] is not None] + [np.zeros(0, np.uint8)])
+            first_of_class = np.zeros(len(sets.n), bool)
+            for r in got:
+                first_of_class[r["reps"] or []] = True
             small, inverse = np.unique(key >> _TRUNCATE, return_inverse=True)
             assert len(small) == len(codes), "answers are missing"
             code = codes[inverse]
+            mine = first_of_class[doc]  # a set that other blocks hold too goes on once
+            key, doc, code = key[mine], doc[mine], code[mine]
             order = np.lexsort((key, code, doc))
             key, doc, code = key[order], doc[order], code[order]
             n = np.bincount(doc, minlength=len(sets.n))
@@ -299,17 +305,18 @@ def _join_groups(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in got], pa.int64()), pa.array([nodes[j] for _, j in got], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for r in batch.to_pylist():
-                if (now := tuple(r[k] for k in keys)) != key:
-                    yield flush()
-                    key, nodes, comps, sets = now, [], [], []
-                nodes.append(r["node"])
-                comps.append(r["comp"])
-                sets.append(np.frombuffer(r["payload"], "<u8"))
+            for at in range(0, batch.num_rows, 256):
+                for r in batch.slice(at, 256).to_pylist():
+                    if (now := tuple(r[k] for k in keys)) != key:
+                        yield flush()
+                        key, nodes, comps, sets = now, [], [], []
+                    nodes.append(r["node"])
+                    comps.append(r["comp"])
+                    sets.append(np.frombuffer(r["payload"], "<u8"))
         yield flush()
 
     dealt = rows.select(*keys, "node", "comp", "payload").repartition(partitions_for(rows.sparkSession), *keys)
-    return dealt.sortWithinPartitions(*keys, "node").mapInArrow(run, "a long, b long")
+    return gathered(dealt.sortWithinPartitions(*keys, "node").mapInArrow(run, "a long, b long"))
 
 
 def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
@@ -326,30 +333,34 @@ def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "token long, node long, comp long")
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """The rows, to be broadcast if they are few (IN_ONE_TASK, some 30 MB), so that the sets they pick needn't move."""
+    return F.broadcast(rows) if rows.count() <= IN_ONE_TASK else rows
+
+
 def _links(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """sets: node, n, skip, payload. members: node, cluster of one set a class. Links a, b that connect what the threshold connects."""
-    rows = sets.join(members, "node")
-    sizes = members.join(sets.select("node", "n"), "node").groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("size")).where("sets > 1")
+    sizes = members.join(sets.select("node", "n"), "node").groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("size"))
     parts = F.ceil(F.greatest(F.col("sets") / PART_SETS, F.col("size") / PART_SIZE)).cast("int")
-    sizes = materialise(sizes.select("cluster", parts.alias("parts")), "sizes")
+    sizes = materialise(gathered(sizes.select("cluster", parts.alias("parts"))), "sizes")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    dealt = rows.join(sizes, "cluster").withColumn("part", part).withColumn("comp", F.col("node"))
+    dealt = sets.join(_sent(members.join(sizes, "cluster")), "node").withColumn("part", part).withColumn("comp", F.col("node"))
     links = materialise(_join_groups(dealt, ["cluster", "part"], percent), "links")
     large = sizes.where("parts > 1").select("cluster")
     if large.isEmpty():
         return links
-    inside = materialise(members.join(large, "cluster"), "inside")
+    inside = members.join(large, "cluster")
     comps = components(links.join(inside.select(F.col("node").alias("a")), "a", "left_semi").select("a", "b"))
     named = inside.join(comps, "node", "left").select("node", "cluster", F.coalesce("comp", "node").alias("comp"))
     split = named.groupBy("cluster").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("cluster")
-    left = sets.join(named.join(split, "cluster").select("node", "comp"), "node")
-    tokens = materialise(_prefixes(left.select("node", "n", "skip", "payload", "comp"), percent), "prefix")
+    left = sets.join(_sent(named.join(split, "cluster").select("node", "comp")), "node")
+    tokens = materialise(gathered(_prefixes(left.select("node", "n", "skip", "payload", "comp"), percent)), "prefix")
     shared = tokens.groupBy("token").agg(F.count("*").alias("sets"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
     met = tokens.join(shared.select("token", F.ceil(F.col("sets") / PART_SETS).cast("int").alias("parts")), "token").withColumn("part", part)
     # a pair of parts for each other part; sets of one part meet in the pair with itself, or in any other
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     paired = met.select("token", "node", "comp", "part", other.alias("other")).select("token", "node", "comp", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    return links.unionByName(materialise(_join_groups(paired.join(sets.select("node", "payload"), "node"), ["token", "low", "high"], percent), "links"))
+    return links.unionByName(materialise(_join_groups(sets.select("node", "payload").join(_sent(paired), "node"), ["token", "low", "high"], percent), "links"))
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:
@@ -365,17 +376,21 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85) ->
     rows = first.where("node is not null").select("node", "doc_id", "n", "s1", "s2")
     asked = first.where("keys is not null").select("block", "bucket", "keys", "counts")
     codes = asked.repartitionById(n_b, "bucket").mapInArrow(_occurrences, "block long, bucket int, codes binary")
+    classes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("node").alias("node"), F.min("doc_id").alias("least"))
+    position = F.col("node").bitwiseAND((1 << _POS_BITS) - 1).cast("int")
+    reps = classes.groupBy(F.shiftright("node", _POS_BITS).alias("block")).agg(F.collect_list(position).alias("reps"))
+    codes = codes.withColumn("reps", F.lit(None).cast("array<int>")).unionByName(reps.select("block", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("codes"), "reps"))
     second = materialise(blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(_postings(shingle, percent, n_b), _B_DDL), "postings")
     sets = second.where("payload is not null").select("node", "n", "skip", "payload")
     met = second.where("keys is not null").select("bucket", "keys", "nodes").repartitionById(n_b, "bucket").mapInArrow(_stars, "a long, b long")
+    met = materialise(gathered(met), "met")
     clusters = components(met.unionByName(second.where("a is not null").select("a", "b")))
-    classes = materialise(rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("node").alias("node"), F.min("doc_id").alias("least")), "classes")
-    members = materialise(clusters.select("node", F.col("comp").alias("cluster")).join(classes.select("node"), "node", "left_semi"), "members")
+    members = clusters.select("node", F.col("comp").alias("cluster"))
     links = _links(sets, members, percent)
     comps = components(links)
     named = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("least").alias("component"))
-    classed = materialise(named.join(least, "comp").select("s1", "s2", "n", "component"), "classed")
+    classed = named.join(least, "comp").select("s1", "s2", "n", "component")
     full = rows.where("n > 0").join(classed, ["s1", "s2", "n"]).select("doc_id", "n", "component")
     out = full.unionByName(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component")))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
