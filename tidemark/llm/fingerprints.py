@@ -21,7 +21,7 @@ BUCKETS = 256
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 _DEALT = pa.schema([("pid", pa.int32()), ("doc_id", pa.int64()), ("ahead", pa.bool_()), ("tie", pa.binary()), ("payload", pa.binary())])
-_FAR = 0.5 * BUCKETS * 1.5  #: distance from which the score is 0
+_FAR = 1.625 * BUCKETS  #: distance expected of unrelated digests, from which on the score is 0
 
 
 def digests(texts: list[bytes]) -> np.ndarray:
