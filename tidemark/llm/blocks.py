@@ -8,6 +8,7 @@ the shared folder, so a lost executor costs no more than the tasks it ran.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -88,12 +89,16 @@ def chain(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * np.uint64(0x9E3779B97F4A7C15) + right)
 
 
-def word_hashes(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word of the documents in a row, words of each document)."""
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word of the texts in a row, words of each text). Words are split text by text, so few are held at once."""
     index: dict[bytes, int] = {}
-    at = [index.setdefault(w, len(index)) for ws in docs for w in ws]
+    at, lens = array("i"), []
+    for t in texts:
+        words = t.split()
+        lens.append(len(words))
+        at.extend([index.setdefault(w, len(index)) for w in words])
     table = np.fromiter(map(xxhash.xxh3_64_intdigest, index), np.uint64, len(index))
-    return table[np.array(at, np.int64)] if at else np.zeros(0, np.uint64), np.fromiter(map(len, docs), np.int64, len(docs))
+    return table[np.frombuffer(at, np.int32)] if at else np.zeros(0, np.uint64), np.array(lens, np.int64)
 
 
 def bucket_cuts(keys: np.ndarray, n: int) -> np.ndarray:

@@ -38,9 +38,9 @@ class Sets:
     """The n-gram sets of a block's documents: doc, key sorted by both; n, and a 128-bit sum that equal sets share."""
 
     def __init__(self, texts: list[bytes], k: int) -> None:
-        h, lens = word_hashes([t.split() for t in texts])
+        h, lens = word_hashes(texts)
         first = np.cumsum(lens) - lens
-        doc = np.repeat(np.arange(len(lens)), lens)
+        doc = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
         g = chain(np.zeros(len(h), np.uint64), h)
         keys, docs = [], []
         for j in range(1, k + 1):
@@ -55,7 +55,8 @@ class Sets:
             whole = at + k <= (first + lens)[doc[: len(g)]]
             keys.append(g[whole])
             docs.append(doc[: len(g)][whole])
-        key, doc = np.concatenate([*keys, np.zeros(0, np.uint64)]), np.concatenate([*docs, np.zeros(0, np.int64)]).astype(np.int64)
+        key, doc = np.concatenate([*keys, np.zeros(0, np.uint64)]), np.concatenate([*docs, np.zeros(0, np.int32)]).astype(np.int32)
+        del h, g, keys, docs
         order = np.lexsort((key, doc))
         key, doc = key[order], doc[order]
         new = np.ones(len(key), bool)

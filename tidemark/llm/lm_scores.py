@@ -45,7 +45,7 @@ class Grams:
     """
 
     def __init__(self, texts: list[bytes], order: int) -> None:
-        words, lens = word_hashes([t.split() for t in texts])
+        words, lens = word_hashes(texts)
         self.lens = lens + 1  # with the end
         ends = np.cumsum(self.lens)
         n = int(self.lens.sum())
