@@ -1,8 +1,8 @@
 """Operator 6: exact deduplication with a log-structured merge index over text digests.
 
 Each task keeps a memtable of digests (smallest identifier, number of rows), flushes it as a sorted run with a Bloom filter,
-and compacts its runs; what is left goes to the digest's own partition, where an index of the same kind merges the runs of all
-tasks. A digest of more than one row is a hit: the texts of hits alone are read again and compared byte by byte, by
+and compacts its runs; what is left goes to the digest's own partition, where the runs of all tasks are sorted by digest and
+merged in a stream. A digest of more than one row is a hit: the texts of hits alone are read again and compared byte by byte, by
 grouping on digest and text with partial sums in each task, so a group of any size never meets in one place.
 """
 
@@ -25,19 +25,23 @@ INDEX_SCHEMA = "digest binary, keep_id long, ties long, group_size long"
 _INDEX = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("ties", pa.int64()), ("group_size", pa.int64())])
 
 
+def folded(digests: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct digests, ascending, each with its entries in one."""
+    order = np.argsort(digests, kind="stable")
+    digests, rows = digests[order], rows[order]
+    new = np.append(True, digests[1:] != digests[:-1])
+    first, group = np.flatnonzero(new), np.cumsum(new) - 1
+    keep = np.minimum.reduceat(rows[:, 0], first)
+    ties = np.add.reduceat(np.where(rows[:, 0] == keep[group], rows[:, 1], 0), first)
+    return digests[first], np.stack([keep, ties, np.add.reduceat(rows[:, 2], first)], 1)
+
+
 class Run:
     """Sorted digests with identifiers, counts and a filter of ten bits a digest."""
 
     def __init__(self, digests: np.ndarray, rows: np.ndarray) -> None:
-        order = np.argsort(digests, kind="stable")
-        digests, rows = digests[order], rows[order]
-        first = np.flatnonzero(np.append(True, digests[1:] != digests[:-1]))
-        group = np.cumsum(np.append(True, digests[1:] != digests[:-1])) - 1
-        keep = np.minimum.reduceat(rows[:, 0], first)
-        ties = np.add.reduceat(np.where(rows[:, 0] == keep[group], rows[:, 1], 0), first)
-        self.digests = digests[first]
-        self.rows = np.stack([keep, ties, np.add.reduceat(rows[:, 2], first)], 1)
-        self.bits = max(64, 10 * len(first))
+        self.digests, self.rows = folded(digests, rows)
+        self.bits = max(64, 10 * len(self.digests))
         self.filter = np.zeros(self.bits, bool)
         for place in self.places(self.digests):
             self.filter[place] = True
@@ -111,26 +115,45 @@ def _digest(text: Column, width: int) -> Column:
     return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, width)
 
 
+def _entries(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
+    digests = np.frombuffer(b"".join(batch.column("digest").to_pylist()), f"S{width}")
+    return digests, np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("keep_id", "ties", "group_size")], 1)
+
+
+def _batch(digests: np.ndarray, rows: np.ndarray, width: int) -> pa.RecordBatch:
+    raw = digests.tobytes()
+    return pa.RecordBatch.from_arrays([pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary()), *[pa.array(rows[:, j]) for j in range(3)]], schema=_INDEX)
+
+
 def _merge(width: int):
-    """Batches of entries in, the task's compacted entries out."""
+    """Batches of entries in, the task's compacted entries out; a digest comes out again after every EMIT entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = LsmIndex(width)
-
-        def out() -> pa.RecordBatch:
-            digests, rows = index.entries()
-            raw = digests.tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary()), *[pa.array(rows[:, j]) for j in range(3)]], schema=_INDEX)
-
         for batch in batches:
             if batch.num_rows:
-                digests = np.frombuffer(b"".join(batch.column("digest").to_pylist()), f"S{width}")
-                index.add(digests, np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("keep_id", "ties", "group_size")], 1))
+                index.add(*_entries(batch, width))
             if len(index) > EMIT:
-                yield out()
+                yield _batch(*index.entries(), width)
                 index = LsmIndex(width)
         if len(index):
-            yield out()
+            yield _batch(*index.entries(), width)
+
+    return run
+
+
+def _merge_sorted(width: int):
+    """Batches of entries in, ascending by digest; one entry a digest out, however many there are. Holds one batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, f"S{width}"), np.zeros((0, 3), np.int64)  # the last digest, which the next batch may go on with
+        for batch in batches:
+            if batch.num_rows:
+                digests, rows = folded(*(np.concatenate(x) for x in zip(held, _entries(batch, width), strict=True)))
+                held = digests[-1:], rows[-1:]
+                yield _batch(digests[:-1], rows[:-1], width)
+        if len(held[0]):
+            yield _batch(*held, width)
 
     return run
 
@@ -139,7 +162,7 @@ def build_index(digests: DataFrame, width: int) -> DataFrame:
     """digests: digest, doc_id. One row a digest: keep_id (a null doc_id as the largest long), ties, group_size."""
     rows = digests.select("digest", F.coalesce("doc_id", F.lit(_NULL)).alias("keep_id"), F.lit(1).cast("long").alias("ties"), F.lit(1).cast("long").alias("group_size"))
     runs = rows.mapInArrow(_merge(width), INDEX_SCHEMA)
-    return runs.repartition(partitions_for(digests.sparkSession), "digest").mapInArrow(_merge(width), INDEX_SCHEMA)
+    return runs.repartition(partitions_for(digests.sparkSession), "digest").sortWithinPartitions("digest").mapInArrow(_merge_sorted(width), INDEX_SCHEMA)
 
 
 def exact_dedup(docs: DataFrame, width: int = 32) -> DataFrame:
