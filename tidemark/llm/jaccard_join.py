@@ -17,6 +17,8 @@ Equal sets are one class throughout, so copies cost nothing but their row.
 
 from __future__ import annotations
 
+import hashlib
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,7 @@ from tidemark.llm.components import IN_ONE_TASK, components
 PART_SETS, PART_SIZE = 600, 1 << 20  #: sets, and elements of them, that one prefix tree takes in
 _TRUNCATE = np.uint64(24)  # bits left out while occurrences are counted; they only decide the order
 _POS_BITS = 22
+_DIGEST = 16  #: bytes of the sha256 that tell texts of one doc_id apart
 
 
 class Sets:
@@ -75,8 +78,8 @@ class Sets:
             self.rep[i] = seen.setdefault((self.n[i], self.sums[0, i], self.sums[1, i]), i) == i
 
 
-_A = pa.schema([("block", pa.int64()), ("node", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-_A_DDL = "block long, node long, doc_id long, n long, s1 long, s2 long, bucket int, keys binary, counts binary"
+_A = pa.schema([("block", pa.int64()), ("node", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("digest", pa.binary()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_A_DDL = "block long, node long, doc_id long, n long, s1 long, s2 long, digest binary, bucket int, keys binary, counts binary"
 _B = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("skip", pa.int64()), ("payload", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary())])
 _B_DDL = "node long, n long, skip long, payload binary, a long, b long, bucket int, keys binary, nodes binary"
 
@@ -85,14 +88,14 @@ def _table(schema: pa.Schema, rows: dict[str, object], n: int) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) if f.name in rows else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
-def _sets_and_requests(k: int, n_b: int):
+def _sets_and_requests(k: int, n_b: int, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 ids, texts = texts_of(row)
                 sets = Sets(texts, k)
                 s = sets.sums.view(np.int64)
-                yield _table(_A, {"block": np.full(len(ids), row["block"]), "node": (row["block"] << _POS_BITS) + np.arange(len(ids)), "doc_id": ids, "n": sets.n, "s1": s[0], "s2": s[1]}, len(ids))
+                yield _table(_A, {"block": np.full(len(ids), row["block"]), "node": (row["block"] << _POS_BITS) + np.arange(len(ids)), "doc_id": ids, "n": sets.n, "s1": s[0], "s2": s[1]} | ({"digest": [hashlib.sha256(t).digest()[:_DIGEST] for t in texts]} if digests else {}), len(ids))
                 keys, counts = np.unique(sets.key[sets.rep[sets.doc]] >> _TRUNCATE, return_counts=True)
                 cuts = bucket_cuts(keys << _TRUNCATE, n_b).tolist()
                 out = [(b, pack(keys[i:j]), pack_counts(counts[i:j])) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
@@ -364,20 +367,17 @@ def _links(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return links.unionByName(materialise(_join_groups(sets.select("node", "payload").join(_sent(paired), "node"), ["token", "low", "high"], percent), "links"))
 
 
-def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row.
-
-    A row's set holds its distinct runs of `shingle` words (runs of bytes other than space and \\x09-\\x0D, ASCII letters
-    lowered), or its whole sequence if it has fewer; without words it is empty and linked with nothing. Rows link when
-    100 * intersection >= percent * union. A null doc_id counts as the largest.
-    """
+def _linked(docs: DataFrame, shingle: int, percent: int, digests: bool) -> DataFrame:
+    """doc_id (NULL_ID for null), n, digest, component of every row: the smallest doc_id of its component, or the smallest
+    (doc_id, digest) with digests, which are those of the lower-cased texts (null without)."""
     blocks = write_blocks(docs)
     n_b = n_buckets(blocks)
-    first = materialise(blocks.mapInArrow(_sets_and_requests(shingle, n_b), _A_DDL), "sets")
-    rows = first.where("node is not null").select("node", "doc_id", "n", "s1", "s2")
+    first = materialise(blocks.mapInArrow(_sets_and_requests(shingle, n_b, digests), _A_DDL), "sets")
+    rows = first.where("node is not null").select("node", "doc_id", "n", "s1", "s2", "digest")
     asked = first.where("keys is not null").select("block", "bucket", "keys", "counts")
     codes = asked.repartitionById(n_b, "bucket").mapInArrow(_occurrences, "block long, bucket int, codes binary")
-    classes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("node").alias("node"), F.min("doc_id").alias("least"))
+    who = F.struct("doc_id", "digest") if digests else F.col("doc_id")
+    classes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("node").alias("node"), F.min(who).alias("least"))
     position = F.col("node").bitwiseAND((1 << _POS_BITS) - 1).cast("int")
     reps = classes.groupBy(F.shiftright("node", _POS_BITS).alias("block")).agg(F.collect_list(position).alias("reps"))
     codes = codes.withColumn("reps", F.lit(None).cast("array<int>")).unionByName(reps.select("block", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("codes"), "reps"))
@@ -392,14 +392,41 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85) ->
     named = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("least").alias("component"))
     classed = named.join(least, "comp").select("s1", "s2", "n", "component")
-    full = rows.where("n > 0").join(classed, ["s1", "s2", "n"]).select("doc_id", "n", "component")
-    out = full.unionByName(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component")))
+    full = rows.where("n > 0").join(classed, ["s1", "s2", "n"]).select("doc_id", "n", "digest", "component")
+    return full.unionByName(rows.where("n = 0").select("doc_id", "n", "digest", who.alias("component")))
+
+
+def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row.
+
+    A row's set holds its distinct runs of `shingle` words (runs of bytes other than space and \\x09-\\x0D, ASCII letters
+    lowered), or its whole sequence if it has fewer; without words it is empty and linked with nothing. Rows link when
+    100 * intersection >= percent * union. A null doc_id counts as the largest.
+    """
+    out = _linked(docs, shingle, percent, digests=False)
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(real("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
 
 
 def without_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all columns, whose doc_id is the smallest of its component."""
-    found = materialise(jaccard_components(docs, shingle, percent), "near")
-    gone = found.where("doc_id is null and component_id is not null or doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """The rows of docs, with all columns, that are the smallest of their component, and those without words.
+
+    Rows are told apart by doc_id and text, so other texts of a dropped row's doc_id stay. A null doc_id counts as the largest;
+    of rows that share the smallest doc_id the one with the smallest digest of its text, ASCII letters lowered, stays, of
+    those that share both the one with the smallest text.
+    """
+    columns = docs.columns
+    found = materialise(_linked(docs, shingle, percent, digests=True), "near")
+    first = F.struct("doc_id", "digest") == F.col("component")
+    gone = found.where(~first).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    again = found.where("n > 0").where(first).groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).agg(F.count("*").alias("rows")).where("rows > 1")
+    again = materialise(gathered(again.select("__id", "__digest")), "again")
+    lowered = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    id_, digest = F.coalesce("doc_id", F.lit(NULL_ID)), F.substring(F.unhex(F.sha2(lowered.cast("binary"), 256)), 1, _DIGEST)
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row")
+    rows = docs.select(row, id_.alias("__id"), digest.alias("__digest"))
+    left = rows.join(gone, ["__id", "__digest"], "left_anti")
+    if not again.isEmpty():
+        one = left.join(again, ["__id", "__digest"], "left_semi").groupBy("__id", "__digest").agg(F.min_by("__row", F.coalesce("__row.text", F.lit(""))).alias("__row"))
+        left = left.join(again, ["__id", "__digest"], "left_anti").select("__row").unionByName(one.select("__row"))
+    return left.select(*[F.col(f"__row.`{c}`").alias(c) for c in columns])
