@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import partitions_for
 
 NO_SOURCE = "∅"  #: stands for a null source among the weights
+RATE = 512.0  #: mean of one draw at most; a larger one is the sum of equal draws, as exp(-rate) would vanish
+COPIES = 4096  #: copies of a row that one array numbers
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -38,12 +40,12 @@ def poisson_table(rates: DataFrame) -> DataFrame:
     return rates.withColumn("cdf", F.aggregate(k, start, step)["cdf"])
 
 
-def source_rates(docs: DataFrame, weights: dict[str, float] | None, total: float | None, most: float) -> DataFrame:
+def source_rates(docs: DataFrame, weights: dict[str, float] | None, total: float | None, most: float | None) -> DataFrame:
     """source, n_docs, rate: the mean repetitions of each source's documents.
 
     weights: relative target of each source (None: all alike); sources that aren't named get none. total: documents of the
-    mixture (None: as many as there are). most: no document of a source is repeated more often than this on average, and what
-    a small source so falls short of isn't given to others.
+    mixture (None: as many as there are). most: if given, no document of a source is repeated more often than this on
+    average, and what a small source so falls short of isn't given to others.
     """
     source = F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("mix_source")
     sizes = docs.select(source).groupBy("mix_source").agg(F.count("*").alias("n_docs"))
@@ -54,11 +56,12 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, total: float
         sizes = sizes.withColumn("weight", F.coalesce(named[F.col("mix_source")], F.lit(0.0)) if weights else F.lit(0.0))
     all_weight, all_docs = sizes.agg(F.sum("weight")).scalar(), sizes.agg(F.sum("n_docs")).scalar()
     wanted = all_docs.cast("double") if total is None else F.lit(float(total))
-    rate = F.when(all_weight > 0, F.least(F.lit(float(most)), F.col("weight") / all_weight * wanted / F.col("n_docs"))).otherwise(0.0)
+    rate = F.when(all_weight > 0, F.col("weight") / all_weight * wanted / F.col("n_docs")).otherwise(0.0)
+    rate = rate if most is None else F.least(F.lit(float(most)), rate)
     return sizes.select("mix_source", "n_docs", rate.alias("rate"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, most: float = 32.0, seed: int = 20, copy_column: str | None = "copy_no", order_column: str | None = "mix_key") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, most: float | None = None, seed: int = 20, copy_column: str | None = "copy_no", order_column: str | None = "mix_key") -> DataFrame:
     """Every column of docs, each row as often as drawn, in a globally shuffled order.
 
     copy_column numbers a row's copies from 1, order_column is the hash by which copies are shuffled: within a partition rows
@@ -66,17 +69,23 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
     a source of its own. Rows that repeat a doc_id and text draw the same count. An empty table stays empty.
     """
     columns = [c for c in docs.columns if c not in (copy_column, order_column)]
-    table = poisson_table(source_rates(docs, weights, total, most)).select("mix_source", "cdf")
-    kept = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row")
-    rows = docs.select(kept, F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("mix_source"), uniform(seed, F.col("doc_id"), F.col("source")).alias("u"))
-    count = F.size(F.filter("cdf", lambda c: c <= F.col("u")))  # the least k with u < cdf(k)
-    drawn = rows.join(table, "mix_source").select("__row", count.alias("n")).where("n > 0")
-    copies = drawn.select("__row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("__copy"))
-    keyed = copies.withColumn("__key", uniform(seed + 1, F.col("__row.doc_id"), F.col("__row.source"), F.col("__copy")))
+    rates = source_rates(docs, weights, total, most).withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / RATE)).cast("int"))
+    table = poisson_table(rates.withColumn("rate", F.col("rate") / F.col("draws"))).select("mix_source", "draws", "cdf")
+    name = {c: f"__{i}" for i, c in enumerate(columns)}  # so that they can't clash with the columns added here
+    kept, doc_id, source = list(name.values()), F.col(name["doc_id"]), F.col(name["source"])
+    rows = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in name.items()])
+    rows = rows.select("*", F.coalesce(source.cast("string"), F.lit(NO_SOURCE)).alias("mix_source"), uniform(seed, doc_id, source).alias("u"))
+    count = lambda u: F.size(F.filter("cdf", lambda c: c <= u)).cast("long")  # noqa: E731 - the least k with u < cdf(k)
+    again = lambda n, i: n + count(uniform(seed, doc_id, source, i))
+    more = F.when(F.col("draws") > 1, F.aggregate(F.sequence(F.lit(2), F.greatest(F.lit(2), "draws")), F.lit(0).cast("long"), again)).otherwise(0)
+    drawn = rows.join(table, "mix_source").select(*kept, (count(F.col("u")) + more).alias("n")).where("n > 0")
+    runs = drawn.select(*kept, "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"), F.lit(COPIES).cast("long"))).alias("__first"))
+    copies = runs.select(*kept, F.explode(F.sequence("__first", F.least("n", F.col("__first") + (COPIES - 1)))).alias("__copy"))
+    keyed = copies.withColumn("__copy", F.col("__copy").cast("int")).withColumn("__key", uniform(seed + 1, doc_id, source, F.col("__copy")))
     parts = partitions_for(docs.sparkSession)
-    shuffled = keyed.repartition(parts, "__key").sortWithinPartitions("__key", "__row.doc_id", "__copy")
+    shuffled = keyed.repartition(parts, "__key").sortWithinPartitions("__key", doc_id, "__copy")
     extra = [F.col(a).alias(b) for a, b in (("__copy", copy_column), ("__key", order_column)) if b]
-    return shuffled.select(*[F.col(f"__row.`{c}`").alias(c) for c in columns], *extra)
+    return shuffled.select(*[F.col(a).alias(c) for c, a in name.items()], *extra)
 
 
 ORACLE_SQL = """
