@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20  #: text handled at once in a Python worker; a longer single text is a slice of its own
 MEMO_WORDS = 250_000  #: distinct words a worker remembers before it starts afresh
 LONG_WORD = 256  #: bytes; longer words are not remembered
+FEW = 1 << 18  #: rows of a few dozen bytes, counted, that may be broadcast (some 25 MB)
+HEAVY = 64  #: rows of a key from which it may count as heavy
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -40,21 +42,15 @@ def fold(m: int, doc_id: str = "doc_id") -> Column:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which all executors see; a local one only where that is unset."""
+    """A fresh folder under spark.checkpoint.dir, which all executors see. Only in local mode may that be unset: there a local folder does."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base) if _settable(spark) else None
     return f"{base.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def _settable(spark: SparkSession) -> bool:
-    try:
-        return bool(spark.conf.isModifiable("spark.checkpoint.dir"))
-    except Exception:  # noqa: BLE001 - a session that can't tell is left as it is
-        return False
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts lineage in a way that survives lost executors."""
     spark = df.sparkSession
@@ -68,6 +64,17 @@ def gathered(df: DataFrame) -> DataFrame:
     return df.repartition(max(1, partitions_for(df.sparkSession) // 16))
 
 
+def joined(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, how: str = "inner") -> DataFrame:
+    """left.join(right, key, how) for a right side of one row a key, whose column `rows` counts the key's rows in left (total in all).
+
+    Keys with more than an eighth of a partition's even share, of which there are 8 x partitions at most, are broadcast; the
+    rest is shuffled. So no key's rows gather in one task.
+    """
+    heavy = F.col(rows) > max(HEAVY, total // (8 * partitions_for(left.sparkSession)))
+    hot, rest = right.where(heavy), right.where(~heavy)
+    return left.join(F.broadcast(hot), key, how).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, how))
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

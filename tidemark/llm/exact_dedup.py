@@ -3,7 +3,8 @@
 Each task keeps a memtable of digests (smallest identifier, number of rows), flushes it as a sorted run with a Bloom filter,
 and compacts its runs; what is left goes to the digest's own partition, where the runs of all tasks are sorted by digest and
 merged in a stream. A digest of more than one row is a hit: the texts of hits alone are read again and compared byte by byte, by
-grouping on digest and text with partial sums in each task, so a group of any size never meets in one place.
+grouping on digest and text with partial sums in each task. Digests of many rows are broadcast, not shuffled on, so a group of
+any size never meets in one place.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, materialise, partitions_for
+from tidemark.llm.common import FEW, documents, joined, materialise, partitions_for
 
 MEMTABLE = 1 << 15  #: rows of a memtable before it is flushed as a run
 FANOUT = 6  #: runs that are compacted into one
@@ -175,21 +176,23 @@ def exact_dedup(docs: DataFrame, width: int = 32) -> DataFrame:
     """
     base = documents(docs, "doc_id", "text").withColumn("text", normalised(F.col("text")))
     digests = materialise(base.select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha")), "digests")
-    keyed = digests.withColumn("digest", F.substring("sha", 1, width))
+    keyed, total = digests.withColumn("digest", F.substring("sha", 1, width)), digests.count()
     index = materialise(build_index(keyed, width), "index")
-    hits = index.where("group_size > 1").select("digest")
-    texts = base.withColumn("digest", _digest(F.col("text"), width)).join(hits, "digest")
-    checked = materialise(texts.groupBy("digest", "text").agg(F.min(F.coalesce("doc_id", F.lit(_NULL))).alias("least"), F.count("*").alias("n")).select("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), "least", "n"), "checked")
+    marks = index.select("digest", "keep_id", "group_size")
+    hits = index.where("group_size > 1").select("digest", "group_size")
+    texts = base.withColumn("digest", _digest(F.col("text"), width))
+    texts = texts.join(F.broadcast(hits.select("digest")), "digest", "left_semi") if hits.count() <= FEW else joined(texts, hits, "digest", "group_size", total, "left_semi")
+    checked = materialise(texts.groupBy("digest", "text").agg(F.count("*").alias("n")).select("digest", "n"), "checked")
     clash = checked.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1")
     if clash.isEmpty():
-        found = keyed.join(index, "digest").select("doc_id", "sha", "keep_id", "group_size")
-    else:  # the same key for different texts: those rows go by the whole digest, and by the text where that is shared too
-        clash = materialise(clash.select("digest"), "clash")
-        plain = keyed.join(clash, "digest", "left_anti").join(index, "digest").select("doc_id", "sha", "keep_id", "group_size")
-        whole = base.withColumn("digest", _digest(F.col("text"), width)).join(clash, "digest")
+        found = joined(keyed, marks, "digest", "group_size", total).select("doc_id", "sha", "keep_id", "group_size")
+    else:  # the same key for different texts: those rows go by the text itself
+        clash = materialise(clash.join(hits, "digest").select("digest", "group_size"), "clash")
+        plain = joined(keyed, marks.join(clash.select("digest"), "digest", "left_anti"), "digest", "group_size", total)
+        whole = joined(base.withColumn("digest", _digest(F.col("text"), width)), clash, "digest", "group_size", total, "left_semi")
         groups = whole.groupBy("digest", "text").agg(F.min(F.coalesce("doc_id", F.lit(_NULL))).alias("keep_id"), F.count("*").alias("group_size"))
         split = whole.join(groups, ["digest", "text"]).select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), "keep_id", "group_size")
-        found = plain.unionByName(split)
+        found = plain.select("doc_id", "sha", "keep_id", "group_size").unionByName(split)
     return found.select(
         "doc_id",
         F.when(F.col("keep_id") != _NULL, F.col("keep_id")).alias("keep_id"),
@@ -200,17 +203,20 @@ def exact_dedup(docs: DataFrame, width: int = 32) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all its columns; of rows that repeat a kept doc_id with the same text, one stays."""
+    """The rows of docs that stay, with all its columns; of rows that repeat a kept doc_id with the same text, the
+    one with the smallest text as it stands stays. Names of extra columns can't clash."""
     columns = docs.columns
-    marks = materialise(exact_dedup(docs), "marks")
-    gone = marks.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha")).distinct()
-    text = normalised(F.col("text")).cast("binary")
-    rows = docs.withColumn("__key", F.unhex(F.sha2(text, 256)))
-    left = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__sha")), "left_anti")
-    again = marks.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
+    marks = materialise(exact_dedup(docs), "marks").select(F.coalesce("doc_id", F.lit(_NULL)).alias("id"), F.unhex("text_sha256").alias("sha"), "kept")
+    gone = materialise(marks.where(~F.col("kept")).select("id", "sha").distinct(), "gone")
+    again = materialise(marks.where("kept").groupBy("id", "sha").agg(F.count("*").alias("n")).where("n > 1").select("id", "sha"), "again")
+    sha = F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.coalesce("doc_id", F.lit(_NULL)).alias("id"), sha.alias("sha"))
+    left = rows.join(F.broadcast(gone) if gone.count() <= FEW else gone, ["id", "sha"], "left_anti")
     if not again.isEmpty():
-        left = left.dropDuplicates(["doc_id", "__key"])
-    return left.select(*[F.col(f"`{c}`") for c in columns])
+        again = F.broadcast(again) if again.count() <= FEW else again
+        one = left.join(again, ["id", "sha"], "left_semi").groupBy("id", "sha").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
+        left = left.join(again, ["id", "sha"], "left_anti").select("row").unionByName(one.select("row"))
+    return left.select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
 
 
 ORACLE_SQL = r"""
