@@ -11,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import partitions_for
+from tidemark.llm.common import joined, materialise, partitions_for
 
 NO_SOURCE = "∅"  #: stands for a null source among the weights
 RATE = 512.0  #: mean of one draw at most; a larger one is the sum of equal draws, as exp(-rate) would vanish
 COPIES = 4096  #: copies of a row that one array numbers
+SOURCES = 2048  #: sources, counted, whose tables (6 kB each at most) are broadcast
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -69,8 +70,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
     a source of its own. Rows that repeat a doc_id and text draw the same count. An empty table stays empty.
     """
     columns = [c for c in docs.columns if c not in (copy_column, order_column)]
-    rates = source_rates(docs, weights, total, most).withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / RATE)).cast("int"))
-    table = poisson_table(rates.withColumn("rate", F.col("rate") / F.col("draws"))).select("mix_source", "draws", "cdf")
+    rates = materialise(source_rates(docs, weights, total, most), "rates").withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / RATE)).cast("int"))
+    table = poisson_table(rates.withColumn("rate", F.col("rate") / F.col("draws"))).select("mix_source", "n_docs", "draws", "cdf")
     name = {c: f"__{i}" for i, c in enumerate(columns)}  # so that they can't clash with the columns added here
     kept, doc_id, source = list(name.values()), F.col(name["doc_id"]), F.col(name["source"])
     rows = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in name.items()])
@@ -78,7 +79,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
     count = lambda u: F.size(F.filter("cdf", lambda c: c <= u)).cast("long")  # noqa: E731 - the least k with u < cdf(k)
     again = lambda n, i: n + count(uniform(seed, doc_id, source, i))
     more = F.when(F.col("draws") > 1, F.aggregate(F.sequence(F.lit(2), F.greatest(F.lit(2), "draws")), F.lit(0).cast("long"), again)).otherwise(0)
-    drawn = rows.join(table, "mix_source").select(*kept, (count(F.col("u")) + more).alias("n")).where("n > 0")
+    met = rows.join(F.broadcast(table), "mix_source") if rates.count() <= SOURCES else joined(rows, table, "mix_source", "n_docs", docs.count())
+    drawn = met.select(*kept, (count(F.col("u")) + more).alias("n")).where("n > 0")
     runs = drawn.select(*kept, "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"), F.lit(COPIES).cast("long"))).alias("__first"))
     copies = runs.select(*kept, F.explode(F.sequence("__first", F.least("n", F.col("__first") + (COPIES - 1)))).alias("__copy"))
     keyed = copies.withColumn("__copy", F.col("__copy").cast("int")).withColumn("__key", uniform(seed + 1, doc_id, source, F.col("__copy")))
@@ -90,15 +92,20 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
 
 ORACLE_SQL = """
 WITH RECURSIVE sizes AS (SELECT coalesce(source, '∅') AS s, count(*) AS n FROM documents GROUP BY 1),
-rates AS (SELECT s, least(32.0::DOUBLE, (1.0::DOUBLE / (SELECT count(*) FROM sizes)) * (SELECT sum(n) FROM sizes)::DOUBLE / n) AS r FROM sizes),
+wanted AS (SELECT s, (1.0::DOUBLE / (SELECT count(*) FROM sizes)) * (SELECT sum(n) FROM sizes)::DOUBLE / n AS r FROM sizes),
+rates AS (SELECT s, greatest(1, ceil(r / 512))::INTEGER AS draws, r / greatest(1, ceil(r / 512))::INTEGER AS r FROM wanted),
 cdf AS (
-  SELECT s, r, 0 AS k, exp(-r) AS p, exp(-r) AS c FROM rates
-  UNION ALL SELECT s, r, k + 1, p * r / (k + 1), c + p * r / (k + 1) FROM cdf WHERE k < ceil(r + 10 * sqrt(r) + 10)),
-tables AS (SELECT s, list(c ORDER BY k) AS cdf FROM cdf GROUP BY s),
-drawn AS (
-  SELECT d.*, len(list_filter(t.cdf, lambda c: c <= ('0x' || substr(md5('20|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(source, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)) AS times
-  FROM documents d JOIN tables t ON t.s = coalesce(d.source, '∅'))
+  SELECT s, r, draws, 0 AS k, exp(-r) AS p, exp(-r) AS c FROM rates
+  UNION ALL SELECT s, r, draws, k + 1, p * r / (k + 1), c + p * r / (k + 1) FROM cdf WHERE k < ceil(r + 10 * sqrt(r) + 10)),
+tables AS (SELECT s, any_value(draws) AS draws, list(c ORDER BY k) AS cdf FROM cdf GROUP BY s),
+numbered AS (
+  SELECT d.*, t.cdf, coalesce(doc_id::VARCHAR, '') || '|' || coalesce(source, '') AS ident, unnest(range(1, t.draws + 1)) AS draw
+  FROM (SELECT *, row_number() OVER () AS rn FROM documents) d JOIN tables t ON t.s = coalesce(d.source, '∅')),
+counted AS (
+  SELECT * EXCLUDE (cdf), len(list_filter(cdf, lambda c: c <= ('0x' || substr(md5('20|' || ident || CASE WHEN draw > 1 THEN '|' || draw::VARCHAR ELSE '' END), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)) AS times
+  FROM numbered),
+drawn AS (SELECT rn, doc_id, text, lang, source, n_chars, ident, sum(times)::BIGINT AS times FROM counted GROUP BY ALL)
 SELECT doc_id, text, lang, source, n_chars, copy_no::INTEGER AS copy_no,
-  ('0x' || substr(md5('21|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(source, '') || '|' || copy_no::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS mix_key
+  ('0x' || substr(md5('21|' || ident || '|' || copy_no::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS mix_key
 FROM (SELECT * FROM drawn WHERE times > 0) x, unnest(range(1, times + 1)) AS u(copy_no)
 """
