@@ -77,18 +77,21 @@ def _row(words: set[bytes]) -> np.ndarray:
     return np.unique(np.fromiter((f for w in words for f in features_of(w)), np.uint32))
 
 
-def train(texts: list[bytes], toxic: np.ndarray, penalty: float = 1.0, decay: float = 0.02, steps: int = 300) -> Model:
-    """Fits the model. With one class only, or nothing to learn from, every score is that class's smoothed share."""
+def train(texts: list[bytes], toxic: np.ndarray, penalty: float = 1.0) -> Model:
+    """Fits the model to texts."""
+    words = [words_of(t) for t in texts]
+    return train_rows([_row(w) for w in words], [[_row(s) for s in swaps(w)] for w in words], toxic, penalty)
+
+
+def train_rows(rows: list[np.ndarray], swapped: list[list[np.ndarray]], toxic: np.ndarray, penalty: float = 1.0, decay: float = 0.02, steps: int = 300) -> Model:
+    """Fits the model to the features of texts and of their swapped copies. With one class only, or nothing to learn from,
+    every score is that class's smoothed share."""
     y = np.asarray(toxic, float)
     share = (y.sum() + 0.5) / (len(y) + 1)
     bias = float(np.log(share / (1 - share)))
     if not len(y) or y.min() == y.max():
         return Model(bias, {})
-    rows, pairs = [], []
-    for i, t in enumerate(texts):
-        words = words_of(t)
-        rows.append(_row(words))
-        pairs += [(i, _row(s)) for s in swaps(words)]
+    pairs = [(i, s) for i, some in enumerate(swapped) for s in some]
     n = 1 << BITS
     p, q = np.zeros(n, np.int32), np.zeros(n, np.int32)
     for r, one in zip(rows, y, strict=True):
@@ -135,11 +138,22 @@ def train(texts: list[bytes], toxic: np.ndarray, penalty: float = 1.0, decay: fl
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Trains on at most `sample` labelled rows: those of the smallest hash among rows whose fold isn't held out."""
+    """Trains on at most `sample` labelled rows: those of the smallest hash among rows whose fold isn't held out. Tasks turn
+    their texts into features, four bytes each; those alone go to the driver."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null").where(fold(4) != 2)
     picked = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = documents(docs, "doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.col("text").cast("binary"), "toxic", "doc_id").toArrow().sort_by("doc_id")
-    return train(rows.column(0).to_pylist(), np.array(rows.column(1).to_pylist(), int))
+    out = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("own", pa.binary()), ("swapped", pa.list_(pa.binary()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch):
+                words = [words_of(t) for t in texts]
+                yield arrow({"doc_id": part.column("doc_id"), "toxic": part.column("toxic"), "own": [_row(w).tobytes() for w in words], "swapped": [[_row(s).tobytes() for s in swaps(w)] for w in words]}, out)
+
+    rows = documents(docs, "doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text")
+    got = rows.mapInArrow(run, "doc_id long, toxic int, own binary, swapped array<binary>").orderBy("doc_id", "own").limit(sample).toArrow()  # rows may share a doc_id
+    features = lambda b: np.frombuffer(b, np.uint32)
+    return train_rows([features(b) for b in got.column("own").to_pylist()], [[features(b) for b in some] for some in got.column("swapped").to_pylist()], np.array(got.column("toxic").to_pylist(), int))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
