@@ -39,7 +39,7 @@ _NULL_ID = -(1 << 63)
 
 class Encoder:
     """A tokenizers file. With byte-level splitting, no token crosses a space that a non-space follows, so texts are cut
-    there, and pieces met before are looked up by a 64-bit hash of their bytes; other kinds of tokenizer get whole texts."""
+    there, and pieces met before are looked up by their bytes; other kinds of tokenizer get whole texts."""
 
     def __init__(self, path: str, pieces: int = PIECES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -98,57 +98,66 @@ class Encoder:
         return ids, np.diff(total[at])
 
 
-_BASE, _BASE_INVERSE = 0x2545F4914F6CDD1D, pow(0x2545F4914F6CDD1D, -1, 1 << 64)
-_STRETCH = 1 << 19  #: bytes hashed at once
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+SPAN = 32  #: bytes of a piece that is remembered, at most; longer ones are encoded anew
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    done = 1
-    while done < n:
-        step = min(done, n - done)
-        out[done : done + step] = out[:step] * np.uint64(pow(base, done, 1 << 64))
-        done += step
-    return out
+class Keys:
+    """Pieces flat[a:b] as numbers: size, the bytes in words of eight, and a hash of both, which is 0 for those over SPAN."""
+
+    def __init__(self, flat: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        padded = np.concatenate([flat, np.zeros(SPAN + 8, np.uint8)])
+        eight = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))  # the eight bytes from each position on
+        self.size = (b - a).astype(np.int32)
+        first = eight[a] & _KEEP[np.minimum(self.size, 8)]
+        self.words = [first, *(np.zeros(len(a), np.uint64) for _ in range(SPAN // 8 - 1))]
+        self.hash = mix(first * _STEP + self.size.astype(np.uint64))
+        for k in range(1, SPAN // 8):
+            some = np.flatnonzero(self.size > 8 * k)
+            if len(some):
+                self.words[k][some] = w = eight[a[some] + 8 * k] & _KEEP[np.minimum(self.size[some] - 8 * k, 8)]
+                self.hash[some] = mix(self.hash[some] * _STEP + w)
+        self.hash |= np.uint64(1)
+        self.hash[self.size > SPAN] = 0
 
 
 class PieceMemo:
-    """Token ids by piece, in flat arrays: an open-addressing table of hashes, and a pool of ids. A full one keeps the pieces met again."""
+    """Token ids by piece, in flat arrays: an open-addressing table of hashes, the pieces' bytes, and a pool of ids.
+
+    A piece that is found by its hash is compared byte by byte; one that shares the hash of another is encoded anew each time.
+    A full memory keeps the pieces met again.
+    """
 
     def __init__(self, compute: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int) -> None:
         self.compute, self.most = compute, most
         self.bits = max(4, (2 * most - 1).bit_length())
-        self.up, self.down = _powers(_BASE, _STRETCH), _powers(_BASE_INVERSE, _STRETCH)
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.slot = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
-        self.hash, self.again = np.zeros(1024, np.uint64), np.zeros(1024, bool)
+        self.hash, self.again, self.size = np.zeros(1024, np.uint64), np.zeros(1024, bool), np.zeros(1024, np.int32)
+        self.words = [np.zeros(1024, np.uint64) for _ in range(SPAN // 8)]
         self.start, self.count, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32)
         self.held = self.used = 0
 
     def shrink(self) -> None:
         """Keeps what was met again since it came in or since the last time, if that is little enough."""
         kept = np.flatnonzero(self.again[: self.held])
-        h, n, start, pool = self.hash[kept], self.count[kept].astype(np.int64), self.start[kept], self.pool
+        h, size, words, n, start, pool = self.hash[kept], self.size[kept], [w[kept] for w in self.words], self.count[kept].astype(np.int64), self.start[kept], self.pool
         self.clear()
         if 2 * len(kept) <= self.most:
-            self.add(h, pool[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n)
-
-    def hashes(self, flat: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Never 0. Pieces longer than _STRETCH get 0: they aren't remembered."""
-        out = np.zeros(len(a), np.uint64)
-        at = 0
-        while at < len(a):
-            low = int(a[at])
-            to = int(np.searchsorted(b, low + _STRETCH, "right"))
-            if to > at:
-                part = flat[low : int(b[to - 1])]
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * self.up[: len(part)], dtype=np.uint64)])
-                s, e = a[at:to] - low, b[at:to] - low
-                out[at:to] = mix((sums[e] - sums[s]) * self.down[s] + (e - s).astype(np.uint64) * np.uint64(_BASE)) | np.uint64(1)
-            at = max(to, at + 1)
-        return out
+            self.add(h, size, words, pool[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n)
+
+    def others(self, at: np.ndarray, keys: Keys) -> np.ndarray:
+        """The pieces (positions in keys) that a slot was found for which holds another piece."""
+        hit = np.flatnonzero(at >= 0) if len(at) and at.min() < 0 else np.arange(len(at))
+        slot = at[hit]
+        differ = (self.size[slot] != keys.size[hit]) | (self.words[0][slot] != keys.words[0][hit])
+        long = np.flatnonzero(keys.size[hit] > 8)
+        for mine, theirs in zip(self.words[1:], keys.words[1:], strict=True):
+            differ[long] |= mine[slot[long]] != theirs[hit[long]]
+        return hit[differ]
 
     def find(self, h: np.ndarray) -> np.ndarray:
         out = np.full(len(h), -1, np.int64)
@@ -165,10 +174,14 @@ class PieceMemo:
             todo = todo[~hit & (got != 0)]
         return out
 
-    def add(self, h: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+    def add(self, h: np.ndarray, size: np.ndarray, words: list[np.ndarray], ids: np.ndarray, counts: np.ndarray) -> None:
         """h: distinct, none held yet."""
         n = len(h)
-        for name, need in (("hash", self.held + n), ("again", self.held + n), ("start", self.held + n), ("count", self.held + n), ("pool", self.used + len(ids))):
+        for k, old in enumerate(self.words):
+            if self.held + n > len(old):
+                self.words[k] = np.concatenate([old[: self.held], np.zeros(max(n, self.held // 2), np.uint64)])
+            self.words[k][self.held : self.held + n] = words[k]
+        for name, need in (("hash", self.held + n), ("again", self.held + n), ("size", self.held + n), ("start", self.held + n), ("count", self.held + n), ("pool", self.used + len(ids))):
             old = getattr(self, name)
             if need > len(old):
                 new = np.zeros(max(need, len(old) + len(old) // 2), old.dtype)
@@ -176,7 +189,7 @@ class PieceMemo:
                 setattr(self, name, new)
         self.start[self.held : self.held + n] = self.used + np.cumsum(counts) - counts
         self.count[self.held : self.held + n] = counts
-        self.hash[self.held : self.held + n] = h
+        self.hash[self.held : self.held + n], self.size[self.held : self.held + n] = h, size
         self.pool[self.used : self.used + len(ids)] = ids
         at, todo = (h >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(n)
         while len(todo):
@@ -188,19 +201,34 @@ class PieceMemo:
             at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
         self.held, self.used = self.held + n, self.used + len(ids)
 
+    def fresh(self, met: Keys, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct hashes of the pieces at gaps, where each first is, and the way back. Of pieces that share a hash the first keeps it."""
+        keys, one, back = np.unique(met.hash[gaps], return_index=True, return_inverse=True)
+        twin = gaps[one][back]
+        differ = (met.hash[gaps] != 0) & (met.size[twin] != met.size[gaps])
+        for w in met.words:
+            differ |= (met.hash[gaps] != 0) & (w[twin] != w[gaps])
+        if differ.any():
+            met.hash[gaps[differ]] = 0
+            return np.unique(met.hash[gaps], return_index=True, return_inverse=True)
+        return keys, one, back
+
     def look(self, flat: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the pieces flat[a:b] in a row, number of ids of each)."""
-        h = self.hashes(flat, a, b)
+        met = Keys(flat, a, b)
+        h = met.hash
         at = self.find(h)
+        if len(bad := self.others(at, met)):
+            h[bad], at[bad] = 0, -1
         gaps = np.flatnonzero(at < 0)
         self.again[at[at >= 0] if len(gaps) else at] = True
         if len(gaps):
-            keys, one, back = np.unique(h[gaps], return_index=True, return_inverse=True)
+            keys, one, back = self.fresh(met, gaps)
             if self.held + len(keys) > self.most:
                 self.shrink()
                 at = self.find(h)
                 gaps = np.flatnonzero(at < 0)
-                keys, one, back = np.unique(h[gaps], return_index=True, return_inverse=True)
+                keys, one, back = self.fresh(met, gaps)
             raw = flat.tobytes()
             pick = gaps[one]
             if len(keys) and keys[0] == 0:  # pieces too long to be remembered are encoded one by one
@@ -215,7 +243,8 @@ class PieceMemo:
                 self.clear()
                 return self.look(flat, a, b)
             base, cut = self.held, int(counts[:real].sum())
-            self.add(keys[:real], ids[:cut], counts[:real])
+            own = pick[:real]
+            self.add(keys[:real], met.size[own], [w[own] for w in met.words], ids[:cut], counts[:real])
             long = h[gaps] == 0
             order = np.full(len(gaps), 0, np.int64)
             order[~long] = base + np.searchsorted(keys[:real], h[gaps][~long])
