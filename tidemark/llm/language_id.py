@@ -1,33 +1,34 @@
 """Operator 1: language identification by a bidirectional gated recurrent network over bytes.
 
-The network is trained here, in numpy, by backpropagation through time. It reads the bytes of one word (a run without white
-space, at most SPAN bytes at a time) in both directions and gives a distribution over the languages at every byte; a text's
-probabilities are the mean over all its bytes. The state starts afresh at each word, so that a word's output depends on the
-word alone and is computed once for all its occurrences in a worker.
+The network is trained here, in numpy, by backpropagation through time. It reads whole texts, ASCII letters lowered and each run of white space as one space, in
+stretches of SPAN bytes in both directions, the state carried across words and white space, and gives a distribution over the
+languages at every byte; a text's probabilities are the mean over all its bytes. At either end a stretch overlaps its
+neighbours by MARGIN bytes, whose labels the neighbours give, so that no byte is labelled without its context.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordTable, arrow, by_length, documents, fold, lower_ascii, slices
+from tidemark.llm.common import arrow, documents, fold, lower_ascii, slices
 
 SAMPLE = 250  #: documents of each language used for training, at most
-LANGUAGES = 200  #: languages learned, at most: the most frequent ones
-VOCABULARY = 12_000  #: distinct words of each language used for training, at most: the most frequent ones
-SPAN = 64  #: bytes that the network reads at once
+DRAWS = 12  #: stretches drawn at random from each of them
+LEARNED = 64  #: bytes of a stretch that is learned from
+SPAN, MARGIN = 256, 16  #: bytes labelled at once, and bytes read before and after them
+ROWS = 1024  #: stretches that advance together
 HIDDEN = 16
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -79,12 +80,6 @@ class Gru:
             keep.update(tapes)
         return both @ self.p["o"] + self.p["d"], both
 
-    def probabilities(self, grid: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """[time, row, language]."""
-        q, _ = self.logits(grid, live)
-        q = np.exp(q - q.max(2, keepdims=True))
-        return q / q.sum(2, keepdims=True)
-
     def gradients(self, grid: np.ndarray, live: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over positions and its gradients, by backpropagation through time."""
         tape: dict = {}
@@ -120,32 +115,21 @@ class Gru:
         return loss, g
 
 
-def train(words: dict[str, Counter], steps: int = 700, batch: int = 384, seed: int = 11) -> Gru | None:
-    """Learns from the words of each language. Without words there is no model."""
-    langs = sorted(k for k, v in words.items() if v)
+def train(stretches: dict[str, list[bytes]], steps: int = 450, batch: int = 256, seed: int = 11) -> Gru | None:
+    """Learns from stretches of text of each language. Without any there is no model."""
+    langs = sorted(k for k, v in stretches.items() if v)
     if not langs:
         return None
     net, rng = Gru.fresh(langs), np.random.default_rng(seed)
     if len(langs) == 1:
         return net
-    pool, odds = [], []
-    for c in (words[k] for k in langs):
-        top = sorted(c.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]
-        pool.append([w for w, _ in top])
-        p = np.array([n for _, n in top], float) ** 0.6
-        odds.append(p / p.sum())
+    pool = [stretches[k] for k in langs]
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     for step in range(1, steps + 1):
-        label = rng.integers(0, len(langs), batch)
-        label.sort()
-        picked: list[bytes] = []
-        for i, n in enumerate(np.bincount(label, minlength=len(langs))):
-            picked += [pool[i][j][:24] for j in rng.choice(len(pool[i]), n, p=odds[i])]
-        lens = np.array([len(w) for w in picked])
-        live = np.arange(lens.max()) < lens[:, None]
-        grid = np.zeros(live.shape, np.uint8)
-        grid[live] = np.frombuffer(b"".join(picked), np.uint8)
+        label = np.sort(rng.integers(0, len(langs), batch))
+        picked = [pool[i][j] for i, j in zip(label.tolist(), rng.integers(0, 1 << 62, batch).tolist(), strict=True) for j in (j % len(pool[i]),)]
+        grid, live = _grid(picked)
         _, g = net.gradients(grid, live, label, np.ones(batch, np.float32))
         norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
         rate = 0.02 * min(1, step / 50) * (0.1 ** (step / steps))
@@ -157,54 +141,128 @@ def train(words: dict[str, Counter], steps: int = 700, batch: int = 384, seed: i
     return net
 
 
+def _grid(stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the stretches, padded with 0, and which of them are real."""
+    lens = np.fromiter(map(len, stretches), np.int64, len(stretches))
+    live = np.arange(lens.max()) < lens[:, None]
+    grid = np.zeros(live.shape, np.uint8)
+    grid[live] = np.frombuffer(b"".join(stretches), np.uint8)
+    return grid, live
+
+
+def read_as(text: bytes) -> bytes:
+    """The text as the network reads it."""
+    return b" ".join(lower_ascii(text).split())
+
+
+def drawn(text: bytes, seed: int, draws: int = DRAWS) -> list[bytes]:
+    """Stretches of LEARNED bytes from random places of a text; the whole text if it is no longer."""
+    if len(text) <= LEARNED:
+        return [text] if text else []
+    at = np.random.default_rng(seed).integers(0, len(text) - LEARNED + 1, draws)
+    return [text[i : i + LEARNED] for i in sorted(set(at.tolist()))]
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Gru | None:
-    """Trains on at most `sample` documents a language, those of the smallest hash among rows with a language whose fold isn't held out."""
-    known = docs.select("doc_id", "lang").where("lang is not null").where(fold(5) != 0)
-    ranked = known.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("nth") <= sample).drop("nth")
-    langs = [r[0] for r in ranked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    picked = ranked.where(F.col("lang").isin(langs))
-    rows = documents(docs, "doc_id", "text").join(F.broadcast(picked), "doc_id").select("lang", F.col("text").cast("binary")).toArrow()
-    words: dict[str, Counter] = {k: Counter() for k in langs}
-    for lang, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-        words[lang].update(lower_ascii(text).split())
-    return train(words)
-
-
-def word_sums(net: Gru, words: list[bytes]) -> np.ndarray:
-    """For each word: its number of bytes and the sum over its bytes of each language's probability."""
-    cut = [(i, w[a : a + SPAN]) for i, w in enumerate(words) for a in range(0, len(w), SPAN)]
-    out = np.zeros((len(words), 1 + len(net.langs)), np.float32)
-    owner = np.array([i for i, _ in cut], np.int64)
-    for pick, lens, grid in by_length([w for _, w in cut], SPAN):
-        live = np.arange(grid.shape[1]) < lens[:, None]
-        for a in range(0, len(pick), 4096):
-            q = net.probabilities(grid[a : a + 4096], live[a : a + 4096])
-            sums = (q * live[a : a + 4096].T[:, :, None]).sum(0)
-            np.add.at(out, owner[pick[a : a + 4096]], np.concatenate([lens[a : a + 4096, None], sums], 1))
-    return out
+    """Trains on at most `sample` documents of every language, those of the smallest hash among rows with a language whose fold
+    isn't held out. Tasks draw DRAWS stretches of LEARNED bytes from each; those alone go to the driver, 200 kB a language."""
+    order = F.xxhash64("doc_id")
+    known = docs.select("doc_id", "lang").where("lang is not null").where(fold(5) != 0).withColumn("order", order)
+    ranked = known.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).where(F.col("nth") <= sample)
+    limits = ranked.groupBy("lang").agg(F.max("order").alias("top"))  # one row a language
+    rows = documents(docs, "doc_id", "text", "lang").where(fold(5) != 0).join(F.broadcast(limits), "lang").where(order <= F.col("top")).select("lang", "text", "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch):
+                got = [(lang, x) for lang, i, t in zip(part.column("lang").to_pylist(), part.column("doc_id").to_pylist(), texts, strict=True) for x in drawn(read_as(t), zlib.crc32(str(i).encode()))]
+                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.binary())], names=["lang", "stretch"])
+
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("stretch"), "stretch"))  # rows may share a doc_id
+    got = rows.mapInArrow(run, "lang string, stretch binary").withColumn("nth", turn).where(F.col("nth") <= sample * DRAWS).drop("nth").toArrow()
+    stretches: dict[str, list[bytes]] = {}
+    for lang, x in sorted(zip(got.column("lang").to_pylist(), got.column("stretch").to_pylist(), strict=True)):
+        stretches.setdefault(lang, []).append(x)
+    return train(stretches)
+
+
+class Reader:
+    """A network made ready to read: both directions at once, the halved weights of the gates in one matrix each."""
+
+    def __init__(self, net: Gru) -> None:
+        k = net.p["hf"].shape[0]
+        half = np.concatenate([np.full(2 * k, 0.5), np.ones(k)]).astype(np.float32)  # sigmoid(x) is tanh(x / 2) / 2 + 1 / 2
+        self.k, self.out, self.bias = k, net.p["o"], net.p["d"]
+        self.x = np.stack([(net.p[f"x{w}"] + net.p[f"c{w}"]) * half for w in "fb"])
+        h = np.stack([net.p[f"h{w}"] * half for w in "fb"])
+        self.gates, self.new = np.ascontiguousarray(h[:, :, : 2 * k]), np.ascontiguousarray(h[:, :, 2 * k :])
+
+    def probabilities(self, grid: np.ndarray) -> np.ndarray:
+        """[time, row, language] for rows of equal length."""
+        n, wide = grid.shape
+        k, s = self.k, np.zeros((2, n, self.k), np.float32)
+        both = np.empty((wide, n, 2 * k), np.float32)
+        turned = np.ascontiguousarray(grid.T)
+        a = np.empty((2, n, 3 * k), np.float32)
+        for t in range(wide):
+            np.take(self.x[0], turned[t], 0, a[0])
+            np.take(self.x[1], turned[wide - 1 - t], 0, a[1])
+            zr = np.tanh(a[:, :, : 2 * k] + s @ self.gates)
+            zr += 1
+            zr *= 0.5
+            g = np.tanh(a[:, :, 2 * k :] + (zr[:, :, k:] * s) @ self.new)
+            g -= s
+            g *= zr[:, :, :k]
+            s = s + g
+            both[t, :, :k], both[wide - 1 - t, :, k:] = s
+        q = both @ self.out
+        q += self.bias
+        q -= q.max(2, keepdims=True)
+        np.exp(q, q)
+        q /= q.sum(2, keepdims=True)
+        return q
+
+    def sums(self, texts: list[bytes]) -> np.ndarray:
+        """For each text the sum over its bytes of each language's probability."""
+        out = np.zeros((len(texts), len(self.bias)))
+        places: dict[int, list[tuple[int, int, int, int]]] = {}  # by length: text, first byte read, first and end of those labelled
+        for i, t in enumerate(texts):
+            for a in range(0, len(t), SPAN):
+                low, high = max(0, a - MARGIN), min(len(t), a + SPAN + MARGIN)
+                places.setdefault(high - low, []).append((i, low, a - low, min(SPAN, len(t) - a) + a - low))
+        for size, at in places.items():
+            for first in range(0, len(at), ROWS):
+                part = at[first : first + ROWS]
+                grid = np.frombuffer(b"".join([texts[i][low : low + size] for i, low, _, _ in part]), np.uint8).reshape(len(part), size)
+                q = self.probabilities(grid)
+                edges = np.array([p[2:] for p in part])
+                steps = np.arange(size)[:, None]
+                q *= ((steps >= edges[:, 0]) & (steps < edges[:, 1]))[:, :, None]
+                np.add.at(out, [p[0] for p in part], q.sum(0))
+        return out
 
 
 def language_id(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, lang_pred and score (the mean probability of that language over all bytes of words).
+    """doc_id, held_out, lang_pred and score (the mean probability of that language over all bytes, a run of
+    white space counting as one).
 
-    lang_pred is `und` with score 0 where the text is null or has no letter, and everywhere if no row has a language to
-    learn from. Ties go to the language that sorts first.
+    lang_pred is `und` with score 0 where the text is null or has no letter (Unicode category L), and everywhere if no row has
+    a language to learn from. Ties go to the language that sorts first.
     """
     net = fit(docs, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(lambda words: word_sums(net, words)) if net else None
+        reader = Reader(net) if net else None
         for batch in batches:
             for part, texts in slices(batch):
                 lettered = np.array([net is not None and _LETTER.search(t.decode()) is not None for t in texts], bool)
                 pred, score = np.array(["und"] * len(texts), object), np.zeros(len(texts))
                 if lettered.any():
-                    doc, at, rows = table.look([lower_ascii(t).split() for t in texts])
-                    sums = np.stack([np.bincount(doc, rows[at, j], len(texts)) for j in range(rows.shape[1])], 1)
-                    mean = sums[:, 1:] / np.maximum(sums[:, :1], 1)
+                    mine = [read_as(t) for t, has in zip(texts, lettered, strict=True) if has]
+                    mean = reader.sums(mine) / np.array([[len(t)] for t in mine])
                     best = mean.argmax(1)
-                    pred[lettered] = np.array(net.langs, object)[best[lettered]]
-                    score[lettered] = np.clip(mean[np.arange(len(best)), best], 0, 1)[lettered]
+                    pred[lettered] = np.array(net.langs, object)[best]
+                    score[lettered] = np.clip(mean[np.arange(len(best)), best], 0, 1)
                 yield arrow({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "lang_pred": pred.tolist(), "score": score}, _OUT)
 
     return documents(docs, "doc_id", "text").withColumn("held_out", fold(5) == 0).mapInArrow(run, SCHEMA)
