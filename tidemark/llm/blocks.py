@@ -4,6 +4,11 @@ Counting over a corpus needs each key (a hash of an n-gram) to meet its occurren
 occurrence, a block of a few MB of text sends its distinct keys, sorted, cut by bucket and delta coded, as one binary value
 a bucket; the bucket adds up and answers each block with one number a key, in the block's own order. Blocks are a table in
 the shared folder, so a lost executor costs no more than the tasks it ran.
+
+A bucket answers for a bounded part of the keys, so the number of buckets grows with the corpus, but that of shuffle
+partitions doesn't: beyond MOST of them a partition takes a range of buckets, sorted, and goes through them one by one. A block
+sends nothing to buckets it has no key for, so it never sends more values than it has distinct keys; at worst, with far more
+buckets than keys in a block, the exchange is an ordinary shuffle of one row for each distinct key of a block.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from tidemark.llm.common import documents, lower_ascii, materialise, partitions_
 
 BLOCK_BYTES = 4 << 20  #: text of a block; a longer single text is a block of its own
 BUCKET_BYTES = 24 << 20  #: text that a bucket answers for, roughly
+MOST = 1 << 13  #: shuffle partitions of the exchange
 NULL_ID = np.iinfo(np.int64).max  #: stands for a null doc_id, so it counts as the largest
 _POS_BITS, _SEQ_BITS = 22, 20
 SCHEMA = "block long, kind int, n_docs int, n_bytes long, ids binary, lengths binary, payload binary"
@@ -101,10 +107,38 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return table[np.frombuffer(at, np.int32)] if at else np.zeros(0, np.uint64), np.array(lens, np.int64)
 
 
-def bucket_cuts(keys: np.ndarray, n: int) -> np.ndarray:
-    """Positions at which the sorted 64-bit keys are cut into n buckets of equal ranges."""
-    edges = [(b << 64) // n + (1 if (b << 64) % n else 0) for b in range(1, n)]
-    return np.concatenate([[0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]]).astype(np.int64)
+def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
+    """floor(key * n / 2^64): which of n equal ranges each 64-bit key falls into."""
+    high, low, m = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), np.uint64(n)
+    return ((high * m + (low * m >> np.uint64(32))) >> np.uint64(32)).astype(np.int64)
+
+
+def runs_by_bucket(sorted_keys: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) for each bucket that has keys."""
+    at = bucket_of(sorted_keys, n)
+    edges = np.concatenate([np.flatnonzero(np.diff(at, prepend=-1)), [len(at)]])
+    return list(zip(at[edges[:-1]].tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+
+
+def by_bucket(rows: DataFrame, n: int, answer: Callable[[int, list[dict]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """answer(bucket, all its rows) for each bucket of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = -1, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["bucket"] != bucket and held:
+                    yield from answer(bucket, held)
+                    held = []
+                bucket = r["bucket"]
+                held.append(r)
+        if held:
+            yield from answer(bucket, held)
+
+    if n <= MOST:
+        return rows.repartitionById(n, "bucket").mapInArrow(run, schema)
+    dealt = rows.repartitionById(MOST, F.floor(F.col("bucket").cast("long") * MOST / n).cast("int"))
+    return dealt.sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
 def pack(sorted_keys: np.ndarray) -> bytes:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import joined, materialise
 
 
 IN_ONE_TASK = 1 << 20  #: edges (16 MB) that one task takes in; more go through distributed rounds
@@ -20,7 +20,7 @@ def components(edges: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """edges: a, b (longs, neither null). node, comp: each node of an edge with the smallest node it is connected with.
 
     Up to in_one_task edges, one task joins them in a union-find, which saves the rounds' many small stages. Beyond, large stars hang a node's larger neighbours on its smallest one, small stars its smaller ones; both only re-hang edges, so
-    the number of edges stays linear, and a logarithmic number of rounds suffices. Each round is written to the shared folder;
+    the number of edges stays linear, and a logarithmic number of rounds suffices. Hubs are broadcast, not shuffled on. Each round is written to the shared folder;
     only a count and a checksum come to the driver.
     """
     if edges.count() <= in_one_task:
@@ -29,11 +29,11 @@ def components(edges: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     mark = _mark(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = _pairs(large)  # a > b
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = joined(both.where("b > a"), least, "a", "n", 2 * mark[0]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = materialise(_pairs(large), "edges")  # a > b
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = joined(large, low, "a", "n", mark[0]).select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = materialise(_pairs(small.unionByName(low.select("a", F.col("m").alias("b")))), "edges")
         mark, old = _mark(new), mark
         if mark == old:

@@ -8,9 +8,10 @@
 3. A cluster's different sets are stored in a prefix tree, ordered by their frequency in the cluster. Traversal shares the overlap of
    common beginnings, and leaves a subtree when the remaining lengths can't reach the threshold, or when all its sets are
    in the query's component already: what is connected needs no further link.
-4. A cluster too large for one task is dealt into parts that are joined each by itself. If components remain apart, the sets
-   that share a prefix element are joined in a tree of their own, element by element, with the components found so far; where an
-   element is shared by too many, in one tree for each pair of parts.
+4. A cluster too large for one task is dealt into parts that are joined each by itself. A few sets of each component found
+   are then dealt out and joined again, round by round, so that a large group of near copies becomes one component at linear cost.
+   If components remain apart, the sets that share a prefix element are joined in trees of their own, element by element:
+   those of the element's largest component, in parts, each against all others, which alone are repeated.
 
 Equal sets are one class throughout, so copies cost nothing but their row.
 """
@@ -24,14 +25,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.blocks import NULL_ID, bucket_cuts, chain, mix, n_buckets, pack, pack_counts, texts_of, unpack, unpack_counts, word_hashes, write_blocks
-from tidemark.llm.common import gathered, materialise, partitions_for
+from tidemark.llm.blocks import NULL_ID, by_bucket, chain, mix, n_buckets, pack, pack_counts, runs_by_bucket, texts_of, unpack, unpack_counts, word_hashes, write_blocks
+from tidemark.llm.common import gathered, joined, materialise, partitions_for
 from tidemark.llm.components import IN_ONE_TASK, components
 
 PART_SETS, PART_SIZE = 600, 1 << 20  #: sets, and elements of them, that one prefix tree takes in
+SPEAKERS = 8  #: sets of a component that stand for it while components of a large cluster are joined
 _TRUNCATE = np.uint64(24)  # bits left out while occurrences are counted; they only decide the order
 _POS_BITS = 22
 _DIGEST = 16  #: bytes of the sha256 that tell texts of one doc_id apart
@@ -97,26 +99,24 @@ def _sets_and_requests(k: int, n_b: int, digests: bool):
                 s = sets.sums.view(np.int64)
                 yield _table(_A, {"block": np.full(len(ids), row["block"]), "node": (row["block"] << _POS_BITS) + np.arange(len(ids)), "doc_id": ids, "n": sets.n, "s1": s[0], "s2": s[1]} | ({"digest": [hashlib.sha256(t).digest()[:_DIGEST] for t in texts]} if digests else {}), len(ids))
                 keys, counts = np.unique(sets.key[sets.rep[sets.doc]] >> _TRUNCATE, return_counts=True)
-                cuts = bucket_cuts(keys << _TRUNCATE, n_b).tolist()
-                out = [(b, pack(keys[i:j]), pack_counts(counts[i:j])) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+                out = [(b, pack(keys[i:j]), pack_counts(counts[i:j])) for b, i, j in runs_by_bucket(keys << _TRUNCATE, n_b)]
                 if out:
                     yield _table(_A, {"block": [row["block"]] * len(out), "bucket": [x[0] for x in out], "keys": [x[1] for x in out], "counts": [x[2] for x in out]}, len(out))
 
     return run
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket: answers each block with the logarithm of its keys' occurrences (0: one text alone)."""
-    held = [(r["block"], r["bucket"], unpack(r["keys"]), unpack_counts(r["counts"], 1)[0]) for b in batches for r in b.to_pylist()]
-    if held:
-        _, inverse = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([h[3] for h in held]))
-        code = np.minimum(np.log2(total), 255).astype(np.uint8)
-        at = 0
-        for block, bucket, keys, _ in held:
-            body = zstandard.compress(code[inverse[at : at + len(keys)]].tobytes(), 1)
-            at += len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([body], pa.binary())], names=["block", "bucket", "codes"])
+def _occurrences(bucket: int, asked: list[dict]) -> Iterator[pa.RecordBatch]:
+    """Answers each block with the logarithm of its keys' occurrences (0: one text alone)."""
+    held = [(r["block"], unpack(r["keys"]), unpack_counts(r["counts"], 1)[0]) for r in asked]
+    _, inverse = np.unique(np.concatenate([h[1] for h in held]), return_inverse=True)
+    total = np.bincount(inverse, np.concatenate([h[2] for h in held]))
+    code = np.minimum(np.log2(total), 255).astype(np.uint8)
+    at = 0
+    for block, keys, _ in held:
+        body = zstandard.compress(code[inverse[at : at + len(keys)]].tobytes(), 1)
+        at += len(keys)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([body], pa.binary())], names=["block", "bucket", "codes"])
 
 
 class Forest:
@@ -187,23 +187,21 @@ def _postings(k: int, percent: int, n_b: int):
             out.append(_table(_B, {"a": a, "b": b}, len(a)))
             one = np.append(True, t[1:] != t[:-1]) if len(t) else np.zeros(0, bool)
             t, who = t[one], who[one]
-            cuts = bucket_cuts(t, n_b).tolist()
-            sent = [(i, pack(t[x:y]), who[x:y].astype("<i8").tobytes()) for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+            sent = [(i, pack(t[x:y]), who[x:y].astype("<i8").tobytes()) for i, x, y in runs_by_bucket(t, n_b)]
             out.append(_table(_B, {"bucket": [x[0] for x in sent], "keys": [x[1] for x in sent], "nodes": [x[2] for x in sent]}, len(sent)))
         return pa.Table.from_batches(out, _B)
 
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [(unpack(r["keys"]), np.frombuffer(r["nodes"], "<i8")) for b in batches for r in b.to_pylist()]
-    if held:
-        t, who = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-        order = np.lexsort((who, t))
-        t, who = t[order], who[order]
-        same = np.flatnonzero(t[1:] == t[:-1])
-        a, b = _forest(who[same], who[same + 1])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def _stars(bucket: int, asked: list[dict]) -> Iterator[pa.RecordBatch]:
+    held = [(unpack(r["keys"]), np.frombuffer(r["nodes"], "<i8")) for r in asked]
+    t, who = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+    order = np.lexsort((who, t))
+    t, who = t[order], who[order]
+    same = np.flatnonzero(t[1:] == t[:-1])
+    a, b = _forest(who[same], who[same + 1])
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 class _Node:
@@ -346,25 +344,61 @@ def _links(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """sets: node, n, skip, payload. members: node, cluster of one set a class. Links a, b that connect what the threshold connects."""
     sizes = members.join(sets.select("node", "n"), "node").groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("size"))
     parts = F.ceil(F.greatest(F.col("sets") / PART_SETS, F.col("size") / PART_SIZE)).cast("int")
-    sizes = materialise(gathered(sizes.select("cluster", parts.alias("parts"))), "sizes")
+    sizes = materialise(gathered(sizes.select("cluster", "sets", parts.alias("parts"))), "sizes")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    dealt = sets.join(_sent(members.join(sizes, "cluster")), "node").withColumn("part", part).withColumn("comp", F.col("node"))
+    dealt = sets.join(_sent(joined(members, sizes, "cluster", "sets", members.count()).select("node", "cluster", "parts")), "node").withColumn("part", part).withColumn("comp", F.col("node"))
     links = materialise(_join_groups(dealt, ["cluster", "part"], percent), "links")
-    large = sizes.where("parts > 1").select("cluster")
+    large = sizes.where("parts > 1").select("cluster", "sets")
     if large.isEmpty():
         return links
-    inside = members.join(large, "cluster")
+    inside = materialise(gathered(joined(members, large, "cluster", "sets", members.count(), "left_semi")), "inside")
+    named = _named(inside, links)
+    apart = _apart(named)
+    for seed in range(64):  # ends when components no longer grow together
+        before = int(apart.agg(F.sum("comps")).first()[0] or 0)
+        if not before:
+            return links
+        turn = F.row_number().over(Window.partitionBy("comp").orderBy(F.xxhash64("node", F.lit(seed)), "node"))
+        speakers = named.join(apart.select("cluster"), "cluster").withColumn("turn", turn).where(F.col("turn") <= SPEAKERS).drop("turn")
+        sizes = speakers.join(sets.select("node", "n"), "node").groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("size")).select("cluster", parts.alias("parts"))
+        dealt = sets.select("node", "payload").join(_sent(speakers.join(sizes, "cluster")), "node").withColumn("part", F.pmod(F.xxhash64("node", F.lit(seed)), F.col("parts")).cast("int"))
+        links = links.unionByName(materialise(_join_groups(dealt, ["cluster", "part"], percent), "links"))
+        named = _named(inside, links)
+        apart = _apart(named)
+        if int(apart.agg(F.sum("comps")).first()[0] or 0) > 0.9 * before:
+            break
+    return links.unionByName(_by_element(sets, named.join(apart.select("cluster"), "cluster").select("node", "comp"), percent))
+
+
+def _named(inside: DataFrame, links: DataFrame) -> DataFrame:
+    """node, cluster and comp, the component by the links so far."""
     comps = components(links.join(inside.select(F.col("node").alias("a")), "a", "left_semi").select("a", "b"))
-    named = inside.join(comps, "node", "left").select("node", "cluster", F.coalesce("comp", "node").alias("comp"))
-    split = named.groupBy("cluster").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("cluster")
-    left = sets.join(_sent(named.join(split, "cluster").select("node", "comp")), "node")
+    return materialise(gathered(inside.join(comps, "node", "left").select("node", "cluster", F.coalesce("comp", "node").alias("comp"))), "named")
+
+
+def _apart(named: DataFrame) -> DataFrame:
+    """cluster, comps (components) of the clusters that have several."""
+    return materialise(gathered(named.select("cluster", "comp").distinct().groupBy("cluster").agg(F.count("*").alias("comps")).where("comps > 1")), "apart")
+
+
+def _by_element(sets: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """named: node, comp. All links between components among sets that share a prefix element."""
+    left = sets.join(_sent(named), "node")
     tokens = materialise(gathered(_prefixes(left.select("node", "n", "skip", "payload", "comp"), percent)), "prefix")
-    shared = tokens.groupBy("token").agg(F.count("*").alias("sets"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-    met = tokens.join(shared.select("token", F.ceil(F.col("sets") / PART_SETS).cast("int").alias("parts")), "token").withColumn("part", part)
-    # a pair of parts for each other part; sets of one part meet in the pair with itself, or in any other
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    paired = met.select("token", "node", "comp", "part", other.alias("other")).select("token", "node", "comp", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    return links.unionByName(materialise(_join_groups(sets.select("node", "payload").join(_sent(paired), "node"), ["token", "low", "high"], percent), "links"))
+    held = tokens.groupBy("token", "comp").agg(F.count("*").alias("n"))
+    held = held.groupBy("token").agg(F.sum("n").alias("sets"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    split = lambda n: F.ceil(n / PART_SETS).cast("int")
+    held = held.select("token", "sets", "main", split(F.col("most")).alias("mains"), split(F.col("sets") - F.col("most")).alias("others"))
+    met = joined(tokens, materialise(gathered(held), "shared"), "token", "sets", tokens.count())
+    is_main = F.col("comp") == F.col("main")
+    met = met.select("token", "node", "comp", "mains", "others", is_main.alias("is_main"), F.pmod(F.xxhash64("node"), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int").alias("part"))
+    # a part of the largest component meets each part of the others, and these meet each other
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("others")).otherwise(F.col("mains")) - 1))
+    first = met.select("token", "node", "comp", "is_main", "part", other.alias("other"))
+    first = first.select("token", "node", "comp", F.when(F.col("is_main"), F.col("part")).otherwise(F.col("other")).alias("low"), F.when(F.col("is_main"), F.col("other")).otherwise(F.col("part")).alias("high"))
+    second = met.where("not is_main and others > 1").select("token", "node", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other")).where("part <> other")
+    second = second.select("token", "node", "comp", (-1 - F.least("part", "other")).alias("low"), F.greatest("part", "other").alias("high"))
+    return materialise(_join_groups(sets.select("node", "payload").join(_sent(first.unionByName(second)), "node"), ["token", "low", "high"], percent), "links")
 
 
 def _linked(docs: DataFrame, shingle: int, percent: int, digests: bool) -> DataFrame:
@@ -375,7 +409,7 @@ def _linked(docs: DataFrame, shingle: int, percent: int, digests: bool) -> DataF
     first = materialise(blocks.mapInArrow(_sets_and_requests(shingle, n_b, digests), _A_DDL), "sets")
     rows = first.where("node is not null").select("node", "doc_id", "n", "s1", "s2", "digest")
     asked = first.where("keys is not null").select("block", "bucket", "keys", "counts")
-    codes = asked.repartitionById(n_b, "bucket").mapInArrow(_occurrences, "block long, bucket int, codes binary")
+    codes = by_bucket(asked, n_b, _occurrences, "block long, bucket int, codes binary")
     who = F.struct("doc_id", "digest") if digests else F.col("doc_id")
     classes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("node").alias("node"), F.min(who).alias("least"))
     position = F.col("node").bitwiseAND((1 << _POS_BITS) - 1).cast("int")
@@ -383,7 +417,7 @@ def _linked(docs: DataFrame, shingle: int, percent: int, digests: bool) -> DataF
     codes = codes.withColumn("reps", F.lit(None).cast("array<int>")).unionByName(reps.select("block", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("codes"), "reps"))
     second = materialise(blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(_postings(shingle, percent, n_b), _B_DDL), "postings")
     sets = second.where("payload is not null").select("node", "n", "skip", "payload")
-    met = second.where("keys is not null").select("bucket", "keys", "nodes").repartitionById(n_b, "bucket").mapInArrow(_stars, "a long, b long")
+    met = by_bucket(second.where("keys is not null").select("bucket", "keys", "nodes"), n_b, _stars, "a long, b long")
     met = materialise(gathered(met), "met")
     clusters = components(met.unionByName(second.where("a is not null").select("a", "b")))
     members = clusters.select("node", F.col("comp").alias("cluster"))

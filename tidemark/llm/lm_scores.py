@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tidemark.llm.blocks import NULL_ID, bucket_cuts, chain, n_buckets, pack, pack_counts, texts_of, unpack, unpack_counts, word_hashes, write_blocks
+from tidemark.llm.blocks import NULL_ID, by_bucket, chain, n_buckets, pack, pack_counts, runs_by_bucket, texts_of, unpack, unpack_counts, word_hashes, write_blocks
 from tidemark.llm.common import materialise
 
 ORDER = 2  #: of the n-grams
@@ -84,11 +84,9 @@ def _requests(order: int, n: int):
                     counts = weight * np.bincount(grams.place[k], minlength=len(keys))
                     if k in grams.starts:  # a document's begin is a context once
                         counts[grams.starts[k]] += weight * row["n_docs"]
-                    cuts = bucket_cuts(keys, n).tolist()
-                    for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                        if j > i:
-                            for name, v in zip(out, (b, row["block"], k, row["kind"] == DELETED, pack(keys[i:j]), pack_counts(counts[i:j])), strict=True):
-                                out[name].append(v)
+                    for b, i, j in runs_by_bucket(keys, n):
+                        for name, v in zip(out, (b, row["block"], k, row["kind"] == DELETED, pack(keys[i:j]), pack_counts(counts[i:j])), strict=True):
+                            out[name].append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["block"], pa.int64()), pa.array(out["gram"], pa.int32()), pa.array(out["deleted"], pa.bool_()), pa.array(out["keys"], pa.binary()), pa.array(out["counts"], pa.binary())], names=list(out))
 
     return run
@@ -97,14 +95,11 @@ def _requests(order: int, n: int):
 _ANSWER = pa.schema([("block", pa.int64()), ("gram", pa.int32()), ("bucket", pa.int32()), ("counts", pa.binary()), ("distinct", pa.int64()), ("total", pa.int64())])
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket: adds up and answers every block with the counts of its keys, in the training part and in its deleted part."""
+def _answers(bucket: int, asked: list[dict]) -> Iterator[pa.RecordBatch]:
+    """Adds up and answers every block with the counts of its keys, in the training part and in its deleted part."""
     held: dict[int, list[tuple[int, bool, np.ndarray, np.ndarray]]] = {}
-    bucket = -1
-    for batch in batches:
-        for r in batch.to_pylist():
-            bucket = r["bucket"]
-            held.setdefault(r["gram"], []).append((r["block"], r["deleted"], unpack(r["keys"]), unpack_counts(r["counts"], 1)[0]))
+    for r in asked:
+        held.setdefault(r["gram"], []).append((r["block"], r["deleted"], unpack(r["keys"]), unpack_counts(r["counts"], 1)[0]))
     begin = chain(np.zeros(1, np.uint64), np.array([_BEGIN]))[0]
     for gram in sorted(held):
         rows = held.pop(gram)
@@ -138,33 +133,47 @@ class Counts:
             self.deleted[k] = np.concatenate([*(g[1] for g in got), np.zeros(0, np.int64)])
             assert len(self.total[k]) == len(self.grams.keys[k]), "answers are missing"
 
-    def estimates(self, n: int, v: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(bucket of each token's context, [order + 1, token] estimates, the uniform one first)."""
+    def estimates(self, n: int, v: int, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bucket of each token's context, [order + 1, token] estimates, the uniform one first, and which of them there are).
+
+        A context that was never seen has no estimate.
+        """
         count = {k: self.total[k] if whole else self.total[k] - self.deleted[k] for k in self.total}
         g = self.grams
         p = np.zeros((self.order + 1, len(g.place[1])))
+        there = np.ones(p.shape, bool)
         p[0] = 1 / (v + 1)
+        there[1] = n > 0
         p[1] = count[1][g.place[1]] / max(n, 1)
         seen = np.full(p.shape[1], n)
         for k in range(2, self.order + 1):
             seen = count[k - 1][g.context[k]]
+            there[k] = seen > 0
             p[k] = count[k][g.place[k]] / np.maximum(seen, 1)
-        return np.minimum(np.log2(seen + 1).astype(np.int64), BUCKETS - 1), p
+        return np.minimum(np.log2(seen + 1).astype(np.int64), BUCKETS - 1), p, there
+
+
+def mixed(lam: np.ndarray, p: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Interpolated probabilities. The weights of estimates that a context lacks go to its others, so that all words' sum to 1."""
+    return (lam.T * p * there).sum(0) / (lam.T * there).sum(0)
 
 
 def learn(cells: np.ndarray, weight: np.ndarray, order: int, rounds: int = 60) -> np.ndarray:
     """Mixture weights [bucket, component] by expectation-maximisation.
 
-    cells: rows of (bucket, cell of each order's estimate: log2 ratio to the uniform one in STEPs, or -1 for none). A bucket
-    with few tokens leans on the weights over all buckets.
+    cells: rows of (bucket, cell of each order's estimate: log2 ratio to the uniform one in STEPs, -1 for probability 0, -2 for
+    a context that was never seen). A bucket with few tokens leans on the weights over all buckets.
     """
     ratio = np.where(cells[:, 1:] < 0, 0.0, 2.0 ** ((cells[:, 1:] - 64 + 0.5) / STEP))
     like = np.concatenate([np.ones((len(cells), 1)), ratio], 1)
+    lack = np.concatenate([np.zeros((len(cells), 1)), cells[:, 1:] == -2], 1)
 
     def em(lam: np.ndarray, group: np.ndarray, prior: np.ndarray) -> np.ndarray:
         for _ in range(rounds):
             post = lam[group] * like
-            post *= (weight / post.sum(1))[:, None]
+            post /= post.sum(1, keepdims=True)
+            none = lam[group] * lack  # such a token says nothing of an estimate it lacks: that keeps its weight
+            post = weight[:, None] * (post * (1 - none.sum(1, keepdims=True)) + none)
             sums = prior + np.stack([np.bincount(group, post[:, j], len(lam)) for j in range(order + 1)], 1)
             lam = sums / sums.sum(1, keepdims=True)
         return np.maximum(lam, 1e-7) / np.maximum(lam, 1e-7).sum(1, keepdims=True)
@@ -180,9 +189,9 @@ def _cells(n: int, v: int, order: int):
     names = ["bucket", *[f"c{k}" for k in range(1, order + 1)]]
 
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        bucket, p = Counts(block, answers, order).estimates(n, v, whole=False)
+        bucket, p, there = Counts(block, answers, order).estimates(n, v, whole=False)
         with np.errstate(divide="ignore"):
-            cell = np.where(p[1:] > 0, np.clip(np.floor(STEP * np.log2(np.maximum(p[1:], 1e-300) / p[0])) + 64, 0, 400), -1).astype(np.int64)
+            cell = np.where(p[1:] > 0, np.clip(np.floor(STEP * np.log2(np.maximum(p[1:], 1e-300) / p[0])) + 64, 0, 400), np.where(there[1:], -1, -2)).astype(np.int64)
         rows, counts = np.unique(np.concatenate([bucket[None], cell]).T, axis=0, return_counts=True)
         return pa.table([*(pa.array(rows[:, j]) for j in range(order + 1)), pa.array(counts.astype(np.int64))], names=[*names, "n"])
 
@@ -203,12 +212,13 @@ def lm_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Scores of every row's whole text; see SCHEMA.
 
     A text's tokens are its words (runs of bytes other than space and \\x09-\\x0D, ASCII letters lowered) and one end. Null and
-    empty texts have the end alone. Without training rows, counts are 0 and N is 0, and every token scores as unknown.
+    empty texts have the end alone. Without training rows, counts are 0 and N is 0, and every token scores as unknown. Where a
+    token's context was never seen, the weights of the estimates that are left are scaled to 1.
     """
     blocks = write_blocks(docs, kind_of)
     n_b = n_buckets(blocks)
     asked = blocks.mapInArrow(_requests(order, n_b), "bucket int, block long, gram int, deleted boolean, keys binary, counts binary")
-    answers = materialise(asked.repartitionById(n_b, "bucket").mapInArrow(_answers, "block long, gram int, bucket int, counts binary, distinct long, total long"), "answers")
+    answers = materialise(by_bucket(asked, n_b, _answers, "block long, gram int, bucket int, counts binary, distinct long, total long"), "answers")
     sums = answers.where("block = -1").agg(F.sum("distinct").alias("v"), F.sum("total").alias("n")).first()
     v, n = int(sums.v or 0), int(sums.n or 0)
     replies = answers.where("block >= 0").select("block", "gram", "bucket", "counts")
@@ -217,16 +227,16 @@ def lm_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     grid = np.array([list(r) for r in cells.groupBy(*names).agg(F.sum("n").alias("n")).orderBy(*names).collect()], np.int64).reshape(-1, order + 2)
     lam = learn(grid[:, :-1], grid[:, -1].astype(float), order)
 
-    def score(block: pa.Table, reply: pa.Table) -> pa.Table:
+    def scores(block: pa.Table, reply: pa.Table) -> pa.Table:
         counts = Counts(block, reply, order)
         g = counts.grams
-        bucket, p = counts.estimates(n, v, whole=True)
+        bucket, p, there = counts.estimates(n, v, whole=True)
         c = counts.total[1][g.place[1]]
         first = np.concatenate([[0], np.cumsum(g.lens)[:-1]])
         add = lambda x: np.add.reduceat(x, first)
         base = add(np.log10((c + 0.5) / (n + 0.5 * (v + 1))))
-        mixed = add(np.log10((lam[bucket].T * p).sum(0)))
-        rows = {"doc_id": pa.array(counts.ids, mask=counts.ids == NULL_ID), "held_out": [counts.kind == HELD_OUT] * len(g.lens), "n_tokens": g.lens, "n_known": add((c > 0).astype(np.int64)), "train_tokens": np.full(len(g.lens), n), "base_score": base, "score": mixed}
+        score = add(np.log10(mixed(lam[bucket], p, there)))
+        rows = {"doc_id": pa.array(counts.ids, mask=counts.ids == NULL_ID), "held_out": [counts.kind == HELD_OUT] * len(g.lens), "n_tokens": g.lens, "n_known": add((c > 0).astype(np.int64)), "train_tokens": np.full(len(g.lens), n), "base_score": base, "score": score}
         return pa.table([pa.array(rows[f.name], f.type) if not isinstance(rows[f.name], pa.Array) else rows[f.name] for f in _OUT], schema=_OUT)
 
-    return _with_replies(blocks, replies, score, SCHEMA)
+    return _with_replies(blocks, replies, scores, SCHEMA)
