@@ -28,13 +28,13 @@ def any_of(c: Column, phrases: tuple[str, ...]) -> Column:
 
 
 def event_kind(c: Column) -> Column:
-    """correct > conflict > supersede (text starts so) > repeat > assert."""
+    """correct > conflict > supersede (the text starts so) > repeat (the text starts so) > assert."""
     low = F.lower(folded(c))
     starts = F.lit(False)
     for p in L.CHANGE_MARKERS:
         starts = starts | low.startswith(p)
-    return (F.when(any_of(low, L.CORRECTION_MARKERS), "correct").when(any_of(low, L.ALTERNATIVE_SOURCE_MARKERS), "conflict")
-            .when(starts, "supersede").when(any_of(low, L.REPEAT_MARKERS), "repeat").otherwise("assert"))
+    return (F.when(low.rlike(L.RETRACTION), "correct").when(any_of(low, L.ALTERNATIVE_SOURCE_MARKERS), "conflict")
+            .when(starts, "supersede").when(low.rlike(L.RESTATEMENT), "repeat").otherwise("assert"))
 
 
 def cheap_label(c: Column) -> tuple[Column, Column]:
@@ -84,13 +84,19 @@ def token_estimate(c: Column) -> Column:
     return F.greatest(F.lit(1), F.floor((F.octet_length(c) + 3) / 4)).cast("bigint")
 
 
+def without_first(c: Column, phrase: str) -> Column:
+    """The text without the first place where the phrase stands."""
+    return F.regexp_replace(c, "(?s)^(.*?)" + phrase, "$1")
+
+
 def proposition(c: Column) -> Column:
-    """What a sentence claims, without the markers that say how it relates to an earlier one."""
-    out = F.lower(folded(c))
-    for group in (L.CORRECTION_MARKERS, L.REPEAT_MARKERS, L.CHANGE_MARKERS, L.ALTERNATIVE_SOURCE_MARKERS):
-        for m in sorted(group, key=len, reverse=True):
-            out = F.replace(out, F.lit(m), F.lit(""))
-    return F.regexp_replace(folded(out), r"^[ .,:;!?–—-]+|[ .,:;!?–—-]+$", "")
+    """What a sentence claims, in lower case, without the phrases that say how it relates to an earlier one: the restating
+    beginning, all retractions, and of each change and hearsay marker, longest first, its first place."""
+    out = F.regexp_replace(F.regexp_replace(F.lower(folded(c)), L.RESTATEMENT, ""), L.RETRACTION, "")
+    for m in sorted((*L.CHANGE_MARKERS, *L.ALTERNATIVE_SOURCE_MARKERS), key=len, reverse=True):
+        out = without_first(out, m)
+    out = F.regexp_replace(F.regexp_replace(out, r"^[\s,;:.]+", ""), r"\s{2,}", " ")
+    return F.regexp_replace(F.trim(out), r"[ .!?]+$", "")
 
 
 def answer_normal(c: Column) -> Column:

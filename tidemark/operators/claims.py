@@ -6,9 +6,6 @@ later steps reuse.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,50 +120,41 @@ def relation(held_value: Column, new_value: Column, kind: Column, cardinality: C
 BEHAVES_LIKE = {"click": "role", "purchase": "employer", "error": "salary", "signup": "birthday", "view": "preference"}
 
 
-def adjacent_relations(claims: DataFrame) -> DataFrame:
+def declared(predicate: Column, like: dict[str, str] | None = None) -> tuple[Column, Column, Column]:
+    """(cardinality, behaviour, volatility) of a predicate, null if nobody declared it."""
+    names = BEHAVES_LIKE if like is None else like
+    s = semantics()[F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[predicate]]
+    return s[0], s[1], s[2]
+
+
+def adjacent_relations(claims: DataFrame, like: dict[str, str] | None = None) -> DataFrame:
     """Each claim against the one before it in its slot."""
     w = Window.partitionBy(*SLOT).orderBy(*ORDER)
-    like = F.create_map(*[F.lit(x) for kv in BEHAVES_LIKE.items() for x in kv])
-    s = semantics()[like[F.col("predicate")]]
     prior = claims.withColumn("held", F.lag("bucket").over(w)).withColumn("held_at", F.lag("observed_at").over(w)).where("held is not null")
-    rel, rule, conf = relation(F.col("held"), F.col("bucket"), F.col("kind"), s[0], s[1], s[2], F.col("held_at"), F.col("observed_at"))
+    rel, rule, conf = relation(F.col("held"), F.col("bucket"), F.col("kind"), *declared(F.col("predicate"), like), F.col("held_at"), F.col("observed_at"))
     return prior.select("event_id", *SLOT, rel.alias("relation"), rule.alias("rule"), conf.alias("confidence"))
 
 
-def held_relations(claims: DataFrame) -> DataFrame:
-    """Each claim against the one currently held: a fold, since only SUPERSEDE and CORRECT replace what is held.
+def held_relations(claims: DataFrame, like: dict[str, str] | None = None) -> DataFrame:
+    """Each claim against the one held when it came: event_id, subject, predicate, relation, held (after it).
 
-    Slots are dealt by hash and read in order, so the fold holds one value however long a slot's history is.
+    The first claim of a slot, corrections, and supersessions of a revisable single-valued predicate are what is held; all others
+    leave it. So the held claim is the last such one before: windows over the slot, no fold. A supersession replaces only what
+    was held at an earlier time; of several at one time the first counts.
     """
-    rules = {p: L.SEMANTICS[like] for p, like in BEHAVES_LIKE.items()}
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slot, held = None, None
-        for rows in batches:
-            out = []
-            for event, subject, predicate, bucket, kind in zip(*(rows[c] for c in ("event_id", "subject", "predicate", "bucket", "kind")), strict=True):
-                if (subject, predicate) != slot:
-                    slot, held = (subject, predicate), None
-                cardinality, behaviour, _ = rules[predicate]
-                if held is None:
-                    rel, held = "FIRST", bucket
-                elif bucket == held:
-                    rel = "REPEAT"
-                elif kind == "correct":
-                    rel, held = "CORRECT", bucket
-                elif kind == "conflict" or behaviour == "immutable":
-                    rel = "CONFLICT"
-                elif cardinality == "many":
-                    rel = "COEXIST"
-                elif kind == "supersede":
-                    rel, held = "SUPERSEDE", bucket
-                else:
-                    rel = "UNKNOWN"
-                out.append((event, subject, predicate, rel, held))
-            yield pd.DataFrame(out, columns=["event_id", "subject", "predicate", "relation", "held"])
-
-    rows = claims.select("event_id", *SLOT, "bucket", "kind", "observed_at").repartition(*SLOT).sortWithinPartitions(*SLOT, *ORDER)
-    return rows.mapInPandas(fold, "event_id long, subject long, predicate string, relation string, held int")
+    cardinality, behaviour, volatility = declared(F.col("predicate"), like)
+    line = Window.partitionBy(*SLOT).orderBy(*ORDER)
+    before = line.rowsBetween(Window.unboundedPreceding, -1)
+    same_time = Window.partitionBy(*SLOT, "observed_at").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.row_number().over(line) == 1
+    may = first | (F.col("kind") == "correct") | ((F.col("kind") == "supersede") & F.coalesce((cardinality == "one") & (behaviour != "immutable"), F.lit(False)))
+    rows = claims.select("event_id", *SLOT, "bucket", "kind", "observed_at").withColumn("first", first).withColumn("may", may)
+    late = F.coalesce(F.max(F.col("may").cast("int")).over(same_time), F.lit(0)) > 0
+    rows = rows.withColumn("sets", F.col("may") & ((F.col("kind") != "supersede") | F.col("first") | ~late))
+    held = F.last(F.when(F.col("sets"), F.struct("bucket", "observed_at")), ignorenulls=True).over(before)
+    rel, _, _ = relation(F.col("was.bucket"), F.col("bucket"), F.col("kind"), cardinality, behaviour, volatility, F.col("was.observed_at"), F.col("observed_at"))
+    now = F.when(F.col("sets"), F.col("bucket")).otherwise(F.col("was.bucket"))
+    return rows.withColumn("was", held).select("event_id", *SLOT, F.when(F.col("first"), "FIRST").otherwise(rel).alias("relation"), now.alias("held"))
 
 
 def current_state(transitions: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import written
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """edges: source, target. Both directions, without repeats and loops."""
@@ -18,12 +20,14 @@ def neighbours(edges: DataFrame) -> DataFrame:
 
 
 def distances(edges: DataFrame, start: str, max_nodes: int = 4) -> DataFrame:
-    """node, hops from the start, as far as a path of max_nodes nodes leads. One join a hop on the frontier; nodes reached before are left out."""
-    both = undirected(edges)
-    seen = both.sparkSession.createDataFrame([(start, 0)], "node string, hops int")
+    """node, hops from the start, as far as a path of max_nodes nodes leads. One join a hop on the frontier; nodes reached before
+    are left out. Edges and frontiers are written, so that no hop repeats those before it."""
+    both = written(undirected(edges), "edges")
+    seen = written(both.sparkSession.createDataFrame([(start, 0)], "node string, hops int"), "hop")
     front = seen
     for hop in range(1, max_nodes):
-        front = front.join(both, F.col("node") == F.col("source")).select(F.col("target").alias("node"), F.lit(hop).alias("hops")).distinct().join(seen.select("node"), "node", "left_anti")
+        front = front.join(both, F.col("node") == F.col("source")).select(F.col("target").alias("node"), F.lit(hop).alias("hops")).distinct()
+        front = written(front.join(seen.select("node"), "node", "left_anti"), "hop")
         seen = seen.unionByName(front)
     return seen
 

@@ -1,5 +1,4 @@
-"""Lexical, vector and hybrid ranking. Term statistics come from one token table; candidates meet queries through an equi-join
-on tokens, so only pairs that share a token are scored."""
+"""Selection from ranked candidates: unions, diversity, packing, clusters; and embedding of texts."""
 
 from __future__ import annotations
 
@@ -9,9 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import lexicon as L
-from tidemark.functions import scores as S
 from tidemark.functions import text as T
+from tidemark.operators.matching import ranked
 
 
 def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -19,71 +17,6 @@ def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.select(key, F.explode(T.tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, top: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """queries: item_id, text. The best documents of each query: item_id, doc_id, score, rank; ties go to the smaller doc_id."""
-    terms = term_counts(docs, "doc_id")
-    wanted = queries.select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    lengths = docs.select("doc_id", F.size(T.tokens(F.col("text"))).alias("dl"))
-    n, avgdl = docs.agg(F.count("*")).scalar(), lengths.agg(F.avg("dl")).scalar()
-    hits = terms.join(wanted.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(df, "term").join(lengths, "doc_id").join(wanted, "term")
-    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    total = scored.groupBy("item_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return ranked(total, "item_id", [F.desc("score"), "doc_id"], top)
-
-
-def ranked(rows: DataFrame, by: str, order: list, top: int) -> DataFrame:
-    w = Window.partitionBy(by).orderBy(*order)
-    return rows.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= top)
-
-
-def tf_cosine(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """item_id, doc_id, cosine of term-count vectors, overlap (shared distinct terms); pairs without a shared term are absent."""
-    d, q = term_counts(docs, "doc_id"), term_counts(queries, "item_id").withColumnRenamed("tf", "qf")
-    norm = lambda t, k, c: t.groupBy(k).agg(F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"norm_{k}"))
-    dot = d.join(q, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("tf") * F.col("qf")).alias("dot"), F.count("*").alias("overlap"))
-    return dot.join(norm(d, "doc_id", "tf"), "doc_id").join(norm(q, "item_id", "qf"), "item_id").select("item_id", "doc_id", (F.col("dot") / (F.col("norm_doc_id") * F.col("norm_item_id"))).alias("cosine"), "overlap")
-
-
-def idf_coverage(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """Share of a query's idf mass, ln(1 + N / (1 + df)), that a document covers."""
-    n = docs.agg(F.count("*")).scalar()
-    terms = term_counts(docs, "doc_id")
-    wanted = queries.select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    df = wanted.select("term").distinct().join(terms.groupBy("term").agg(F.count("*").alias("df")), "term", "left").select("term", F.log(1 + n / (1 + F.coalesce("df", F.lit(0)))).alias("idf"))
-    weighted = wanted.join(df, "term")
-    mass = weighted.groupBy("item_id").agg(F.sum("idf").alias("mass"))
-    got = weighted.join(terms, "term").groupBy("item_id", "doc_id").agg(F.sum("idf").alias("got"))
-    return got.join(mass, "item_id").select("item_id", "doc_id", F.round(F.col("got") / F.col("mass"), 6).alias("coverage"))
-
-
-def hybrid(memories: DataFrame, lexical: DataFrame, query_types: DataFrame, top: int, relevance_first: bool = False) -> DataFrame:
-    """lexical: item_id, memory_id, cosine, overlap. query_types: item_id, kind. The ranked recall with its score parts.
-
-    Totals of 0.05 or less are dropped. relevance_first selects by the parts that speak of the query, then orders by the total.
-    """
-    type_score = F.lit(0.0)
-    for kind, table in L.TYPE_SCORES.items():
-        type_score = F.when(F.col("kind") == kind, S.lookup(F.col("memory_type"), table)).otherwise(type_score)
-    parts = {
-        "lexical": 2 * F.col("cosine") + F.least(0.3 * F.col("overlap"), F.lit(1.2)),
-        "confidence": 0.55 * F.col("confidence"), "trust": 0.45 * F.col("trust_tier") / 5, "utility": 0.25 * F.col("utility"), "salience": 0.20 * F.col("salience"),
-        "reinforcement": F.least(0.04 * F.col("reinforcement"), F.lit(0.25)), "contradiction": -F.least(0.15 * F.col("contradiction"), F.lit(0.75)), "type": type_score,
-        "governance": F.when(F.col("lifecycle_state").isin("stable", "reinforced"), 0.20).when(F.col("lifecycle_state").isin("challenged", "deprecated", "archived"), -0.80).otherwise(0.0) + F.when(F.col("memory_type") == "exception", -1.50).otherwise(0.0),
-        "epistemic": S.lookup(F.col("epistemic_status"), L.EPISTEMIC_SCORES) + S.lookup(F.col("verification_status"), L.VERIFICATION_SCORES),
-    }
-    relevant = ("lexical", "type")
-    rows = lexical.join(memories, "memory_id").join(query_types, "item_id").withColumns({f"p_{k}": v for k, v in parts.items()})
-    total = rows.withColumn("score", F.round(sum((F.col(f"p_{k}") for k in parts), F.lit(0.0)), 6)).withColumn("relevance", F.round(sum((F.col(f"p_{k}") for k in relevant), F.lit(0.0)), 6)).where("score > 0.05")
-    order = [F.desc("score"), F.desc("trust_tier"), F.desc("confidence"), "memory_id"]
-    if relevance_first:
-        chosen = ranked(total, "item_id", [F.desc("relevance"), F.desc("score"), F.desc("trust_tier"), "memory_id"], top).drop("rank")
-        return ranked(chosen, "item_id", order, top)
-    return ranked(total, "item_id", order, top)
-
-
 def candidate_union(stages: list[DataFrame], key: str, most: int) -> DataFrame:
     """Rows of all stages (each: key, pos), an earlier stage's first, without repeats, cut to `most` in that order."""
     both = None
@@ -94,21 +27,6 @@ def candidate_union(stages: list[DataFrame], key: str, most: int) -> DataFrame:
     return first.orderBy("stage", "pos", key).limit(most)
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
-    """vectors and queries: vec_id, embedding. The nearest vectors of each query by cosine, itself left out.
-
-    The queries are a stated set: each block of vectors meets all of them, and only `top` rows a block and query go on.
-    """
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = vectors.join(F.broadcast(q) if _small(q) else q, F.col("vec_id") != F.col("query_id"))
-    return ranked(pairs.select("query_id", "vec_id", F.round(S.cosine(F.col("q"), F.col("embedding")), 6).alias("cosine")), "query_id", [F.desc("cosine"), "vec_id"], top)
-
-
-def _small(df: DataFrame, rows: int = 10_000) -> bool:
-    """Whether the frame has few enough rows to be sent to every executor."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def diverse(rows: DataFrame, by: str, top: int, most_alike: float = 0.8) -> DataFrame:
     """rows: by, doc_id, score, terms (array). Greedy selection in descending score: a row too alike to a chosen one is passed over.
 

@@ -78,15 +78,28 @@ def query_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.query_kind(F.col("text")).alias("kind"))
 
 
-@query("event_kind_of_text", f"""WITH t AS (SELECT doc_id, lower({_fold('text')}) AS x FROM documents) SELECT doc_id, CASE WHEN {_contains('x', L.CORRECTION_MARKERS)} THEN 'correct' WHEN {_contains('x', L.ALTERNATIVE_SOURCE_MARKERS)} THEN 'conflict'
- WHEN {' OR '.join(f"starts_with(x, '{q(m)}')" for m in L.CHANGE_MARKERS)} THEN 'supersede' WHEN {_contains('x', L.REPEAT_MARKERS)} THEN 'repeat' ELSE 'assert' END AS kind FROM t""")
+#: beginnings of a statement, and what each makes of it
+FRAMES = (
+    ("", "assert"), ("Nhắc lại, ", "repeat"), ("Đính chính: ", "correct"), ("Từ hôm nay, ", "supersede"), ("Theo một nguồn khác, ", "conflict"), ("Again,  ", "repeat"), ("Actually, ", "correct"),
+    ("Xin lỗi, thông tin ", "correct"), ("As of ", "supersede"), ("Reportedly ", "conflict"),
+)
+
+
+def _framed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = F.element_at(F.array(*[F.lit(f) for f, _ in FRAMES]), (F.col("doc_id") % len(FRAMES) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(frame, F.lit("lương của Phạm Nam vẫn là "), F.col("doc_id").cast("string"), F.lit(" triệu. ")).alias("x"))
+
+
+@query("event_kind_of_text", f"SELECT doc_id, [{', '.join(repr(k) for _, k in FRAMES)}][doc_id % {len(FRAMES)} + 1] AS kind FROM documents")
 def event_kind_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.event_kind(F.col("text")).alias("kind"))
+    """What statements do to an earlier one; the SQL states the kinds literally. "Still" inside a sentence doesn't make a repetition."""
+    return _framed(spark, sf_dir).select("doc_id", T.event_kind(F.col("x")).alias("kind"))
 
 
-@query("proposition_key", None)
+@query("proposition_key", "SELECT doc_id, 'lương của phạm nam vẫn là ' || doc_id || ' triệu' AS key FROM documents")
 def proposition_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(T.proposition(F.col("text")).cast("binary")).alias("key"))
+    """What statements claim, the same for every way of framing them."""
+    return _framed(spark, sf_dir).select("doc_id", T.proposition(F.col("x")).alias("key"))
 
 
 @query("time_sensitive", f"SELECT doc_id, regexp_matches(text, '{q(L.PERISHABLE)}', 'i') AS perishable, (doc_id % 200) >= 90 AND regexp_matches(text, '{q(L.PERISHABLE)}', 'i') AS stale FROM documents")

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tidemark.functions import lexicon as L
 from tidemark.functions import scores as S
 from tidemark.functions import text as T
+from tidemark.operators import matching as M
+from tidemark.operators import recall
 from tidemark.operators import retrieval as R
 from tidemark.plans.registry import query
-from tidemark.sources.adapters import MEMORIES_SQL, memories, table
+from tidemark.sources.adapters import ASKED_SQL, MEMORIES_SQL, RECALLABLE_SQL, asked, memories, recallable, table
 
 TOK = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 1)"
 DT = f"dt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOK}) AS term FROM documents) GROUP BY ALL)"
@@ -31,18 +33,18 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT item_id, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a)))::DOUBLE, 6) AS score FROM qt JOIN dt USING (term) JOIN df USING (term) JOIN l USING (doc_id), k GROUP BY item_id, doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10""")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25(_docs(spark, sf_dir), _queries(spark, sf_dir), 10)
+    return M.bm25(_docs(spark, sf_dir), _queries(spark, sf_dir), 10)
 
 
 @query("tf_cosine", f"WITH {COS} SELECT item_id, doc_id, round(cosine::DOUBLE, 6) AS cosine, overlap FROM cs WHERE overlap >= 5")
 def tf_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.tf_cosine(_docs(spark, sf_dir), _queries(spark, sf_dir)).where("overlap >= 5").select("item_id", "doc_id", F.round("cosine", 6).alias("cosine"), "overlap")
+    return M.tf_cosine(_docs(spark, sf_dir), _queries(spark, sf_dir), 5).select("item_id", "doc_id", F.round("cosine", 6).alias("cosine"), "overlap")
 
 
 @query("idf_coverage", f"""WITH {DT}, {QT}, df AS (SELECT term, count(*) AS df FROM dt GROUP BY 1), w AS (SELECT item_id, term, ln(1 + (SELECT count(*) FROM documents) / (1 + coalesce(df, 0))::DOUBLE) AS idf FROM qt LEFT JOIN df USING (term)),
 m AS (SELECT item_id, sum(idf) AS mass FROM w GROUP BY 1) SELECT item_id, doc_id, round(sum(idf) / any_value(mass), 6) AS coverage FROM w JOIN dt USING (term) JOIN m USING (item_id) GROUP BY item_id, doc_id""")
 def idf_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.idf_coverage(_docs(spark, sf_dir), _queries(spark, sf_dir))
+    return M.idf_coverage(_docs(spark, sf_dir), _queries(spark, sf_dir))
 
 
 def _case(c: str, t: dict[str, float]) -> str:
@@ -51,30 +53,60 @@ def _case(c: str, t: dict[str, float]) -> str:
 
 _KIND = "CASE " + " ".join("WHEN " + " OR ".join("contains(lower(text), '" + p.replace("'", "''") + "')" for p in ps) + f" THEN '{n}'" for n, ps in L.QUERY_TYPES) + " ELSE 'factual' END"
 _TYPE = "CASE " + " ".join(f"WHEN kind = '{k}' THEN {_case('memory_type', t)}" for k, t in L.TYPE_SCORES.items()) + " ELSE 0 END"
-HYB = f"""{COS}, {MEMORIES_SQL}, kinds AS (SELECT item_id, {_KIND} AS kind FROM benchmark),
-parts AS (SELECT c.item_id, m.*, (2 * cosine + least(0.3 * overlap, 1.2))::DOUBLE AS p_lex, ({_TYPE})::DOUBLE AS p_type, (0.55 * confidence + 0.45 * trust_tier / 5 + 0.25 * utility + 0.20 * salience + least(0.04 * reinforcement, 0.25) - least(0.15 * contradiction, 0.75)
-  + CASE WHEN lifecycle_state IN ('stable', 'reinforced') THEN 0.2 WHEN lifecycle_state IN ('challenged', 'deprecated', 'archived') THEN -0.8 ELSE 0 END + CASE WHEN memory_type = 'exception' THEN -1.5 ELSE 0 END
-  + {_case('epistemic_status', L.EPISTEMIC_SCORES)} + {_case('verification_status', L.VERIFICATION_SCORES)})::DOUBLE AS p_rest FROM cs c JOIN memories m ON m.memory_id = c.doc_id JOIN kinds USING (item_id)),
-tot AS (SELECT *, round(p_lex + p_type + p_rest, 6) AS score, round(p_lex + p_type, 6) AS relevance FROM parts WHERE round(p_lex + p_type + p_rest, 6) > 0.05)"""
+NOW, STATE, FLOOR = "2026-06-01 00:00:00", {"mode": "m1", "risk_level": "high"}, 0.1
+_AQT = QT.replace("benchmark", "asked")
+_TIME = L.STATED_TIME.replace("(?iu)", "(?i)").replace("'", "''")
+HYB = f"""{RECALLABLE_SQL}, {ASKED_SQL}, {DT}, {_AQT}, dn AS (SELECT doc_id, sqrt(sum(tf * tf)) AS n FROM dt GROUP BY 1), qn AS (SELECT item_id, sqrt(sum(qf * qf)) AS n FROM qt GROUP BY 1),
+cs AS (SELECT item_id, doc_id, sum(tf * qf) / (any_value(dn.n) * any_value(qn.n)) AS cosine, count(*) AS overlap FROM dt JOIN qt USING (term) JOIN dn USING (doc_id) JOIN qn USING (item_id) GROUP BY item_id, doc_id),
+kinds AS (SELECT *, {_KIND} AS kind FROM asked WHERE item_id IN (SELECT item_id FROM qt)),
+pairs AS (SELECT k.item_id, k.kind, m.*, 2 * coalesce(cosine, 0) AS semantic, least(0.3 * coalesce(overlap, 0), 1.2)::DOUBLE AS lexical, coalesce(overlap, 0) AS overlap, CASE WHEN m.embedding IS NOT NULL AND k.embedding IS NOT NULL THEN list_cosine_similarity(list_transform(m.embedding, lambda x: x::DOUBLE), list_transform(k.embedding, lambda x: x::DOUBLE)) END AS near
+  FROM recallable m JOIN kinds k ON (k.tenant IS NULL OR k.tenant = m.tenant) AND (k.workspace IS NULL OR m.workspace IS NULL OR k.workspace = m.workspace) AND CASE m.security_label WHEN 'public' THEN 0 WHEN 'internal' THEN 1 WHEN 'confidential' THEN 2 ELSE 3 END <= k.clearance
+  LEFT JOIN cs ON cs.item_id = k.item_id AND cs.doc_id = m.memory_id),
+parts AS (SELECT *, coalesce(2 * near, 0) AS embedding_part, (({_TYPE}) + CASE WHEN tag_mode = 'm1' THEN 2.25 ELSE 0 END + CASE WHEN memory_type IN ('policy', 'exception') THEN 0.45 ELSE 0 END
+    + CASE WHEN ctx_mode = 'm1' THEN 0.35 WHEN ctx_mode IS NOT NULL THEN -0.5 ELSE 0 END + CASE WHEN ctx_risk = 'high' THEN 0.35 WHEN ctx_risk IS NOT NULL THEN -0.5 ELSE 0 END
+    + CASE WHEN kind <> 'temporal' THEN 0 WHEN valid_from <= TIMESTAMP '{NOW}' AND (valid_to IS NULL OR TIMESTAMP '{NOW}' < valid_to) THEN 0.65 WHEN valid_from IS NOT NULL OR valid_to IS NOT NULL THEN 0.25 WHEN regexp_matches(content, '{_TIME}') THEN 0.55 ELSE 0 END)::DOUBLE AS by_kind,
+  round((0.55 * confidence + 0.45 * trust_tier / 5 + 0.25 * utility + 0.20 * salience + least(0.04 * reinforcement, 0.25) - least(0.15 * contradiction, 0.75)
+  + CASE WHEN lifecycle_state IN ('stable', 'reinforced') THEN 0.2 WHEN lifecycle_state IN ('challenged', 'deprecated', 'archived') THEN -0.8 ELSE 0 END
+  + CASE WHEN memory_type <> 'exception' THEN 0 WHEN governed_exception_for IS NOT NULL AND approved_by IS NOT NULL AND epistemic_status <> 'simulated' AND (approval_expires_at IS NULL OR TIMESTAMP '{NOW}' < approval_expires_at) THEN 0.45 ELSE -1.5 END
+  + {_case('epistemic_status', L.EPISTEMIC_SCORES)} + {_case('verification_status', L.VERIFICATION_SCORES)} + CASE WHEN epistemic_status = 'simulated' THEN -1.25 ELSE 0 END + CASE WHEN verification_status = 'unverified' THEN -0.55 ELSE 0 END
+  - CASE WHEN label_junk THEN 0.6 ELSE 0 END + coalesce((label_importance - 5) * 0.03, 0))::DOUBLE, 9) AS strength FROM pairs WHERE CASE WHEN near IS NOT NULL THEN near >= {FLOOR} ELSE overlap > 0 END),
+tot AS (SELECT *, round(semantic + lexical + embedding_part + by_kind + strength, 6) AS score, round(semantic + lexical + embedding_part + by_kind, 6) AS relevance FROM parts WHERE round(semantic + lexical + embedding_part + by_kind + strength, 6) > 0.05)"""
+_SHOWN = "item_id, memory_id, score, rank, round(semantic, 6) AS semantic, round(lexical, 6) AS lexical, round(embedding_part, 6) AS embedding, round(by_kind, 6) AS by_kind, strength"
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, relevance_first: bool) -> DataFrame:
-    lexical = R.tf_cosine(_docs(spark, sf_dir), _queries(spark, sf_dir)).withColumnRenamed("doc_id", "memory_id")
-    kinds = _queries(spark, sf_dir).select("item_id", T.query_type(F.col("text")).alias("kind"))
-    return R.hybrid(memories(spark, sf_dir).drop("content"), lexical, kinds, 10, relevance_first).select("item_id", "memory_id", "score", "rank")
+    at = F.lit(NOW).cast("timestamp_ntz")
+    rows = recall.candidates(recallable(spark, sf_dir), at, at, STATE)
+    return M.hybrid(rows, recall.questions(asked(spark, sf_dir)), 10, FLOOR, relevance_first).select("item_id", "memory_id", "score", "rank", "semantic", "lexical", "embedding", "by_kind", "strength")
 
 
-@query("hybrid_recall", f"WITH {HYB}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, trust_tier DESC, confidence DESC, memory_id) AS rank FROM tot) SELECT item_id, memory_id, score, rank FROM r WHERE rank <= 10")
+@query("hybrid_recall", f"WITH {HYB}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, trust_tier DESC, confidence DESC, memory_id) AS rank FROM tot) SELECT {_SHOWN} FROM r WHERE rank <= 10")
 def hybrid_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hybrid(spark, sf_dir, False)
 
 
 @query("relevance_first", f"""WITH {HYB}, s AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY relevance DESC, score DESC, trust_tier DESC, memory_id) AS n FROM tot),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, trust_tier DESC, confidence DESC, memory_id) AS rank FROM s WHERE n <= 10) SELECT item_id, memory_id, score, rank FROM r""")
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, trust_tier DESC, confidence DESC, memory_id) AS rank FROM s WHERE n <= 10) SELECT {_SHOWN} FROM r""")
 def relevance_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hybrid(spark, sf_dir, True)
 
 
+@query("active_exceptions", f"""WITH {RECALLABLE_SQL} SELECT memory_id, coalesce(governed_exception_for IS NOT NULL AND approved_by IS NOT NULL AND epistemic_status <> 'simulated' AND (approval_expires_at IS NULL OR TIMESTAMP '{NOW}' < approval_expires_at), false) AS active FROM recallable WHERE memory_type = 'exception'""")
+def active_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which exceptions override their rule: approved, not simulated, not run out."""
+    return recallable(spark, sf_dir).where("memory_type = 'exception'").select("memory_id", F.coalesce(recall.exception_active(F.lit(NOW).cast("timestamp_ntz")), F.lit(False)).alias("active"))
+
+
+_SAYS = ("", " on 12/03/2026", " at 8:30", " last spring", " thứ hai", " hôm  qua", " in May 12", " room 1999x", " 5 PM", " Wednesday")
+
+
+@query("stated_time", "SELECT doc_id, regexp_matches(x, '" + _TIME + "') AS states FROM (SELECT doc_id, left(coalesce(text, ''), 40) || ['" + "', '".join(_SAYS) + "'][doc_id % 10 + 1] AS x FROM documents)")
+def stated_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which texts say when; endings of every shape are put behind the texts' beginnings, so that all of the pattern is met."""
+    end = F.element_at(F.array(*[F.lit(s) for s in _SAYS]), (F.col("doc_id") % 10 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", recall.states_time(F.concat(F.left(F.coalesce("text", F.lit("")), F.lit(40)), end)).alias("states"))
+
+
 @query("candidate_union", f"""WITH {MEMORIES_SQL}, a AS (SELECT memory_id, 0 AS stage, memory_id AS pos FROM memories WHERE regexp_matches(lower(content), '(^|[^\\p{{L}}\\p{{N}}_])was($|[^\\p{{L}}\\p{{N}}_])')), b AS (SELECT memory_id, 1 AS stage, memory_id AS pos FROM memories WHERE memory_type IN ('policy', 'exception') ORDER BY memory_id LIMIT 100),
 c AS (SELECT memory_id, 2 AS stage, -memory_id AS pos FROM memories ORDER BY memory_id DESC LIMIT 120), u AS (SELECT memory_id, min(struct_pack(s := stage, p := pos)) AS w FROM (FROM a UNION ALL FROM b UNION ALL FROM c) GROUP BY 1)
 SELECT memory_id, w.s::INTEGER AS stage, w.p::BIGINT AS pos FROM u ORDER BY w.s, w.p, memory_id LIMIT 400""")
@@ -93,14 +125,15 @@ VEC = "list_transform(embedding, lambda x: x::DOUBLE)"
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10""")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return R.vector_topk(e, e.where("vec_id % 20 = 0"), 10)
+    return M.vector_topk(e, e.where("vec_id % 20 = 0"), 10)
 
 
-@query("calibration_floor", f"""WITH e AS (SELECT vec_id, {VEC} AS v FROM embeddings ORDER BY vec_id LIMIT 200), s AS (SELECT list_cosine_similarity(a.v, b.v) AS c FROM e a JOIN e b ON a.vec_id < b.vec_id)
+@query("calibration_floor", f"""WITH e AS (SELECT vec_id, {VEC} AS v FROM embeddings ORDER BY md5('7|' || vec_id), vec_id LIMIT 200), s AS (SELECT list_cosine_similarity(a.v, b.v) AS c FROM e a JOIN e b ON a.vec_id < b.vec_id)
 SELECT count(*) AS pairs, round(quantile_disc(c, 0.5), 6) AS median, round(quantile_disc(c, 0.99), 6) AS p99, round(least(0.95, quantile_disc(c, 0.99) + 0.08), 6) AS floor FROM s""")
 def calibration_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The similarity floor from a fixed sample of 200 vectors: calibration is a sampling operator."""
-    e = table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(200).select("vec_id", "embedding")
+    """The similarity floor from 200 vectors drawn by a seeded hash: calibration is a sampling operator."""
+    seeded = F.md5(F.concat(F.lit("7|"), F.col("vec_id").cast("string")).cast("binary"))
+    e = table(spark, sf_dir, "embeddings").orderBy(seeded, "vec_id").limit(200).select("vec_id", "embedding")
     a, b = (e.select(F.col("vec_id").alias(f"{x}_id"), F.col("embedding").alias(x)) for x in "ab")
     s = a.join(F.broadcast(b), F.col("a_id") < F.col("b_id")).select(S.cosine(F.col("a"), F.col("b")).alias("c"))
     p = lambda x: F.expr(f"percentile_disc({x}) WITHIN GROUP (ORDER BY c)")
@@ -131,7 +164,7 @@ def greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("diverse_topk")
 def diverse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = R.bm25(_docs(spark, sf_dir), _queries(spark, sf_dir), 20)
+    best = M.bm25(_docs(spark, sf_dir), _queries(spark, sf_dir), 20)
     terms = _docs(spark, sf_dir).select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("terms"))
     return R.diverse(best.join(terms, "doc_id").select("item_id", "doc_id", "score", "terms"), "item_id", 5)
 

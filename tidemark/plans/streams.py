@@ -15,9 +15,8 @@ from tidemark.streaming import projection as P
 @query("stream_project", "SELECT event_id, event_type, sha256(event_id || chr(31) || event_type) AS projection_key FROM events WHERE event_type IN ('purchase', 'signup') AND event_id % 9 <> 0")
 def stream_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = table(spark, sf_dir, "events").where("event_id % 9 = 0").select("event_id")
-    stream = P.project(P.events_stream(spark, f"{sf_dir}/events.parquet"), None)
-    each = lambda batch: batch.select("event_id", "event_type", "projection_key").join(gone, "event_id", "left_anti")
-    return P.drained(stream, "project", each=each)
+    stream = P.project(P.events_stream(spark, f"{sf_dir}/events.parquet"), gone)
+    return P.drained(stream, "project", each=lambda batch: batch.select("event_id", "event_type", "projection_key"))
 
 
 @query("stream_windowed", "SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -58,6 +58,41 @@ MEMORIES_SQL = """memories AS (
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 
 
+def recallable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memories with what a recall reads besides: windows, approvals, tags, contexts, labels, and the vectors that there are."""
+    i = F.col("memory_id")
+    day = lambda n: F.expr(f"timestamp_ntz '2026-01-01 00:00:00' + make_dt_interval(cast({n} as int))")
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("memory_id"), "embedding")
+    return memories(spark, sf_dir).select(
+        "*", F.when(i % 5 == 0, day("memory_id % 200")).alias("valid_from"), F.when(i % 15 == 0, day("memory_id % 200 + 60")).alias("valid_to"),
+        F.when((F.col("memory_type") == "exception") & (i % 4 != 0), "rule").alias("governed_exception_for"), F.when(i % 7 != 0, "owner").alias("approved_by"), F.when(i % 3 == 0, day("memory_id % 300")).alias("approval_expires_at"),
+        F.create_map(F.lit("mode"), F.concat(F.lit("m"), (i % 3).cast("string")), F.lit("goal"), F.concat(F.lit("g"), (i % 7).cast("string"))).alias("tags"),
+        F.when(i % 3 != 1, F.create_map(F.lit("mode"), F.concat(F.lit("m"), (i % 2).cast("string")), F.lit("risk_level"), F.when(i % 11 == 0, "low").otherwise("high"))).alias("context"),
+        (F.col("toxic") == 1).alias("label_junk"), (3 + 4 * F.col("quality")).cast("double").alias("label_importance")).join(v, "memory_id", "left")
+
+
+RECALLABLE_SQL = MEMORIES_SQL + """, recallable AS (
+  SELECT m.*, CASE WHEN memory_id % 5 = 0 THEN TIMESTAMP '2026-01-01' + to_days(CAST(memory_id % 200 AS INTEGER)) END AS valid_from, CASE WHEN memory_id % 15 = 0 THEN TIMESTAMP '2026-01-01' + to_days(CAST(memory_id % 200 + 60 AS INTEGER)) END AS valid_to,
+    CASE WHEN memory_type = 'exception' AND memory_id % 4 <> 0 THEN 'rule' END AS governed_exception_for, CASE WHEN memory_id % 7 <> 0 THEN 'owner' END AS approved_by, CASE WHEN memory_id % 3 = 0 THEN TIMESTAMP '2026-01-01' + to_days(CAST(memory_id % 300 AS INTEGER)) END AS approval_expires_at,
+    'm' || (memory_id % 3) AS tag_mode, 'g' || (memory_id % 7) AS tag_goal, CASE WHEN memory_id % 3 <> 1 THEN 'm' || (memory_id % 2) END AS ctx_mode, CASE WHEN memory_id % 3 <> 1 THEN CASE WHEN memory_id % 11 = 0 THEN 'low' ELSE 'high' END END AS ctx_risk,
+    toxic = 1 AS label_junk, 3 + 4 * quality AS label_importance, e.embedding
+  FROM memories m LEFT JOIN embeddings e ON e.vec_id = memory_id)"""
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts as questions, each in a tenant's name (every fifth in all tenants'); every second has a vector."""
+    i = F.col("item_id")
+    ending = F.when(i % 3 == 0, " timeline").when(i % 3 == 1, " policy").otherwise("")
+    v = table(spark, sf_dir, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("item_id"), "embedding")
+    q = table(spark, sf_dir, "benchmark").select("item_id", F.concat("text", ending).alias("text"), F.when(i % 5 != 0, F.concat(F.lit("src"), (i % 20).cast("string"))).alias("tenant"), F.when(i % 4 == 1, "en").alias("workspace"), F.when(i % 2 == 0, "confidential").otherwise("internal").alias("most"))
+    return q.join(v, "item_id", "left")
+
+
+ASKED_SQL = """asked AS (
+  SELECT item_id, text || CASE item_id % 3 WHEN 0 THEN ' timeline' WHEN 1 THEN ' policy' ELSE '' END AS text, CASE WHEN item_id % 5 <> 0 THEN 'src' || (item_id % 20) END AS tenant, CASE WHEN item_id % 4 = 1 THEN 'en' END AS workspace, CASE WHEN item_id % 2 = 0 THEN 2 ELSE 1 END AS clearance, e.embedding
+  FROM benchmark b LEFT JOIN (SELECT * FROM embeddings WHERE vec_id % 2 = 0) e ON e.vec_id = item_id)"""
+
+
 def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A projection job for each purchase and signup; its state follows from k, so every audit has something to find."""
     c = claims(spark, sf_dir).where(F.col("predicate").isin("purchase", "signup"))

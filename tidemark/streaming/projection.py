@@ -42,12 +42,12 @@ def drained(stream: DataFrame, name: str, mode: str = "append", each: Callable[[
     return spark.read.parquet(*paths)
 
 
-def project(stream: DataFrame, tombstones: DataFrame, late: str = "10 days") -> DataFrame:
+def project(stream: DataFrame, tombstones: DataFrame | None = None, late: str = "10 days") -> DataFrame:
     """Owed events, once a projection key, without tombstoned ones. The key's memory ends with the watermark."""
     key = content_hash(F.col("event_id").cast("string"), F.col("event_type"))
     owed = stream.where(F.col("event_type").isin("purchase", "signup")).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("projection_key", key)
     once = owed.withWatermark("ts", late).dropDuplicatesWithinWatermark(["projection_key"])
-    return once.join(F.broadcast(tombstones), "event_id", "left_anti") if tombstones is not None else once
+    return once.join(tombstones, "event_id", "left_anti") if tombstones is not None else once
 
 
 def windowed(stream: DataFrame, width: str, late: str = "1 day") -> DataFrame:
