@@ -30,29 +30,6 @@ def rule_states(signals: DataFrame, threshold: int = 3) -> DataFrame:
     return done.select("rule", F.round("r.c", 6).alias("confidence"), F.col("r.n").alias("repeats"), state.alias("state"))
 
 
-def remembered(facts: DataFrame) -> DataFrame:
-    """facts: kind, value, seq. A fold over each kind: a repeated value is reinforced, another one makes both conflict, the third mention of
-    one side settles it and supersedes the other."""
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        held: dict[int, list] = {}
-        for r in g.sort_values("seq").itertuples():
-            if r.value in held:
-                held[r.value][0] += 1
-                if held[r.value][0] == 3 and held[r.value][1] == "conflicting":
-                    for v in held:
-                        held[v][1] = "active" if v == r.value else "superseded"
-            else:
-                state = "conflicting" if any(s == "active" or s == "conflicting" for _, s in held.values()) else "active"
-                if state == "conflicting":
-                    for v in held:
-                        held[v][1] = "conflicting" if held[v][1] == "active" else held[v][1]
-                held[r.value] = [1, state]
-        return pd.DataFrame([(g["kind"].iloc[0], v, n, s) for v, (n, s) in held.items()], columns=["kind", "value", "mentions", "state"])
-
-    return facts.groupBy("kind").applyInPandas(fold, "kind string, value int, mentions long, state string")
-
-
 def reconsolidated(items: DataFrame, by: str, top: int = 24, merge_at: float = 0.93) -> DataFrame:
     """items: by, vec_id, embedding, durability, score. Of each group's `top` items by score, pairs at or above merge_at merge into the more
     durable one (then the smaller id); survivors gain 0.1 durability, 4 at most."""

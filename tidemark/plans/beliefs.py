@@ -92,17 +92,6 @@ def dream_consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("goal", F.when(ok, "kept").otherwise("rejected").alias("fate"), F.round(F.least(F.lit(0.97), 0.55 + 0.08 * F.col("s") - 0.30 * F.col("f")), 6).alias("confidence"))
 
 
-@query("belief_conflict_drop", f"""WITH {MEMORIES_SQL}, b AS (SELECT memory_id, tenant, workspace, confidence FROM memories WHERE memory_type = 'causal'), l AS (SELECT tenant, workspace, max(confidence) AS c FROM memories WHERE memory_type = 'semantic' AND memory_id % 2 = 1 GROUP BY ALL)
-SELECT memory_id FROM b WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.tenant = b.tenant AND l.workspace = b.workspace AND l.c > b.confidence)""")
-def belief_conflict_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beliefs without a stronger contradicting memory of their scope: an anti-join on the scope's strongest."""
-    m = memories(spark, sf_dir)
-    strongest = m.where("memory_type = 'semantic' and memory_id % 2 = 1").groupBy("tenant", "workspace").agg(F.max("confidence").alias("c"))
-    b = m.where("memory_type = 'causal'").alias("b")
-    s = strongest.alias("s")
-    return b.join(s, (F.col("b.tenant") == F.col("s.tenant")) & (F.col("b.workspace") == F.col("s.workspace")) & (F.col("s.c") > F.col("b.confidence")), "left_anti").select("memory_id")
-
-
 @query("governed_exceptions", f"""WITH {MEMORIES_SQL}, p AS (SELECT *, list_distinct({_WORDS.replace('text', 'content')}) AS w FROM memories WHERE memory_type IN ('policy', 'exception')), g AS (SELECT * FROM p WHERE memory_type = 'policy'), x AS (SELECT * FROM p WHERE memory_type = 'exception')
 SELECT x.memory_id AS exception_id, g.memory_id AS rule_id, CASE WHEN x.trust_tier >= 4 THEN 12 WHEN x.confidence >= 0.5 THEN 24 ELSE 6 END::INTEGER AS hours FROM x JOIN g ON x.tenant = g.tenant AND x.workspace = g.workspace WHERE len(list_intersect(x.w, g.w)) / len(list_distinct(list_concat(x.w, g.w)))::DOUBLE >= 0.04""")
 def governed_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,12 +28,6 @@ def rule_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.rule_states(s)
 
 
-@query("fact_remember")
-def fact_remember(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = claims(spark, sf_dir)
-    return X.remembered(c.select(F.concat_ws(":", F.col("subject").cast("string"), "predicate").alias("kind"), F.col("bucket").alias("value"), F.col("event_id").alias("seq")))
-
-
 @query("reconsolidate", """WITH e AS (SELECT *, list_transform(embedding, lambda x: x::DOUBLE) AS v, 1 + vec_id % 5 / 2.0::DOUBLE AS d FROM embeddings), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id % 97 DESC, vec_id) AS n FROM e) WHERE n <= 24),
 l AS (SELECT DISTINCT y.vec_id FROM b x JOIN b y ON x.label = y.label AND (x.d > y.d OR (x.d = y.d AND x.vec_id < y.vec_id)) WHERE list_cosine_similarity(x.v, y.v) >= 0.3) SELECT label, vec_id, round(least(4.0, d + 0.1)::DOUBLE, 6) AS durability FROM b WHERE vec_id NOT IN (SELECT vec_id FROM l)""")
 def reconsolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
