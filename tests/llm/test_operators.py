@@ -94,13 +94,17 @@ def test_every_language_is_learned_and_whole_texts_are_read(spark):
 
 def test_reader_labels_every_byte_once(monkeypatch):
     net = language_id.Gru.fresh(["a", "b", "c"], seed=5)
-    texts = [b"", b"x", b"some words, and more", bytes(range(256)) * 3]
-    whole = [np.exp(net.logits(*language_id._grid([t]))[0][:, 0]) if t else np.zeros((0, 3)) for t in texts]
-    want = [(q / q.sum(1, keepdims=True)).sum(0) for q in whole]
+    texts = [b"", b"x", b"some words, and more", bytes(range(256)) * 3, b"ab cd " * 50]
+
+    def whole(t):
+        q = np.exp(net.logits(*language_id._grid([t.ljust(-(-len(t) // language_id.STEP) * language_id.STEP)]))[0][:, 0])
+        return (q / q.sum(1, keepdims=True))[: len(t)].sum(0)
+
     monkeypatch.setattr(language_id, "SPAN", 1000)
-    assert np.allclose(language_id.Reader(net).sums(texts), want, rtol=1e-4)
-    monkeypatch.setattr(language_id, "SPAN", 50)
-    assert np.allclose(language_id.Reader(net).sums(texts).sum(1), [len(t) for t in texts], rtol=1e-4)
+    assert np.allclose(language_id.Reader(net).sums(texts), [whole(t) if t else np.zeros(3) for t in texts], rtol=1e-4)
+    for span in (50, 64, 256):
+        monkeypatch.setattr(language_id, "SPAN", span)
+        assert np.allclose(language_id.Reader(net).sums(texts).sum(1), [len(t) for t in texts], rtol=1e-4)
 
 
 def test_gru_gradients():

@@ -24,7 +24,8 @@ SAMPLE = 250  #: documents of each language used for training, at most
 DRAWS = 12  #: stretches drawn at random from each of them
 LEARNED = 64  #: bytes of a stretch that is learned from
 SPAN, MARGIN = 256, 16  #: bytes labelled at once, and bytes read before and after them
-ROWS = 1024  #: stretches that advance together
+STEP = 32  #: widths of shorter texts are multiples of it
+ROWS = 512  #: stretches that advance together
 HIDDEN = 16
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -187,58 +188,71 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Gru | None:
 
 
 class Reader:
-    """A network made ready to read: both directions at once, the halved weights of the gates in one matrix each."""
+    """A network made ready to read: both directions at once, the halved weights of the gates in one matrix each, rows of a
+    block along the last axis."""
 
     def __init__(self, net: Gru) -> None:
         k = net.p["hf"].shape[0]
         half = np.concatenate([np.full(2 * k, 0.5), np.ones(k)]).astype(np.float32)  # sigmoid(x) is tanh(x / 2) / 2 + 1 / 2
-        self.k, self.out, self.bias = k, net.p["o"], net.p["d"]
-        self.x = np.stack([(net.p[f"x{w}"] + net.p[f"c{w}"]) * half for w in "fb"])
-        h = np.stack([net.p[f"h{w}"] * half for w in "fb"])
-        self.gates, self.new = np.ascontiguousarray(h[:, :, : 2 * k]), np.ascontiguousarray(h[:, :, 2 * k :])
+        self.k, self.out, self.bias = k, np.ascontiguousarray(net.p["o"].T), net.p["d"][:, None]
+        self.x = [np.ascontiguousarray(((net.p[f"x{w}"] + net.p[f"c{w}"]) * half).T) for w in "fb"]
+        h = np.stack([(net.p[f"h{w}"] * half).T for w in "fb"])
+        self.gates, self.new = np.ascontiguousarray(h[:, : 2 * k]), np.ascontiguousarray(h[:, 2 * k :])
 
     def probabilities(self, grid: np.ndarray) -> np.ndarray:
-        """[time, row, language] for rows of equal length."""
+        """[time, language, row] for rows of equal length."""
         n, wide = grid.shape
-        k, s = self.k, np.zeros((2, n, self.k), np.float32)
-        both = np.empty((wide, n, 2 * k), np.float32)
-        turned = np.ascontiguousarray(grid.T)
-        a = np.empty((2, n, 3 * k), np.float32)
+        k, s = self.k, np.zeros((2, self.k, n), np.float32)
+        both = np.empty((wide, 2 * k, n), np.float32)
+        turned = np.ascontiguousarray(grid.T).astype(np.intp)
+        a, u, r, g = (np.empty((2, m, n), np.float32) for m in (3 * k, 2 * k, k, k))
         for t in range(wide):
-            np.take(self.x[0], turned[t], 0, a[0])
-            np.take(self.x[1], turned[wide - 1 - t], 0, a[1])
-            zr = np.tanh(a[:, :, : 2 * k] + s @ self.gates)
-            zr += 1
-            zr *= 0.5
-            g = np.tanh(a[:, :, 2 * k :] + (zr[:, :, k:] * s) @ self.new)
+            np.take(self.x[0], turned[t], 1, a[0], "clip")
+            np.take(self.x[1], turned[wide - 1 - t], 1, a[1], "clip")
+            np.matmul(self.gates, s, u)
+            u += a[:, : 2 * k]
+            np.tanh(u, u)
+            u += 1
+            u *= 0.5
+            np.multiply(u[:, k:], s, r)
+            np.matmul(self.new, r, g)
+            g += a[:, 2 * k :]
+            np.tanh(g, g)
             g -= s
-            g *= zr[:, :, :k]
-            s = s + g
-            both[t, :, :k], both[wide - 1 - t, :, k:] = s
-        q = both @ self.out
+            g *= u[:, :k]
+            s += g
+            both[t, :k], both[wide - 1 - t, k:] = s
+        q = np.matmul(self.out, both)
         q += self.bias
-        q -= q.max(2, keepdims=True)
+        q -= q.max(1, keepdims=True)
         np.exp(q, q)
-        q /= q.sum(2, keepdims=True)
+        q /= q.sum(1, keepdims=True)
         return q
 
     def sums(self, texts: list[bytes]) -> np.ndarray:
-        """For each text the sum over its bytes of each language's probability."""
+        """For each text the sum over its bytes of each language's probability.
+
+        A text's last stretch is read from further back, so that it is as long as the others. Texts shorter than a stretch are
+        filled up with spaces, which get no label, to a multiple of STEP bytes; so few blocks of different width arise.
+        """
         out = np.zeros((len(texts), len(self.bias)))
-        places: dict[int, list[tuple[int, int, int, int]]] = {}  # by length: text, first byte read, first and end of those labelled
+        full = SPAN + 2 * MARGIN
+        places: dict[int, list[tuple[int, int, int, int]]] = {}  # by width: text, first byte read, first and end of those labelled
         for i, t in enumerate(texts):
-            for a in range(0, len(t), SPAN):
-                low, high = max(0, a - MARGIN), min(len(t), a + SPAN + MARGIN)
-                places.setdefault(high - low, []).append((i, low, a - low, min(SPAN, len(t) - a) + a - low))
-        for size, at in places.items():
+            size = len(t)
+            for a in range(0, size, SPAN):
+                low = max(0, min(a - MARGIN, size - full))
+                wide = full if size >= full else -(-size // STEP) * STEP
+                places.setdefault(wide, []).append((i, low, a - low, min(a + SPAN, size) - low))
+        for wide, at in places.items():
+            steps = np.arange(wide)[:, None]
             for first in range(0, len(at), ROWS):
                 part = at[first : first + ROWS]
-                grid = np.frombuffer(b"".join([texts[i][low : low + size] for i, low, _, _ in part]), np.uint8).reshape(len(part), size)
+                grid = np.frombuffer(b"".join([texts[i][low : low + wide].ljust(wide) for i, low, _, _ in part]), np.uint8).reshape(len(part), wide)
                 q = self.probabilities(grid)
                 edges = np.array([p[2:] for p in part])
-                steps = np.arange(size)[:, None]
-                q *= ((steps >= edges[:, 0]) & (steps < edges[:, 1]))[:, :, None]
-                np.add.at(out, [p[0] for p in part], q.sum(0))
+                q *= ((steps >= edges[:, 0]) & (steps < edges[:, 1]))[:, None]
+                np.add.at(out, [p[0] for p in part], q.sum(0).T)
         return out
 
 
