@@ -1,3 +1,3 @@
 """Importing this package registers all queries."""
 
-from tidemark.plans import aggregates, audits, beliefs, knowledge, lifecycles, planning, predicates, retrieval, streams, temporal  # noqa: F401
+from tidemark.plans import aggregates, audits, beliefs, forgetting, knowledge, lifecycles, planning, predicates, retrieval, streams, temporal  # noqa: F401

@@ -164,16 +164,6 @@ def tombstone_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.without_tombstoned(d.select("doc_id", "source"), placed.unionByName(lifted), "doc_id")
 
 
-@query("forget_residue", f"WITH {MEMORIES_SQL}, gone AS (SELECT memory_id FROM memories WHERE tenant = 'src3' AND contains(lower(content), 'tion')), kept AS (SELECT * FROM memories WHERE memory_id NOT IN (SELECT memory_id FROM gone)) SELECT (SELECT count(*) FROM gone) AS deleted, (SELECT count(*) FROM kept) AS remaining, (SELECT count(*) FROM kept WHERE tenant = 'src3' AND contains(lower(content), 'tion')) AS residue, (SELECT count(*) FROM kept WHERE contains(lower(content), 'tion')) AS elsewhere")
-def forget_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scoped deletion, and whether the erased text is still held anywhere."""
-    m = memories(spark, sf_dir)
-    probe = F.lower("content").contains("tion")
-    scope = (F.col("tenant") == "src3") & probe
-    kept = m.join(m.where(scope).select("memory_id"), "memory_id", "left_anti")
-    return m.agg(F.count_if(scope).alias("deleted")).join(kept.agg(F.count("*").alias("remaining"), F.count_if(scope).alias("residue"), F.count_if(probe).alias("elsewhere")))
-
-
 @query("scope_preview", f"WITH {MEMORIES_SQL} SELECT tenant, workspace, count(*) AS matched, count(*) FILTER (memory_type = 'policy') AS policies FROM memories WHERE contains(lower(content), 'the') AND lifecycle_state <> 'archived' GROUP BY ALL")
 def scope_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = memories(spark, sf_dir).where(F.lower("content").contains("the") & (F.col("lifecycle_state") != "archived"))

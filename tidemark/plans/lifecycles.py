@@ -234,13 +234,6 @@ def world_relation_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("kind", F.col("old").isNull().alias("opens"), F.coalesce(F.col("old") == F.col("bucket"), F.lit(False)).alias("same")).agg(F.count("*").alias("n"), F.max("nth").alias("deepest"))
 
 
-@query("deletion_probes", r"SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) >= 6)))[1:8], ',') AS probes FROM conversations")
-def deletion_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that would betray a text after its deletion: long ones, eight at most."""
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), lambda w: F.length(w) >= 6)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.slice(F.array_sort(F.array_distinct(words)), 1, 8), ",").alias("probes"))
-
-
 @query("ingest_class", "SELECT doc_id, CASE WHEN contains(lower(text), 'error') OR contains(lower(text), 'mistake') THEN 'mistake' WHEN contains(lower(text), 'score') THEN 'score' WHEN contains(lower(text), 'the ') THEN 'lesson_fact' ELSE 'progress' END AS class FROM documents")
 def ingest_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
