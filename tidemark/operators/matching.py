@@ -71,7 +71,7 @@ class Block:
         wide = len(flat.dictionary)
         at, n = np.unique(doc * wide + code, return_counts=True) if wide else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         doc, code = at // max(wide, 1), at % max(wide, 1)
-        self.norm = np.sqrt(np.bincount(doc, n.astype(float) ** 2, len(tokens)))
+        self.norm, self.distinct = np.sqrt(np.bincount(doc, n.astype(float) ** 2, len(tokens))), np.bincount(doc, minlength=len(tokens)).astype(float)
         known = np.fromiter((words.get(w, -1) for w in flat.dictionary.to_pylist()), np.int64, wide)
         word = known[code] if wide else code
         self.tf = np.zeros((len(tokens), len(words)))

@@ -28,20 +28,23 @@ def candidate_union(stages: list[DataFrame], key: str, most: int) -> DataFrame:
 
 
 def diverse(rows: DataFrame, by: str, top: int, most_alike: float = 0.8) -> DataFrame:
-    """rows: by, doc_id, score, terms (array). Greedy selection in descending score: a row too alike to a chosen one is passed over.
+    """rows: by, doc_id, score, terms (array), optionally exempt. Greedy selection in descending score: a row too alike to a chosen
+    one is passed over, unless it is exempt or has no terms.
 
-    Order-dependent, so each group is folded in order; groups are a query's candidates, cut before this to a bounded number.
+    Order-dependent, so each group is folded in order, in the JVM; groups are a query's candidates, cut before this to a bounded
+    number. The chosen rows' term sets are all the fold holds.
     """
+    exempt = F.coalesce(F.col("exempt"), F.lit(False)) if "exempt" in rows.columns else F.lit(False)
+    line = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "doc_id", "score", exempt.alias("exempt"), "terms")))
+    none = F.array().cast("array<struct<doc_id bigint, score double, terms array<string>>>")
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        chosen: list[tuple[int, float, set]] = []
-        for r in g.sort_values(["score", "doc_id"], ascending=[False, True]).itertuples():
-            terms = set(r.terms)
-            if len(chosen) < top and all(len(terms & c[2]) <= most_alike * len(terms | c[2]) for c in chosen):
-                chosen.append((r.doc_id, r.score, terms))
-        return pd.DataFrame({by: [g[by].iloc[0]] * len(chosen), "doc_id": [c[0] for c in chosen], "score": [c[1] for c in chosen], "rank": range(1, len(chosen) + 1)})
-
-    return rows.groupBy(by).applyInPandas(fold, f"{by} long, doc_id long, score double, rank long")
+    def step(chosen: Column, x: Column) -> Column:
+        alike = F.exists(chosen, lambda c: (F.size(F.array_union(c["terms"], x["terms"])) > 0) & (F.size(F.array_intersect(c["terms"], x["terms"])) > most_alike * F.size(F.array_union(c["terms"], x["terms"]))))
+        take = (F.size(chosen) < top) & (x["exempt"] | (F.size(x["terms"]) == 0) | ~alike)
+        return F.when(take, F.array_append(chosen, F.struct(x["doc_id"].cast("bigint").alias("doc_id"), x["score"].cast("double").alias("score"), x["terms"].alias("terms")))).otherwise(chosen)
+
+    got = rows.groupBy(by).agg(line.alias("line")).select(by, F.posexplode(F.aggregate("line", none, step)).alias("pos", "c"))
+    return got.select(by, "c.doc_id", "c.score", (F.col("pos") + 1).cast("bigint").alias("rank"))
 
 
 def packed(blocks: DataFrame, by: str, budget: int) -> DataFrame:

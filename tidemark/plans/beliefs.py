@@ -15,22 +15,6 @@ from tidemark.sources.adapters import CLAIMS_SQL, MEMORIES_SQL, claims, memories
 _WORDS = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 1)"
 
 
-@query("episode_search", f"""WITH {DT}, {QT}, df AS (SELECT term, count(*) AS df FROM dt GROUP BY 1), w AS (SELECT item_id, term, ln(1 + (SELECT count(*) FROM documents) / (1 + coalesce(df, 0))::DOUBLE) AS idf FROM qt LEFT JOIN df USING (term)), m AS (SELECT item_id, sum(idf) AS mass FROM w GROUP BY 1),
-n AS (SELECT doc_id, count(*) AS terms FROM dt GROUP BY 1), s AS (SELECT item_id, doc_id, round((2 * sum(idf) / any_value(mass) + 0.5 * least(count(*) / any_value(terms)::DOUBLE / 0.5, 1.0) + 0.4 * (1 - least((doc_id % 48) / 24.0, 1.0)))::DOUBLE, 6) AS score FROM w JOIN dt USING (term) JOIN m USING (item_id) JOIN n USING (doc_id) GROUP BY item_id, doc_id)
-SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id DESC) AS rank FROM s) WHERE rank <= 10""")
-def episode_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coverage of the query's idf mass, focus of the episode on it, and recency over a day."""
-    d, q = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
-    terms, wanted = R.term_counts(d, "doc_id"), R.term_counts(q, "item_id").drop("tf")
-    n = d.agg(F.count("*")).scalar()
-    idf = wanted.select("term").distinct().join(terms.groupBy("term").agg(F.count("*").alias("df")), "term", "left").select("term", F.log(1 + n / (1 + F.coalesce("df", F.lit(0)))).alias("idf"))
-    weighted = wanted.join(idf, "term")
-    mass, size = weighted.groupBy("item_id").agg(F.sum("idf").alias("mass")), terms.groupBy("doc_id").agg(F.count("*").alias("terms"))
-    got = weighted.join(terms, "term").groupBy("item_id", "doc_id").agg(F.sum("idf").alias("got"), F.count("*").alias("shared")).join(mass, "item_id").join(size, "doc_id")
-    score = 2 * F.col("got") / F.col("mass") + 0.5 * F.least(F.col("shared") / F.col("terms") / 0.5, F.lit(1.0)) + 0.4 * (1 - F.least(F.col("doc_id") % 48 / 24.0, F.lit(1.0)))
-    return R.ranked(got.select("item_id", "doc_id", F.round(score, 6).alias("score")), "item_id", [F.desc("score"), F.desc("doc_id")], 10)
-
-
 @query("belief_rank", f"""WITH {MEMORIES_SQL}, e AS (SELECT event_id % 1000 AS memory_id, count(*) FILTER (event_type IN ('purchase', 'signup')) AS supports, count(*) FILTER (event_type = 'error') AS conflicts FROM events GROUP BY 1),
 r AS (SELECT m.memory_id, tenant, round((confidence + least(0.05 * coalesce(supports, 0), 0.25) - 0.1 * coalesce(conflicts, 0) + CASE lifecycle_state WHEN 'stable' THEN 0.2 WHEN 'challenged' THEN -0.3 ELSE 0 END)::DOUBLE, 6) AS score FROM memories m LEFT JOIN e USING (memory_id) WHERE memory_type IN ('policy', 'causal'))
 SELECT tenant, memory_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY score DESC, memory_id) AS rank FROM r) WHERE rank <= 5""")
@@ -73,18 +57,6 @@ def episode_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.groupBy("conv_id", "turn").agg(F.min("stage").alias("stage"))
 
 
-@query("expansion_merge", f"""WITH {DT}, {QT}, s AS (SELECT item_id, doc_id, count(*) AS n FROM qt JOIN dt USING (term) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) AS k FROM s), a AS (SELECT item_id, doc_id, 0 AS round, k FROM r WHERE k <= 6), b AS (SELECT item_id, doc_id, 1 AS round, k FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY n, doc_id) AS k FROM r WHERE k > 6) WHERE k <= 3)
-SELECT item_id, doc_id, round::INTEGER AS round, k FROM (FROM a UNION ALL FROM b)""")
-def expansion_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nine places a query: six for the first round, the reserve of a third for the second."""
-    dt, qt = R.term_counts(table(spark, sf_dir, "documents"), "doc_id").drop("tf"), R.term_counts(table(spark, sf_dir, "benchmark"), "item_id")
-    s = qt.join(dt, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("item_id").orderBy(F.desc("n"), "doc_id")
-    r = s.withColumn("k", F.row_number().over(w).cast("bigint"))
-    late = r.where("k > 6").select("item_id", "doc_id", F.row_number().over(Window.partitionBy("item_id").orderBy("n", "doc_id")).cast("bigint").alias("k")).where("k <= 3")
-    return r.where("k <= 6").select("item_id", "doc_id", F.lit(0).alias("round"), "k").unionByName(late.select("item_id", "doc_id", F.lit(1).alias("round"), "k"))
-
-
 @query("dream_consolidation", f"""WITH {CLAIMS_SQL}, t AS (SELECT 'g' || (subject % 60) AS goal, count(*) FILTER (k % 6 <> 0) AS s, count(*) FILTER (k % 6 = 0) AS f FROM claims GROUP BY 1) SELECT goal, CASE WHEN s >= 3 AND f / (s + f)::DOUBLE <= 0.17 THEN 'kept' ELSE 'rejected' END AS fate, round(least(0.97, 0.55 + 0.08 * s - 0.30 * f)::DOUBLE, 6) AS confidence FROM t""")
 def dream_consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = claims(spark, sf_dir).groupBy(F.concat(F.lit("g"), (F.col("subject") % 60).cast("string")).alias("goal")).agg(F.count_if(F.col("k") % 6 != 0).alias("s"), F.count_if(F.col("k") % 6 == 0).alias("f"))

@@ -159,17 +159,6 @@ def set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n(a.intersect(b), "both").unionByName(n(a.exceptAll(b), "only_a")).unionByName(n(a.union(b).distinct(), "any"))
 
 
-@query("bridge_terms", f"""WITH {DT}, {QT}, s AS (SELECT item_id, doc_id, count(*) AS n FROM qt JOIN dt USING (term) GROUP BY ALL), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) AS r FROM s) WHERE r <= 3),
-c AS (SELECT item_id, term, sum(tf) AS n FROM t JOIN dt USING (doc_id) WHERE length(term) >= 4 AND NOT EXISTS (SELECT 1 FROM qt WHERE qt.item_id = t.item_id AND qt.term = dt.term) GROUP BY ALL) SELECT item_id, term, n::BIGINT AS n FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, term) AS r FROM c) WHERE r <= 6""")
-def bridge_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-hop expansion: the most frequent new terms of a query's three best documents."""
-    dt, qt = R.term_counts(table(spark, sf_dir, "documents"), "doc_id"), R.term_counts(table(spark, sf_dir, "benchmark"), "item_id")
-    s = qt.join(dt.drop("tf"), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
-    top = R.ranked(s, "item_id", [F.desc("n"), "doc_id"], 3).select("item_id", "doc_id")
-    new = top.join(dt, "doc_id").where(F.length("term") >= 4).join(qt.select("item_id", "term"), ["item_id", "term"], "left_anti").groupBy("item_id", "term").agg(F.sum("tf").alias("n"))
-    return R.ranked(new, "item_id", [F.desc("n"), "term"], 6).drop("rank")
-
-
 @query("coverage_retrieve", "WITH n AS (SELECT conv_id, count(*) AS n, max(turn) AS last FROM conversations GROUP BY 1) SELECT conv_id, round(((conv_id % 10) / 9.0 * (0.2 + 0.8 * exp(-last / (1.0 + n))))::DOUBLE, 6) AS score FROM n ORDER BY score DESC, conv_id LIMIT 15")
 def coverage_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relevance weakened by what a summary has lost since it was last reinforced."""
