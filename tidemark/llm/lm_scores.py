@@ -97,12 +97,9 @@ _ANSWER = pa.schema([("block", pa.int64()), ("gram", pa.int32()), ("bucket", pa.
 
 def _answers(bucket: int, asked: list[dict]) -> Iterator[pa.RecordBatch]:
     """Adds up and answers every block with the counts of its keys, in the training part and in its deleted part."""
-    held: dict[int, list[tuple[int, bool, np.ndarray, np.ndarray]]] = {}
-    for r in asked:
-        held.setdefault(r["gram"], []).append((r["block"], r["deleted"], unpack(r["keys"]), unpack_counts(r["counts"], 1)[0]))
     begin = chain(np.zeros(1, np.uint64), np.array([_BEGIN]))[0]
-    for gram in sorted(held):
-        rows = held.pop(gram)
+    for gram in sorted({r["gram"] for r in asked}):
+        rows = [(r["block"], r["deleted"], unpack(r["keys"]), unpack_counts(r["counts"], 1)[0]) for r in asked if r["gram"] == gram]
         keys, inverse = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
         counts = np.concatenate([r[3] for r in rows])
         deleted = np.repeat([r[1] for r in rows], [len(r[2]) for r in rows])
