@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import FEW, documents, joined, materialise, partitions_for
+from tidemark.llm.common import FEW, documents, gathered, joined, materialise, partitions_for
 
 MEMTABLE = 1 << 15  #: rows of a memtable before it is flushed as a run
 FANOUT = 6  #: runs that are compacted into one
@@ -182,12 +182,12 @@ def exact_dedup(docs: DataFrame, width: int = 32) -> DataFrame:
     hits = index.where("group_size > 1").select("digest", "group_size")
     texts = base.withColumn("digest", _digest(F.col("text"), width))
     texts = texts.join(F.broadcast(hits.select("digest")), "digest", "left_semi") if hits.count() <= FEW else joined(texts, hits, "digest", "group_size", total, "left_semi")
-    checked = materialise(texts.groupBy("digest", "text").agg(F.count("*").alias("n")).select("digest", "n"), "checked")
-    clash = checked.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1")
+    checked = texts.groupBy("digest", "text").agg(F.count("*").alias("n")).groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1")
+    clash = materialise(gathered(checked.select("digest")), "clash")
     if clash.isEmpty():
         found = joined(keyed, marks, "digest", "group_size", total).select("doc_id", "sha", "keep_id", "group_size")
     else:  # the same key for different texts: those rows go by the text itself
-        clash = materialise(clash.join(hits, "digest").select("digest", "group_size"), "clash")
+        clash = clash.join(hits, "digest").select("digest", "group_size")
         plain = joined(keyed, marks.join(clash.select("digest"), "digest", "left_anti"), "digest", "group_size", total)
         whole = joined(base.withColumn("digest", _digest(F.col("text"), width)), clash, "digest", "group_size", total, "left_semi")
         groups = whole.groupBy("digest", "text").agg(F.min(F.coalesce("doc_id", F.lit(_NULL))).alias("keep_id"), F.count("*").alias("group_size"))
@@ -206,9 +206,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all its columns; of rows that repeat a kept doc_id with the same text, the
     one with the smallest text as it stands stays. Names of extra columns can't clash."""
     columns = docs.columns
-    marks = materialise(exact_dedup(docs), "marks").select(F.coalesce("doc_id", F.lit(_NULL)).alias("id"), F.unhex("text_sha256").alias("sha"), "kept")
-    gone = materialise(marks.where(~F.col("kept")).select("id", "sha").distinct(), "gone")
-    again = materialise(marks.where("kept").groupBy("id", "sha").agg(F.count("*").alias("n")).where("n > 1").select("id", "sha"), "again")
+    marks = exact_dedup(docs).select(F.coalesce("doc_id", F.lit(_NULL)).alias("id"), F.unhex("text_sha256").alias("sha"), "kept")
+    gone = materialise(gathered(marks.where(~F.col("kept")).select("id", "sha").distinct()), "gone")
+    again = materialise(gathered(marks.where("kept").groupBy("id", "sha").agg(F.count("*").alias("n")).where("n > 1").select("id", "sha")), "again")
     sha = F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.coalesce("doc_id", F.lit(_NULL)).alias("id"), sha.alias("sha"))
     left = rows.join(F.broadcast(gone) if gone.count() <= FEW else gone, ["id", "sha"], "left_anti")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import joined, materialise, partitions_for
+from tidemark.llm.common import gathered, joined, materialise, partitions_for
 
 NO_SOURCE = "∅"  #: stands for a null source among the weights
 RATE = 512.0  #: mean of one draw at most; a larger one is the sum of equal draws, as exp(-rate) would vanish
@@ -70,7 +70,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
     a source of its own. Rows that repeat a doc_id and text draw the same count. An empty table stays empty.
     """
     columns = [c for c in docs.columns if c not in (copy_column, order_column)]
-    rates = materialise(source_rates(docs, weights, total, most), "rates").withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / RATE)).cast("int"))
+    rates = materialise(gathered(source_rates(docs, weights, total, most)), "rates").withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / RATE)).cast("int"))
     table = poisson_table(rates.withColumn("rate", F.col("rate") / F.col("draws"))).select("mix_source", "n_docs", "draws", "cdf")
     name = {c: f"__{i}" for i, c in enumerate(columns)}  # so that they can't clash with the columns added here
     kept, doc_id, source = list(name.values()), F.col(name["doc_id"]), F.col(name["source"])
