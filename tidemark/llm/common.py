@@ -64,7 +64,7 @@ def gathered(df: DataFrame) -> DataFrame:
     return df.repartition(max(1, partitions_for(df.sparkSession) // 16))
 
 
-def joined(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, how: str = "inner") -> DataFrame:
+def joined(left: DataFrame, right: DataFrame, key: str | list[str], rows: str, total: int, how: str = "inner") -> DataFrame:
     """left.join(right, key, how) for a right side of one row a key, whose column `rows` counts the key's rows in left (total in all).
 
     Keys with more than an eighth of a partition's even share, of which there are 8 x partitions at most, are broadcast; the
@@ -72,7 +72,7 @@ def joined(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, h
     """
     heavy = F.col(rows) > max(HEAVY, total // (8 * partitions_for(left.sparkSession)))
     hot, rest = right.where(heavy), right.where(~heavy)
-    return left.join(F.broadcast(hot), key, how).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, how))
+    return left.join(F.broadcast(hot), key, how).unionByName(left.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(rest, key, how))
 
 
 def partitions_for(spark: SparkSession) -> int:

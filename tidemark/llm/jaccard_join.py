@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import NULL_ID, by_bucket, chain, mix, n_buckets, pack, pack_counts, runs_by_bucket, texts_of, unpack, unpack_counts, word_hashes, write_blocks
-from tidemark.llm.common import gathered, joined, materialise, partitions_for
+from tidemark.llm.common import FEW, gathered, joined, materialise, partitions_for
 from tidemark.llm.components import IN_ONE_TASK, components
 
 PART_SETS, PART_SIZE = 600, 1 << 20  #: sets, and elements of them, that one prefix tree takes in
@@ -323,16 +323,16 @@ def _join_groups(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
 
 def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
     """rows: node, n, skip, payload, comp. One row for each prefix element that another text has too."""
-    out = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("comp", pa.int64())])
+    out = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("comp", pa.int64()), ("size", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 n = r["n"]
                 t = np.frombuffer(r["payload"], "<i8")[r["skip"] : n - (percent * n + 99) // 100 + 1]
-                yield pa.RecordBatch.from_arrays([pa.array(t), *(pa.array(np.full(len(t), r[c])) for c in ("node", "comp"))], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array(t), *(pa.array(np.full(len(t), r[c])) for c in ("node", "comp", "n"))], schema=out)
 
-    return rows.mapInArrow(run, "token long, node long, comp long")
+    return rows.mapInArrow(run, "token long, node long, comp long, size long")
 
 
 def _sent(rows: DataFrame) -> DataFrame:
@@ -385,10 +385,11 @@ def _by_element(sets: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     """named: node, comp. All links between components among sets that share a prefix element."""
     left = sets.join(_sent(named), "node")
     tokens = materialise(gathered(_prefixes(left.select("node", "n", "skip", "payload", "comp"), percent)), "prefix")
-    held = tokens.groupBy("token", "comp").agg(F.count("*").alias("n"))
-    held = held.groupBy("token").agg(F.sum("n").alias("sets"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    split = lambda n: F.ceil(n / PART_SETS).cast("int")
-    held = held.select("token", "sets", "main", split(F.col("most")).alias("mains"), split(F.col("sets") - F.col("most")).alias("others"))
+    held = tokens.groupBy("token", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    main = F.max(F.struct("n", "size", "comp"))
+    held = held.groupBy("token").agg(F.sum("n").alias("sets"), F.sum("size").alias("size"), main.alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    split = lambda n, size: F.ceil(F.greatest(n / PART_SETS, size / PART_SIZE)).cast("int")
+    held = held.select("token", "sets", F.col("main.comp").alias("main"), split(F.col("main.n"), F.col("main.size")).alias("mains"), split(F.col("sets") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("others"))
     met = joined(tokens, materialise(gathered(held), "shared"), "token", "sets", tokens.count())
     is_main = F.col("comp") == F.col("main")
     met = met.select("token", "node", "comp", "mains", "others", is_main.alias("is_main"), F.pmod(F.xxhash64("node"), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int").alias("part"))
@@ -411,7 +412,7 @@ def _linked(docs: DataFrame, shingle: int, percent: int, digests: bool) -> DataF
     asked = first.where("keys is not null").select("block", "bucket", "keys", "counts")
     codes = by_bucket(asked, n_b, _occurrences, "block long, bucket int, codes binary")
     who = F.struct("doc_id", "digest") if digests else F.col("doc_id")
-    classes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("node").alias("node"), F.min(who).alias("least"))
+    classes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("node").alias("node"), F.min(who).alias("least"), F.count("*").alias("rows"))
     position = F.col("node").bitwiseAND((1 << _POS_BITS) - 1).cast("int")
     reps = classes.groupBy(F.shiftright("node", _POS_BITS).alias("block")).agg(F.collect_list(position).alias("reps"))
     codes = codes.withColumn("reps", F.lit(None).cast("array<int>")).unionByName(reps.select("block", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("codes"), "reps"))
@@ -423,10 +424,10 @@ def _linked(docs: DataFrame, shingle: int, percent: int, digests: bool) -> DataF
     members = clusters.select("node", F.col("comp").alias("cluster"))
     links = _links(sets, members, percent)
     comps = components(links)
-    named = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = named.groupBy("comp").agg(F.min("least").alias("component"))
-    classed = named.join(least, "comp").select("s1", "s2", "n", "component")
-    full = rows.where("n > 0").join(classed, ["s1", "s2", "n"]).select("doc_id", "n", "digest", "component")
+    named = materialise(classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "classes")
+    least, total = named.groupBy("comp").agg(F.min("least").alias("component"), F.count("*").alias("classes")), rows.count()
+    classed = materialise(joined(named, least, "comp", "classes", total).select("s1", "s2", "n", "component", "rows"), "classed")
+    full = joined(rows.where("n > 0"), classed, ["s1", "s2", "n"], "rows", total).select("doc_id", "n", "digest", "component")
     return full.unionByName(rows.where("n = 0").select("doc_id", "n", "digest", who.alias("component")))
 
 
@@ -452,15 +453,16 @@ def without_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     columns = docs.columns
     found = materialise(_linked(docs, shingle, percent, digests=True), "near")
     first = F.struct("doc_id", "digest") == F.col("component")
-    gone = found.where(~first).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    gone = materialise(gathered(found.where(~first).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()), "gone")
     again = found.where("n > 0").where(first).groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).agg(F.count("*").alias("rows")).where("rows > 1")
     again = materialise(gathered(again.select("__id", "__digest")), "again")
     lowered = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
     id_, digest = F.coalesce("doc_id", F.lit(NULL_ID)), F.substring(F.unhex(F.sha2(lowered.cast("binary"), 256)), 1, _DIGEST)
     row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row")
     rows = docs.select(row, id_.alias("__id"), digest.alias("__digest"))
-    left = rows.join(gone, ["__id", "__digest"], "left_anti")
+    left = rows.join(F.broadcast(gone) if gone.count() <= FEW else gone, ["__id", "__digest"], "left_anti")
     if not again.isEmpty():
+        again = F.broadcast(again) if again.count() <= FEW else again
         one = left.join(again, ["__id", "__digest"], "left_semi").groupBy("__id", "__digest").agg(F.min_by("__row", F.coalesce("__row.text", F.lit(""))).alias("__row"))
         left = left.join(again, ["__id", "__digest"], "left_anti").select("__row").unionByName(one.select("__row"))
     return left.select(*[F.col(f"__row.`{c}`").alias(c) for c in columns])
