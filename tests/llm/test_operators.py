@@ -144,6 +144,14 @@ def test_pieces_round_trip_and_best_score(docs, texts):
         assert got == pytest.approx(best[-1]) and ids == p.one(w)
 
 
+def test_long_words_are_cut_where_no_piece_crosses():
+    p = sentencepieces.Codec(tokenizer_path(PIECES)).pieces
+    rng = random.Random(7)
+    words = ["▁" + "".join(rng.choice(kind) for _ in range(n)) for kind in ("字漢語", "abcdefgh", "a字bZ9/_é🎉", "0123456789abcdef") for n in (47, 48, 60, 300)] + ["▁" + "the" * 40, "▁" * 90]
+    assert p.batch(words) == [sentencepieces.pack(p.one(w)) for w in words]
+    assert max(map(len, p.cut("▁" + "字" * 300))) <= 2 and "".join(p.cut(words[9])) == words[9]
+
+
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 70_000])
 def test_rans_round_trip(n):
     ids = (np.random.default_rng(n).zipf(1.3, n) % 60_000).astype(np.uint32)

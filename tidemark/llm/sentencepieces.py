@@ -23,7 +23,7 @@ from tidemark.llm.common import arrow, documents, slices
 SPACE = "▁"
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
-LONG = 48  #: code points of a word handled in batches; longer ones take the one-word path
+LONG = 48  #: code points of a stretch handled in batches; longer ones take the one-word path
 MEMO = 300_000
 RANK_STEP = float(1 << 24)  #: score of a piece in byte-pair files, before its rank
 
@@ -68,6 +68,8 @@ class Pieces:
             seen = np.zeros(1 << 20, bool)
             seen[(h >> np.uint64(44)).astype(np.int64)] = True
             self.tables[k] = (seen, h[at], np.array([self.text[p] for p in ps])[at], np.array([self.score[p] for p in ps])[at], grid[at])
+        #: neighbours in pieces, ascending: a word can be cut between two characters that no piece has side by side
+        self.pairs = np.unique(np.array([ord(a) << 21 | ord(b) for p in self.text for a, b in itertools.pairwise(p)], np.int64))
         #: no piece holds a space after another character, so words can be searched one by one
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.text)
 
@@ -92,18 +94,37 @@ class Pieces:
             e -= k
         return list(itertools.chain.from_iterable(reversed(out)))
 
+    def cut(self, word: str) -> list[str]:
+        """The word's stretches between places that no piece crosses; their best segmentations in a row are the word's."""
+        chars = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        pair = chars[:-1] << 21 | chars[1:]
+        at = np.searchsorted(self.pairs, pair)
+        joined = at < len(self.pairs)
+        joined[joined] = self.pairs[at[joined]] == pair[joined]
+        edges = [0, *(np.flatnonzero(~joined) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in itertools.pairwise(edges)]
+
     def batch(self, words: list[str]) -> list[bytes]:
-        """One segmentation a word, as packed ids. Ties go to the shorter last piece, as in one()."""
+        """One segmentation a word, as packed ids. Ties go to the shorter last piece, as in one(). Words over LONG are cut where
+        no piece crosses, and their stretches searched with the rest; only stretches that are still longer go one by one."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if long:
+            parts = [self.cut(words[i]) for i in long]
+            inside = sorted({p for ps in parts for p in ps if len(p) <= LONG})
+            found = dict(zip(inside, self.batch(inside), strict=True))
+            out = self._short([w if len(w) <= LONG else "" for w in words])
+            for i, ps in zip(long, parts, strict=True):
+                out[i] = b"".join([found[p] if p in found else pack(self.one(p)) for p in ps])
+            return out
+        return self._short(words)
+
+    def _short(self, words: list[str]) -> list[bytes]:
         out = [b""] * len(words)
         lens = np.fromiter(map(len, words), np.int64, len(words))
         for n in np.unique(lens):
             where = np.flatnonzero(lens == n)
             if n == 0:
                 continue
-            if n > LONG:
-                for i in where:
-                    out[i] = pack(self.one(words[i]))
-                continue
             for part in np.array_split(where, max(1, len(where) // 8192)):
                 self._equal([words[i] for i in part], int(n), part, out)
         return out
