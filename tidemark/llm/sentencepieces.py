@@ -187,6 +187,8 @@ def words_of(text: str) -> list[str]:
     """Normalised text cut before each run of spaces; the pieces joined give the normalised text again."""
     if not text:
         return []
+    if text[0] != " " and text[-1] != " " and "  " not in text:  # single spaces within: most texts
+        return (SPACE + text.replace(" ", " " + SPACE)).split(" ")
     parts = text.split(" ")
     out, run = [], 1
     for p in parts:
@@ -211,10 +213,10 @@ class Codec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. The space mark itself in a text is read as a space, as in the library."""
         split = [words_of(t) for t in texts]
-        fresh = set(itertools.chain.from_iterable(split)).difference(self.memo)
+        fresh = set().union(*split).difference(self.memo)
         if len(fresh) + len(self.memo) > MEMO:
-            self.memo, fresh = {}, set(itertools.chain.from_iterable(split))
-        ordered = sorted(fresh)
+            self.memo, fresh = {}, set().union(*split)
+        ordered = list(fresh)
         self.memo.update(zip(ordered, self.pieces.batch(ordered), strict=True))
         out = [np.frombuffer(b"".join(map(self.memo.__getitem__, ws)), np.int32) for ws in split]
         for w in ordered:
