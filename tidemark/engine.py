@@ -17,6 +17,11 @@ MEMORY = {
 QUESTION = {"tenant": ("string", None), "workspace": ("string", None), "most": ("string", "restricted"), "embedding": ("array<float>", None)}
 
 
+def filled(rows: DataFrame, wanted: dict[str, tuple[str, str | None]]) -> DataFrame:
+    """rows with those columns that they lack."""
+    return rows.withColumns({c: F.lit(v).cast(t) for c, (t, v) in wanted.items() if c not in rows.columns})
+
+
 class MemoryEngine:
     """observe -> remember -> ask. Tables live under root: events, done, memories, tombstones. Nothing is ever rewritten."""
 
@@ -50,7 +55,7 @@ class MemoryEngine:
         jobs.select("projection_key", "event_id", "projection_type").write.mode("append").parquet(f"{self.root}/done")
 
     def remember(self, memories: DataFrame) -> DataFrame:
-        """Appends the memories that pass the immune gate and the promotion rules, and returns those that don't, with the reasons."""
+        """Appends the memories that pass the immune gate, secrets taken out and scores clamped, and returns those that don't, with their risk."""
         ok, held = stores.governed(memories)
         ok.write.mode("append").parquet(f"{self.root}/memories")
         return held
@@ -75,10 +80,7 @@ class MemoryEngine:
     def recall(self, queries: DataFrame, top: int = 10, state: dict[str, str] | None = None, as_of: Column | None = None, relevance_first: bool = False) -> DataFrame:
         """queries: item_id, text, and tenant, workspace, most (label) and embedding where the asker has them. Hybrid ranking over
         the live memories that the asker may read; without a tenant, of all tenants."""
-        m, q = self.memories(), queries
-        for rows, wanted in ((m, MEMORY), (q, QUESTION)):
-            extra = {c: F.lit(v).cast(t) for c, (t, v) in wanted.items() if c not in rows.columns}
-            m, q = (m.withColumns(extra), q) if rows is m else (m, q.withColumns(extra))
+        m, q = filled(self.memories(), MEMORY), filled(queries, QUESTION)
         now = F.current_timestamp().cast("timestamp_ntz")
         return matching.hybrid(recall.candidates(m, now, as_of, state or {}), recall.questions(q), top, L.EMBEDDING_FLOOR, relevance_first)
 
@@ -86,5 +88,6 @@ class MemoryEngine:
         """questions: text. Their frames and the operator that answers each."""
         return planner.framed(questions)
 
-    def doctor(self, ledger: DataFrame, now: float) -> DataFrame:
-        return audit.doctor(self._read("events"), self._read("outbox"), ledger, now)
+    def doctor(self, outbox: DataFrame, ledger: DataFrame, now: float) -> DataFrame:
+        """All findings over the log, a queue of jobs and the ledger of what was projected."""
+        return audit.doctor(self._read("events"), outbox, ledger, now)

@@ -167,3 +167,35 @@ def world_snapshot(facts: DataFrame, at: Column) -> DataFrame:
     """Of each (entity, attribute) the fact with the latest start, then the highest confidence, then the first ingested."""
     w = Window.partitionBy("entity", "attribute").orderBy(F.desc("valid_from"), F.desc("confidence"), "seq")
     return facts.where(F.col("valid_from") <= at).withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
+
+
+def selected(memories: DataFrame, questions: DataFrame, rescue: bool = False) -> DataFrame:
+    """The memories that a claim history is derived from. memories: memory_id, entity, slot (both null in older rows), content, observed_at,
+    event_id, bucket, kind. questions: question_id, subject, predicate. Adds by: how each was selected.
+
+    Rows with a structured entity or slot are selected by equality alone; older ones by the subject's words in the text. A row without a slot is taken
+    only with rescue, and only if its text names the predicate: it never competes with structured rows of the same question.
+    """
+    from tidemark.operators.planner import predicate
+
+    found, _, _ = predicate(F.col("content"))
+    rows = memories.withColumn("named", F.when(F.col("slot").isNull(), found))
+    exact = rows.where("entity is not null and slot is not null").join(questions, (F.col("entity") == F.col("subject")) & (F.col("slot") == F.col("predicate"))).withColumn("by", F.lit("structured"))
+    words = F.array_distinct(F.split(F.lower(F.trim("subject")), r"\s+"))
+    asked = questions.withColumn("word", words[0]).withColumn("words", words)
+    tokens = F.array_distinct(F.split(F.lower("content"), r"[^\p{L}\p{M}\p{N}]+"))
+    older = rows.where("entity is null or slot is null").withColumn("tokens", tokens).select("*", F.explode("tokens").alias("word"))
+    met = older.join(asked, "word").where(F.size(F.array_except("words", "tokens")) == 0).where(F.col("entity").isNull() | (F.col("entity") == F.col("subject")))
+    met = met.where((F.col("slot") == F.col("predicate")) | (F.col("slot").isNull() & (F.col("named") == F.col("predicate")) & F.lit(rescue)))
+    met = met.withColumn("by", F.when(F.col("slot").isNull(), "rescued").otherwise("text")).drop("word", "words", "tokens")
+    met = met.join(exact.select("question_id").distinct().withColumn("better", F.lit(True)), "question_id", "left").where(~((F.col("by") == "rescued") & F.coalesce("better", F.lit(False)))).drop("better")
+    return exact.select("question_id", "memory_id", "by").unionByName(met.select("question_id", "memory_id", "by"))
+
+
+def with_stored(history: DataFrame, stored: DataFrame) -> DataFrame:
+    """history: spans with event_id. stored: event_id, stored_from, stored_to. Stored windows override derived ones; an empty window
+    means corrected."""
+    j = history.join(stored, "event_id", "left")
+    start, end = F.coalesce("stored_from", "valid_from"), F.coalesce("stored_to", "valid_to")
+    empty = F.coalesce(start == end, F.lit(False))
+    return j.withColumn("valid_from", start).withColumn("valid_to", end).withColumn("status", F.when(empty, "corrected").when(F.col("disputed"), "disputed").when(end.isNotNull(), "superseded").otherwise("open")).withColumn("retracted", empty).drop("stored_from", "stored_to")

@@ -30,22 +30,14 @@ def rule_states(signals: DataFrame, threshold: int = 3) -> DataFrame:
     return done.select("rule", F.round("r.c", 6).alias("confidence"), F.col("r.n").alias("repeats"), state.alias("state"))
 
 
-def reconsolidated(items: DataFrame, by: str, top: int = 24, merge_at: float = 0.93) -> DataFrame:
-    """items: by, vec_id, embedding, durability, score. Of each group's `top` items by score, pairs at or above merge_at merge into the more
-    durable one (then the smaller id); survivors gain 0.1 durability, 4 at most."""
-    from tidemark.functions.scores import cosine
-
-    w = Window.partitionBy(by).orderBy(F.desc("score"), "vec_id")
-    best = items.withColumn("n", F.row_number().over(w)).where(F.col("n") <= top)
-    a, b = (best.select(by, *[F.col(c).alias(f"{c}_{s}") for c in ("vec_id", "embedding", "durability")]) for s in "ab")
-    beats = (F.col("durability_a") > F.col("durability_b")) | ((F.col("durability_a") == F.col("durability_b")) & (F.col("vec_id_a") < F.col("vec_id_b")))
-    lost = a.join(b, by).where(beats & (cosine(F.col("embedding_a"), F.col("embedding_b")) >= merge_at)).select(F.col("vec_id_b").alias("vec_id")).distinct()
-    return best.join(lost, "vec_id", "left_anti").select(by, "vec_id", F.round(F.least(F.lit(4.0), F.col("durability") + 0.1), 6).alias("durability"))
-
-
 def reconstruction(links: DataFrame, events: DataFrame) -> DataFrame:
-    """links: memory_id, event_id, side. The timeline of each memory's source and counter events."""
-    return links.join(events.select("event_id", "ts", "event_type"), "event_id").select("memory_id", "event_id", "side", "ts", "event_type", F.row_number().over(Window.partitionBy("memory_id").orderBy("ts", "event_id")).cast("bigint").alias("position"))
+    """links: memory_id, event_id, side (source, counter), contradiction. The timeline of each memory's events, each event once; conflict
+    says whether the memory has counterevidence or was contradicted."""
+    once = links.groupBy("memory_id", "event_id").agg(F.min("side").alias("side"), F.max("contradiction").alias("contradiction"))
+    mine = Window.partitionBy("memory_id")
+    conflict = F.bool_or((F.col("side") == "counter") | (F.col("contradiction") > 0)).over(mine)
+    line = once.withColumn("conflict", conflict).join(events.select("event_id", "ts", "event_type"), "event_id")
+    return line.select("memory_id", "event_id", "side", "ts", "event_type", F.row_number().over(mine.orderBy("ts", "event_id")).cast("bigint").alias("position"), "conflict")
 
 
 def topological(types: dict[str, list[str]]) -> list[str]:

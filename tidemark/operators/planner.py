@@ -39,6 +39,11 @@ YEAR = r"\b((?:19|20)\d{2})\b"
 HISTORY = r"(những lần nào|mấy lần|bao nhiêu lần|đã (từng )?(đổi|thay đổi|chuyển)|lịch sử|history of|how many times|list the changes)"
 CURRENT = r"(hiện tại|bây giờ|hiện nay|đang|lúc này|currently|right now|now\b)"
 HISTORICAL = r"(?i)(vào ngày|hồi|trước đây|lúc trước|trước khi|sau khi|đã từng|\bwas\b|\bused to\b)"
+PREFETCHED = {
+    "deploy": ("policy", "procedure", "world_state", "exception"), "debug": ("procedure", "episode", "causal", "world_state"), "review": ("policy", "fact", "episode", "evidence"), "communicate": ("social", "identity", "policy", "fact"),
+    "plan": ("prospective", "causal", "counterfactual", "world_state"), "operate": ("procedure", "policy", "world_state", "prospective"),
+}
+STARTERS, ENDERS = ("what ", "which ", "whats ", "what's ", "ky ", "ký ", "mat ", "mật ", "pass", "secret", "code", "password"), ("la gi?", "là gì?", "is what?", "is it?")
 PREFETCH = (("deploy", ("deploy", "release", "production", "triển khai")), ("debug", ("debug", "fix", "error", "sửa lỗi")), ("review", ("review", "audit", "soi", "đánh giá")), ("communicate", ("email", "reply", "customer", "khách")), ("plan", ("plan", "strategy", "kế hoạch", "what if")))
 
 #: phrases of several words, the longest first; single words decide only through DISCRIMINATING
@@ -218,3 +223,31 @@ def route(c: Column) -> Column:
     """ever > temporal > state (a predicate is recognised) > class > recall."""
     found, _, _ = predicate(c)
     return F.when(c.rlike("(?iU)" + L.EVER), "ever").when(c.rlike("(?iU)" + L.TEMPORAL), "temporal").when(found != "unknown", "state").when(c.rlike("(?iU)" + L.SELF_HISTORY), "class").otherwise("recall")
+
+
+def prefetch(action: Column) -> tuple[Column, Column, Column]:
+    """(intent, memory types, query) of a proposed action: what to fetch before it is asked for."""
+    intent_ = prefetch_intent(action)
+    types = F.create_map(*[x for k, ts in PREFETCHED.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in ts]))])[intent_]
+    return intent_, types, F.concat(action, F.lit(". Relevant "), F.array_join(types, " "))
+
+
+def answered_directly(question: Column, kind: Column) -> Column:
+    """Whether an exact fact may be given as the whole answer."""
+    low, hit = F.lower(F.trim(question)), F.lit(False)
+    for s in STARTERS:
+        hit = hit | low.startswith(s)
+    for s in ENDERS:
+        hit = hit | low.endswith(s)
+    return kind.isNotNull() & hit
+
+
+def retrieval_state(mode: Column, stress: Column, risk: Column) -> Column:
+    """What a request says about how to retrieve, its defaults filled in."""
+    m, s, r = F.coalesce(mode, F.lit("implement")), F.coalesce(stress, F.lit("normal")), F.coalesce(risk, F.lit("medium"))
+    return F.struct(m.alias("mode"), s.alias("stress"), r.alias("risk"), (m.isin("debug", "deploy") | (s == "failure") | (r == "high")).alias("prefer_exception"), F.when(r == "high", "organization").otherwise("project").alias("preferred_scope"))
+
+
+def allowed_workspaces(explicit: Column, own: Column) -> Column:
+    """The workspaces a request may read: the ones it names, else its own, else null for all. An empty list allows none."""
+    return F.when(explicit.isNotNull(), F.array_sort(F.array_distinct(explicit))).when(F.coalesce(own, F.lit("")) != "", F.array(own))

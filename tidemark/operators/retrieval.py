@@ -63,11 +63,19 @@ def packed(blocks: DataFrame, by: str, budget: int) -> DataFrame:
     return done.select(by, F.col("p.used").alias("used"), F.size("p.ids").alias("blocks"), "naive", F.array_join(F.col("p.ids").cast("array<string>"), ",").alias("ids"))
 
 
-def greedy_clusters(vectors: DataFrame, by: str, tau: float, least: int = 3, most: int = 8) -> DataFrame:
-    """vectors: by, vec_id, embedding. Single-pass clustering in ascending vec_id within each group: a seed takes the free vectors of cosine
-    tau or more, up to `most` members; clusters under `least` are dropped."""
+def greedy_clusters(vectors: DataFrame, by: str, tau: float, least: int = 3, most: int = 8, limit: int = 2000, used: DataFrame | None = None) -> DataFrame:
+    """vectors: by, vec_id, embedding. Single-pass clustering in ascending vec_id within each group: a seed takes the free vectors of
+    cosine tau or more, earlier ones included, up to `most` members; clusters under `least` are dropped and leave their members free.
+
+    A call takes the first `limit` vectors of a group that aren't used (vec_id) yet: that is the operator's budget, and what a task
+    holds. Once they are consolidated, the next call takes those that follow.
+    """
     import numpy as np
 
+    if used is not None:
+        vectors = vectors.join(used.select("vec_id"), "vec_id", "left_anti")
+    first = ranked(vectors, by, ["vec_id"], limit).drop("rank")
+
     def fold(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("vec_id")
         ids = g["vec_id"].to_numpy()
@@ -76,13 +84,14 @@ def greedy_clusters(vectors: DataFrame, by: str, tau: float, least: int = 3, mos
         free, out = np.ones(len(ids), bool), []
         for i in range(len(ids)):
             if free[i]:
-                near = [j for j in np.flatnonzero(m[i:] @ m[i] >= tau) + i if free[j]][:most]
+                near = np.flatnonzero((m @ m[i] >= tau) & free)
+                near = np.concatenate([[i], near[near != i]])[:most]
                 if len(near) >= least:
                     free[near] = False
                     out += [(g[by].iloc[0], ids[i], ids[j]) for j in near]
         return pd.DataFrame(out, columns=[by, "seed", "vec_id"])
 
-    return vectors.groupBy(by).applyInPandas(fold, f"{by} int, seed long, vec_id long")
+    return first.groupBy(by).applyInPandas(fold, f"{by} int, seed long, vec_id long")
 
 
 def embed(docs: DataFrame, embedder: Callable[[list[str]], list[list[float]]]) -> DataFrame:

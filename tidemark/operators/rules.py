@@ -151,3 +151,15 @@ def kept_beliefs(beliefs: DataFrame, memories: DataFrame, scope: str) -> DataFra
     """beliefs: left_id, text, score; memories: right_id, text, score. Beliefs that no stronger memory contradicts."""
     pairs = text_conflicts(beliefs, memories, scope).join(beliefs.select("left_id", F.col("score").alias("own")), "left_id").join(memories.select("right_id", F.col("score").alias("other")), "right_id")
     return beliefs.join(pairs.where("other > own").select("left_id").distinct(), "left_id", "left_anti")
+
+
+def governed_pairs(rules: DataFrame, by: str) -> DataFrame:
+    """rules: id, by, scope, text. exception_id, rule_id of conditional permissions and the general prohibitions of their scope that they
+    except: alike in half their words, or of one domain. Only rules of these two kinds go on, and they meet through a word or a
+    domain, not pairwise."""
+    rows = described(rules)
+    keys = F.array_distinct(F.concat(F.transform("core", lambda w: F.concat(F.lit("w:"), w)), F.transform("domains", lambda d: F.concat(F.lit("d:"), d))))
+    side = lambda which, name: rows.where(which).select(by, "scope", F.col("id").alias(name), F.size("core").alias(f"n_{name}"), F.explode(keys).alias("key"))
+    met = side("conditional", "exception_id").join(side("general", "rule_id"), [by, "scope", "key"])
+    g = met.groupBy(by, "exception_id", "rule_id").agg(F.count_if(F.col("key").startswith("w:")).alias("shared"), F.count_if(F.col("key").startswith("d:")).alias("domains"), F.min("n_exception_id").alias("a"), F.min("n_rule_id").alias("b"))
+    return g.where((F.col("domains") > 0) | (F.col("shared") / F.greatest(F.lit(1), F.least("a", "b")) >= 0.45)).select(by, "exception_id", "rule_id")

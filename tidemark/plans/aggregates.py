@@ -143,7 +143,7 @@ def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("rank_metrics", """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, q.label = e.label AS hit, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, e.v), 6) DESC, e.vec_id) AS rank FROM e JOIN e q ON q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id),
 f AS (SELECT query_id, min(rank) FILTER (hit) AS first FROM s GROUP BY 1) SELECT count(*) AS queries, round(avg((first <= 1)::INTEGER), 6) AS recall_1, round(avg((first <= 5)::INTEGER), 6) AS recall_5, round(avg((first <= 10)::INTEGER), 6) AS recall_10, round(avg(CASE WHEN first <= 10 THEN 1.0 / first ELSE 0 END)::DOUBLE, 6) AS mrr_10 FROM f""")
 def rank_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.operators.retrieval import vector_topk
+    from tidemark.operators.matching import vector_topk
 
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 20 = 0")

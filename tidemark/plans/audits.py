@@ -150,9 +150,9 @@ def composed_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(li, ["o_orderkey", "version"]).groupBy("o_orderkey").agg(F.count("*").alias("n_lines"), F.sum("l_quantity").alias("quantity"))
 
 
-@query("dangling_references", """WITH b AS (SELECT conv_id, turn, unnest([conv_id * 10 + turn, conv_id * 7]) AS ref FROM conversations) SELECT conv_id, turn, ref FROM b WHERE ref NOT IN (SELECT doc_id FROM documents)""")
+@query("dangling_references", """WITH b AS (SELECT conv_id, turn, unnest([conv_id * 10 + turn, conv_id * 70007 + 3]) AS ref FROM conversations) SELECT conv_id, turn, ref FROM b WHERE ref NOT IN (SELECT doc_id FROM documents)""")
 def dangling_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.array(F.col("conv_id") * 10 + F.col("turn"), F.col("conv_id") * 7)).alias("ref"))
+    b = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.array(F.col("conv_id") * 10 + F.col("turn"), F.col("conv_id") * 70007 + 3)).alias("ref"))
     return b.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref")), "ref", "left_anti").select("conv_id", "turn", "ref")
 
 

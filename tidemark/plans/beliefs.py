@@ -15,18 +15,6 @@ from tidemark.sources.adapters import CLAIMS_SQL, MEMORIES_SQL, claims, memories
 _WORDS = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 1)"
 
 
-@query("belief_rank", f"""WITH {MEMORIES_SQL}, e AS (SELECT event_id % 1000 AS memory_id, count(*) FILTER (event_type IN ('purchase', 'signup')) AS supports, count(*) FILTER (event_type = 'error') AS conflicts FROM events GROUP BY 1),
-r AS (SELECT m.memory_id, tenant, round((confidence + least(0.05 * coalesce(supports, 0), 0.25) - 0.1 * coalesce(conflicts, 0) + CASE lifecycle_state WHEN 'stable' THEN 0.2 WHEN 'challenged' THEN -0.3 ELSE 0 END)::DOUBLE, 6) AS score FROM memories m LEFT JOIN e USING (memory_id) WHERE memory_type IN ('policy', 'causal'))
-SELECT tenant, memory_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY score DESC, memory_id) AS rank FROM r) WHERE rank <= 5""")
-def belief_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("event_type")
-    e = table(spark, sf_dir, "events").groupBy((F.col("event_id") % 1000).alias("memory_id")).agg(F.count_if(kind.isin("purchase", "signup")).alias("supports"), F.count_if(kind == "error").alias("conflicts"))
-    m = memories(spark, sf_dir).where("memory_type in ('policy', 'causal')").join(e, "memory_id", "left").na.fill(0, ["supports", "conflicts"])
-    state = F.when(F.col("lifecycle_state") == "stable", 0.2).when(F.col("lifecycle_state") == "challenged", -0.3).otherwise(0.0)
-    score = F.round(F.col("confidence") + F.least(0.05 * F.col("supports"), F.lit(0.25)) - 0.1 * F.col("conflicts") + state, 6)
-    return R.ranked(m.select("tenant", "memory_id", score.alias("score")), "tenant", [F.desc("score"), "memory_id"], 5)
-
-
 @query("persona_rank", f"""WITH {MEMORIES_SQL}, r AS (SELECT memory_id, memory_type AS layer, round((0.45 * len(list_intersect(list_distinct(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+')), ['the', 'of', 'and', 'die', 'que'])) / 5.0 + confidence + least(0.05 * reinforcement, 0.25) + CASE WHEN workspace = 'en' THEN 0.1 ELSE 0 END)::DOUBLE, 6) AS score FROM memories)
 SELECT layer, memory_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY score DESC, memory_id) AS rank FROM r) WHERE rank <= 6""")
 def persona_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,16 +24,6 @@ def persona_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.ranked(memories(spark, sf_dir).select(F.col("memory_type").alias("layer"), "memory_id", score.alias("score")), "layer", [F.desc("score"), "memory_id"], 6)
 
 
-@query("retrieval_bundle", f"""WITH {MEMORIES_SQL}, a AS (SELECT 'rules' AS part, memory_id AS id, confidence AS score FROM memories WHERE memory_type = 'policy' AND security_label <> 'restricted' ORDER BY confidence DESC, memory_id LIMIT 8), b AS (SELECT 'episodes' AS part, memory_id AS id, salience AS score FROM memories WHERE memory_type = 'episodic' AND security_label <> 'restricted' ORDER BY salience DESC, memory_id LIMIT 8),
-c AS (SELECT 'facts' AS part, user_id AS id, round(max(value), 6) AS score FROM events GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 8) SELECT part, id, score::DOUBLE AS score FROM (FROM a UNION ALL FROM b UNION ALL FROM c)""")
-def retrieval_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best of several stores side by side, behind one guard."""
-    m = memories(spark, sf_dir).where("security_label <> 'restricted'")
-    top = lambda rows, part: rows.orderBy(F.desc("score"), "id").limit(8).select(F.lit(part).alias("part"), "id", "score")
-    facts = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.round(F.max("value"), 6).alias("score"))
-    return top(m.where("memory_type = 'policy'").select(F.col("memory_id").alias("id"), F.col("confidence").alias("score")), "rules").unionByName(top(m.where("memory_type = 'episodic'").select(F.col("memory_id").alias("id"), F.col("salience").alias("score")), "episodes")).unionByName(top(facts, "facts"))
-
-
 @query("episode_pool", "WITH a AS (SELECT conv_id, turn, 0 AS stage FROM conversations ORDER BY conv_id DESC, turn DESC LIMIT 60), b AS (SELECT conv_id, turn, 1 AS stage FROM conversations WHERE contains(lower(text), 'tion') OR contains(lower(text), 'heit')), c AS (SELECT conv_id, turn, 2 AS stage FROM conversations WHERE role = 'system') SELECT conv_id, turn, min(stage)::INTEGER AS stage FROM (FROM a UNION ALL FROM b UNION ALL FROM c) GROUP BY ALL")
 def episode_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recent turns, a lexical sweep of all history and anchors; the first stage that names a turn keeps it."""
@@ -57,24 +35,6 @@ def episode_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.groupBy("conv_id", "turn").agg(F.min("stage").alias("stage"))
 
 
-@query("dream_consolidation", f"""WITH {CLAIMS_SQL}, t AS (SELECT 'g' || (subject % 60) AS goal, count(*) FILTER (k % 6 <> 0) AS s, count(*) FILTER (k % 6 = 0) AS f FROM claims GROUP BY 1) SELECT goal, CASE WHEN s >= 3 AND f / (s + f)::DOUBLE <= 0.17 THEN 'kept' ELSE 'rejected' END AS fate, round(least(0.97, 0.55 + 0.08 * s - 0.30 * f)::DOUBLE, 6) AS confidence FROM t""")
-def dream_consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = claims(spark, sf_dir).groupBy(F.concat(F.lit("g"), (F.col("subject") % 60).cast("string")).alias("goal")).agg(F.count_if(F.col("k") % 6 != 0).alias("s"), F.count_if(F.col("k") % 6 == 0).alias("f"))
-    ok = (F.col("s") >= 3) & (F.col("f") / (F.col("s") + F.col("f")) <= 0.17)
-    return t.select("goal", F.when(ok, "kept").otherwise("rejected").alias("fate"), F.round(F.least(F.lit(0.97), 0.55 + 0.08 * F.col("s") - 0.30 * F.col("f")), 6).alias("confidence"))
-
-
-@query("governed_exceptions", f"""WITH {MEMORIES_SQL}, p AS (SELECT *, list_distinct({_WORDS.replace('text', 'content')}) AS w FROM memories WHERE memory_type IN ('policy', 'exception')), g AS (SELECT * FROM p WHERE memory_type = 'policy'), x AS (SELECT * FROM p WHERE memory_type = 'exception')
-SELECT x.memory_id AS exception_id, g.memory_id AS rule_id, CASE WHEN x.trust_tier >= 4 THEN 12 WHEN x.confidence >= 0.5 THEN 24 ELSE 6 END::INTEGER AS hours FROM x JOIN g ON x.tenant = g.tenant AND x.workspace = g.workspace WHERE len(list_intersect(x.w, g.w)) / len(list_distinct(list_concat(x.w, g.w)))::DOUBLE >= 0.04""")
-def governed_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conditional positives against general negatives of the same scope with enough words in common, and how long they override."""
-    p = memories(spark, sf_dir).where("memory_type in ('policy', 'exception')").withColumn("w", F.array_distinct(T.tokens(F.col("content"))))
-    x = p.where("memory_type = 'exception'").select("tenant", "workspace", F.col("memory_id").alias("exception_id"), F.col("w").alias("xw"), "trust_tier", "confidence")
-    g = p.where("memory_type = 'policy'").select("tenant", "workspace", F.col("memory_id").alias("rule_id"), F.col("w").alias("gw"))
-    hours = F.when(F.col("trust_tier") >= 4, 12).when(F.col("confidence") >= 0.5, 24).otherwise(6)
-    return x.join(g, ["tenant", "workspace"]).where(S.jaccard(F.col("xw"), F.col("gw")) >= 0.04).select("exception_id", "rule_id", hours.alias("hours"))
-
-
 @query("scope_resolution", "SELECT conv_id, turn, coalesce(CASE WHEN turn % 3 = 0 THEN 'explicit-' || role END, CASE WHEN turn % 3 = 1 THEN 'env-' || (conv_id % 4) END, 'default') AS scope, CASE WHEN turn % 3 = 0 THEN 'argument' WHEN turn % 3 = 1 THEN 'environment' ELSE 'fallback' END AS resolved_by FROM conversations")
 def scope_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Explicit scope before the environment's before the default."""

@@ -28,18 +28,14 @@ def rule_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.rule_states(s)
 
 
-@query("reconsolidate", """WITH e AS (SELECT *, list_transform(embedding, lambda x: x::DOUBLE) AS v, 1 + vec_id % 5 / 2.0::DOUBLE AS d FROM embeddings), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id % 97 DESC, vec_id) AS n FROM e) WHERE n <= 24),
-l AS (SELECT DISTINCT y.vec_id FROM b x JOIN b y ON x.label = y.label AND (x.d > y.d OR (x.d = y.d AND x.vec_id < y.vec_id)) WHERE list_cosine_similarity(x.v, y.v) >= 0.3) SELECT label, vec_id, round(least(4.0, d + 0.1)::DOUBLE, 6) AS durability FROM b WHERE vec_id NOT IN (SELECT vec_id FROM l)""")
-def reconsolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding", (1 + F.col("vec_id") % 5 / 2.0).alias("durability"), (F.col("vec_id") % 97).alias("score"))
-    return X.reconsolidated(e, "label", merge_at=0.3)
-
-
-@query("reconstruct", "WITH l AS (SELECT doc_id AS memory_id, unnest([doc_id * 2, doc_id * 3, doc_id * 5 + 1]) AS event_id, unnest(['source', 'source', 'counter']) AS side FROM documents) SELECT memory_id, event_id, side, ts, event_type, row_number() OVER (PARTITION BY memory_id ORDER BY ts, event_id) AS position FROM l JOIN events USING (event_id) WHERE memory_id > 0")
+@query("reconstruct", f"""WITH {MEMORIES_SQL}, l AS (SELECT memory_id, contradiction, unnest([memory_id * 2, memory_id * 3, memory_id * 5 + 1]) AS event_id, unnest(['source', 'source', 'counter']) AS side FROM memories), d AS (SELECT memory_id, any_value(contradiction) AS contradiction, event_id, min(side) AS side FROM l GROUP BY ALL)
+SELECT memory_id, event_id, side, ts, event_type, row_number() OVER (PARTITION BY memory_id ORDER BY ts, event_id) AS position, contradiction > 0 OR EXISTS (SELECT 1 FROM d x WHERE x.memory_id = d.memory_id AND x.side = 'counter') AS conflict FROM d JOIN events USING (event_id)""")
 def reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("doc_id")
+    """The timeline of each memory's source and counter events, and whether anything speaks against it."""
+    i = F.col("memory_id")
     pair = lambda e, s: F.struct(e.alias("event_id"), F.lit(s).alias("side"))
-    links = table(spark, sf_dir, "documents").where("doc_id > 0").select(i.alias("memory_id"), F.explode(F.array(pair(i * 2, "source"), pair(i * 3, "source"), pair(i * 5 + 1, "counter"))).alias("x")).select("memory_id", "x.*")
+    m = memories(spark, sf_dir)
+    links = m.select(i, "contradiction", F.explode(F.array(pair(i * 2, "source"), pair(i * 3, "source"), pair(i * 5 + 1, "counter"))).alias("x")).select("memory_id", "contradiction", "x.*")
     return X.reconstruction(links, table(spark, sf_dir, "events"))
 
 
@@ -50,16 +46,6 @@ def constitution_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.constitution(C.spans(claims(spark, sf_dir)))
 
 
-@query("answerers", f"""WITH {SPANS_SQL}, o AS (SELECT subject, predicate, count(*) FILTER (status = 'open') AS live, max(CASE WHEN status = 'open' THEN bucket END) AS truth, arg_min(bucket, struct_pack(o := observed_at, e := event_id)) AS first_value, arg_max(bucket, struct_pack(o := observed_at, e := event_id)) AS latest FROM spans GROUP BY ALL)
-SELECT count(*) AS asked, round(avg((first_value IS NOT DISTINCT FROM truth)::INTEGER), 6) AS first_value, round(avg((latest IS NOT DISTINCT FROM truth)::INTEGER), 6) AS latest_mention, round(avg((live = 0)::INTEGER), 6) AS always_declines FROM o""")
-def answerers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often naive answerers hit what the ledger holds."""
-    key = F.struct("observed_at", "event_id")
-    o = C.spans(claims(spark, sf_dir)).groupBy("subject", "predicate").agg(F.count_if(F.col("status") == "open").alias("live"), F.max(F.when(F.col("status") == "open", F.col("bucket"))).alias("truth"), F.min_by("bucket", key).alias("first"), F.max_by("bucket", key).alias("latest"))
-    share = lambda c: F.round(F.avg(c.cast("int")), 6)
-    return o.agg(F.count("*").alias("asked"), share(F.col("first").eqNullSafe(F.col("truth"))).alias("first_value"), share(F.col("latest").eqNullSafe(F.col("truth"))).alias("latest_mention"), share(F.col("live") == 0).alias("always_declines"))
-
-
 @query("stated_date", r"""WITH t AS (SELECT conv_id, turn, text || CASE turn WHEN 1 THEN ' on 2024-03-05' WHEN 2 THEN ' at 7/11/2023' WHEN 3 THEN ' in 1999' ELSE '' END AS x FROM conversations) SELECT conv_id, turn, CASE WHEN regexp_matches(x, '\b\d{4}-\d{2}-\d{2}\b') THEN TRY_CAST(regexp_extract(x, '\b\d{4}-\d{2}-\d{2}\b') AS DATE)
  WHEN regexp_matches(x, '\b\d{1,2}/\d{1,2}/\d{4}\b') THEN CAST(try_strptime(regexp_extract(x, '\b\d{1,2}/\d{1,2}/\d{4}\b'), '%d/%m/%Y') AS DATE) WHEN regexp_matches(x, '\b(19|20)\d{2}\b') THEN make_date(CAST(regexp_extract(x, '\b(19|20)\d{2}\b') AS BIGINT), 1, 1) END AS stated FROM t""")
 def stated_date(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,13 +65,6 @@ def unresolved_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.when(bad, F.greatest(F.lit(0.8), importance)).otherwise(importance).alias("severity"), F.when(bad, 1.0).otherwise(0.0).alias("unresolved"))
 
 
-@query("sensitive_rules", r"SELECT doc_id, regexp_matches(lower(text), '(password|secret|payment|delete|bank)') AS needs_approval, split_part(source, ':', -1) IN ('src1', 'src2', 'src3') AS operational, length(text) BETWEEN 18 AND 220 AND NOT regexp_matches(lower(text), '(maybe|perhaps|somehow)') AS promotable FROM documents")
-def sensitive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low, n = F.lower("text"), F.length("text")
-    last = F.element_at(F.split("source", ":"), -1)
-    return table(spark, sf_dir, "documents").select("doc_id", low.rlike("(password|secret|payment|delete|bank)").alias("needs_approval"), last.isin("src1", "src2", "src3").alias("operational"), (n.between(18, 220) & ~low.rlike("(maybe|perhaps|somehow)")).alias("promotable"))
-
-
 @query("identity_errors", "WITH m AS (SELECT user_id AS surface, event_type AS person, CAST(floor(value / 100) AS INTEGER) AS cluster FROM events), s AS (SELECT person, count(DISTINCT cluster) AS n FROM m GROUP BY 1), f AS (SELECT cluster, count(DISTINCT person) AS n FROM m GROUP BY 1) SELECT (SELECT round(avg((n > 1)::INTEGER), 6) FROM s) AS split_rate, (SELECT round(avg((n > 1)::INTEGER), 6) FROM f) AS false_merge_rate")
 def identity_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "events").select(F.col("event_type").alias("person"), F.floor(F.col("value") / 100).cast("int").alias("cluster"))
@@ -146,11 +125,6 @@ def layer_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trimmed(m.select(F.col("memory_type").alias("layer"), "memory_id", "confidence"), "layer", 4, [F.desc("confidence"), "memory_id"])
 
 
-@query("survivors", "SELECT event_id, user_id FROM events WHERE event_type = 'click' AND event_id % 7 > 3 ORDER BY value DESC, event_id LIMIT 40")
-def survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("event_type = 'click' and event_id % 7 > 3").orderBy(F.desc("value"), "event_id").limit(40).select("event_id", "user_id")
-
-
 @query("set_algebra", "WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error'), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value > 150) SELECT 'both' AS part, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'only_a', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'any', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)")
 def set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
@@ -187,21 +161,6 @@ def agent_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(table(spark, sf_dir, "conversations"), ["conv_id"], [F.desc("turn")]).select("conv_id", "turn", "role")
 
 
-@query("determinism", "SELECT count(*) AS events, 0::BIGINT AS unstable FROM events")
-def determinism(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three rebuilds of every projection: events with more than one hash."""
-    e = table(spark, sf_dir, "events")
-    h = lambda: F.sha2(F.to_json(F.struct("event_id", "event_type", "props")).cast("binary"), 256)
-    runs = e.select("event_id", h().alias("h")).unionByName(e.select("event_id", h().alias("h"))).unionByName(e.select("event_id", h().alias("h")))
-    return runs.groupBy("event_id").agg(F.count_distinct("h").alias("n")).agg(F.count("*").alias("events"), F.count_if(F.col("n") > 1).alias("unstable"))
-
-
-@query("fault_buckets", "SELECT CAST(('0x' || left(sha256(event_id::VARCHAR), 8)) AS BIGINT) % 10 AS bucket, count(*) AS n FROM events GROUP BY 1")
-def fault_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = F.conv(F.left(F.sha2(F.col("event_id").cast("string").cast("binary"), 256), F.lit(8)), 16, 10).cast("bigint") % 10
-    return table(spark, sf_dir, "events").groupBy(b.alias("bucket")).agg(F.count("*").alias("n"))
-
-
 @query("safe_envelope", "WITH r AS (SELECT time_bucket(INTERVAL '1 day', ts) AS d, count(*) AS n FROM events GROUP BY 1), m AS (SELECT min(n) AS floor FROM r) SELECT CAST(floor(0.7 * floor) AS BIGINT) AS safe, floor AS burst, 2 * floor AS queue FROM m")
 def safe_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 day")).agg(F.count("*").alias("n"))

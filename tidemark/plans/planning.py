@@ -63,14 +63,14 @@ def plan_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: people, and questions about them: text, anchor, date, kind of time, about beliefs, value, predicate, confidence, operator
 PEOPLE = ("Trần Hà", "Bùi Cường", "Đỗ Văn Nam")
 ASKED = (
-    ("Hiện tại % làm việc ở đâu?", None, None, "current", False, "", "employer", 0.75, "state"),
-    ("Vào ngày 12/03/2025 % sống ở đâu?", None, "2025-03-12", "point_in_time", False, "", "location", 0.95, "temporal"),
-    ("Trước khi sang Bình Minh thì % làm ở đâu?", "Bình Minh", None, "before", False, "", "employer", 0.75, "temporal"),
-    ("% đã từng giữ chức trưởng phòng chưa?", None, None, "point_in_time", False, "trưởng phòng", "role", 0.95, "ever"),
-    ("Lương của % là bao nhiêu?", None, None, "point_in_time", False, "bao nhiêu", "salary", 0.8, "state"),
-    ("hệ thống tin rằng tháng 5/2024 % phụ trách dự án nào", None, "2024-05-01", "point_in_time", True, "", "project", 0.95, "temporal"),
-    ("% đã đổi số điện thoại mấy lần?", None, None, "history", False, "", "phone", 0.95, "temporal"),
-    ("sau khi rời Hòa Phát, % giữ chức gì", "Hòa Phát", None, "after", False, "", "role", 0.95, "temporal"),
+    ("Hiện tại % làm việc ở đâu?", None, None, "current", False, "", "employer", 0.75, "state", "làm việc"),
+    ("Vào ngày 12/03/2025 % sống ở đâu?", None, "2025-03-12", "point_in_time", False, "", "location", 0.95, "temporal", "sống"),
+    ("Trước khi sang Bình Minh thì % làm ở đâu?", "Bình Minh", None, "before", False, "", "employer", 0.75, "temporal", "làm"),
+    ("% đã từng giữ chức trưởng phòng chưa?", None, None, "point_in_time", False, "trưởng phòng", "role", 0.95, "ever", "giữ chức trưởng phòng chưa"),
+    ("Lương của % là bao nhiêu?", None, None, "point_in_time", False, "bao nhiêu", "salary", 0.8, "state", "lương bao nhiêu"),
+    ("hệ thống tin rằng tháng 5/2024 % phụ trách dự án nào", None, "2024-05-01", "point_in_time", True, "", "project", 0.95, "temporal", "hệ thống tin phụ trách dự án"),
+    ("% đã đổi số điện thoại mấy lần?", None, None, "history", False, "", "phone", 0.95, "temporal", "đổi số điện thoại mấy lần"),
+    ("sau khi rời Hòa Phát, % giữ chức gì", "Hòa Phát", None, "after", False, "", "role", 0.95, "temporal", "giữ chức"),
 )
 
 
@@ -87,11 +87,11 @@ _WHO = f"[{', '.join(_lit(p) for p in PEOPLE)}][user_id % {len(PEOPLE)} + 1]"
 _U = "WITH u AS (SELECT DISTINCT user_id FROM events)"
 
 
-@query("question_frame", f"{_U} SELECT user_id, {_WHO} AS subject, {_pick(1)} AS anchor, {_pick(2)} AS asked_date, {_pick(3)} AS temporal_kind, {_pick(4)} AS belief, {_pick(5)} AS value, {_pick(6)} AS predicate, {_pick(7)}::DOUBLE AS confidence, {_pick(8)} AS operator FROM u")
+@query("question_frame", f"{_U} SELECT user_id, {_pick(9)} AS leftover, {_WHO} AS subject, {_pick(1)} AS anchor, {_pick(2)} AS asked_date, {_pick(3)} AS temporal_kind, {_pick(4)} AS belief, {_pick(5)} AS value, {_pick(6)} AS predicate, {_pick(7)}::DOUBLE AS confidence, {_pick(8)} AS operator FROM u")
 def question_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who, what, when and how a question asks, and the operator that answers it; the SQL states the expected parts literally."""
     rows = P.framed(_about_people(spark, sf_dir))
-    return rows.select("user_id", *[F.col(f"frame.{c}").alias(c) for c in ("subject", "anchor", "asked_date", "temporal_kind", "belief", "value")], "predicate", "confidence", "operator")
+    return rows.select("user_id", *[F.col(f"frame.{c}").alias(c) for c in ("subject", "anchor", "asked_date", "temporal_kind", "belief", "value", "leftover")], "predicate", "confidence", "operator")
 
 
 @query("proper_names", f"{_U} SELECT user_id, CASE WHEN {_pick(1)} IS NULL THEN {_WHO} ELSE {_pick(1)} || '|' || {_WHO} END AS names FROM u")
@@ -122,3 +122,31 @@ def existence_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "events").select("user_id").distinct().select("user_id", F.concat(F.lit("has Người "), u, F.lit(" ever worked at Công ty "), (F.col("user_id") % 5).cast("string"), F.lit("?")).alias("x"))
     p, _, _ = P.predicate(F.col("x"))
     return s.select("user_id", F.regexp_extract("x", "has (.+) ever", 1).alias("subject"), p.alias("predicate"), F.regexp_extract("x", r"worked at ([^?]+)", 1).alias("value"))
+
+
+@query("prefetch_plan", f"WITH {_Q}, i AS (SELECT item_id, x, {_first(P.PREFETCH, 'operate')} AS intent FROM q) SELECT item_id, intent, t AS types, md5(x || '. Relevant ' || t) AS query_md5 FROM (SELECT *, CASE intent " + " ".join(f"WHEN '{k}' THEN '{' '.join(v)}'" for k, v in P.PREFETCHED.items()) + " END AS t FROM i)")
+def prefetch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each action will need, and the query that fetches it."""
+    i, t, text = P.prefetch(F.col("x"))
+    return _questions(spark, sf_dir).select("item_id", i.alias("intent"), F.array_join(t, " ").alias("types"), F.md5(text.cast("binary")).alias("query_md5"))
+
+
+@query("retrieval_states", """SELECT event_id, coalesce(mode, 'implement') AS mode, coalesce(mode, 'implement') IN ('debug', 'deploy') OR coalesce(stress, 'normal') = 'failure' OR coalesce(risk, 'medium') = 'high' AS prefer_exception, CASE WHEN coalesce(risk, 'medium') = 'high' THEN 'organization' ELSE 'project' END AS preferred_scope,
+ CASE WHEN event_id % 4 = 0 THEN 'a,b' WHEN event_id % 4 = 1 THEN '' WHEN event_id % 4 = 2 THEN 'own' END AS allowed FROM (SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN NULL WHEN event_type = 'error' THEN 'debug' ELSE 'refactor' END AS mode, CASE WHEN event_id % 5 = 0 THEN 'failure' END AS stress, CASE WHEN event_id % 7 = 0 THEN 'high' END AS risk FROM events)""")
+def retrieval_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each request says about how and where to retrieve."""
+    i = F.col("event_id")
+    mode = F.when(F.col("event_type") == "error", "debug").when(~F.col("event_type").isin("view", "click"), "refactor")
+    s = P.retrieval_state(mode, F.when(i % 5 == 0, "failure"), F.when(i % 7 == 0, "high"))
+    explicit = F.when(i % 4 == 0, F.array(F.lit("b"), F.lit("a"), F.lit("b"))).when(i % 4 == 1, F.array().cast("array<string>"))
+    e = table(spark, sf_dir, "events").select("event_id", s.alias("s"), P.allowed_workspaces(explicit, F.when(i % 4 == 2, "own")).alias("w"))
+    return e.select("event_id", "s.mode", "s.prefer_exception", "s.preferred_scope", F.array_join("w", ",").alias("allowed"))
+
+
+DIRECT = (("What is the branch name?", "branch_name", True), ("tell me the branch name", "branch_name", False), ("mật mã của kho là gì?", "verification_code", True), ("what is love?", None, False), ("the code, what is it?", "code", True))
+
+
+@query("direct_answers", f"SELECT doc_id, [{', '.join(str(d[2]).lower() for d in DIRECT)}][doc_id % 5 + 1] AS direct FROM documents")
+def direct_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda n: F.element_at(F.array(*[F.lit(d[n]) for d in DIRECT]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", P.answered_directly(pick(0), pick(1)).alias("direct"))

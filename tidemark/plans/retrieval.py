@@ -190,15 +190,6 @@ def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.packed(blocks, "conv_id", 400)
 
 
-@query("l2_rank", f"""WITH {MEMORIES_SQL}, r AS (SELECT memory_id, tenant, round(((memory_id % 17) / 16.0 * (0.8 + (memory_id % 11) / 25.0) * exp(-0.05 * CASE memory_type WHEN 'semantic' THEN 0.7 WHEN 'procedural' THEN 0.45 WHEN 'exception' THEN 0.35 ELSE 1 END / least(4.0, greatest(1.0, 1 + 0.6 * ln(1 + reinforcement))) * (memory_id % 60)))::DOUBLE, 6) AS score FROM memories),
-n AS (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY score DESC, memory_id) AS rank FROM r) SELECT * FROM n WHERE rank <= 5""")
-def l2_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("memory_id")
-    m = memories(spark, sf_dir)
-    score = i % 17 / 16.0 * (0.8 + i % 11 / 25.0) * S.l2_decay(F.col("memory_type"), S.durability(F.col("reinforcement")), i % 60)
-    return R.ranked(m.select("memory_id", "tenant", F.round(score, 6).alias("score")), "tenant", [F.desc("score"), "memory_id"], 5)
-
-
 @query("exact_recall", """WITH f AS (SELECT user_id, event_type AS kind, CAST(floor(value / 50) AS INTEGER) AS v, count(*) AS r, max(ts) AS seen FROM events GROUP BY ALL), s AS (SELECT *, round((1.1 * (0.65 + 0.35 * (v % 2)) + 0.5 + 0.22 * log2(r + 1))::DOUBLE, 6) AS score FROM f),
 w AS (SELECT *, row_number() OVER x AS n, lead(score) OVER x AS next_score, lead(v) OVER x AS next_v FROM s WINDOW x AS (PARTITION BY user_id, kind ORDER BY score DESC, v)) SELECT user_id, kind, v, score, coalesce(next_v <> v AND score - next_score < 0.35, false) AS conflict FROM w WHERE n = 1""")
 def exact_recall(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,12 +67,6 @@ def active_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memories(spark, sf_dir).where("lifecycle_state <> 'archived' and tenant = 'src2' and (workspace = 'en' or workspace is null)").select("memory_id")
 
 
-@query("governed_ingest", None)
-def governed_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ok, held = stores.governed(memories(spark, sf_dir).withColumn("source", F.lit("web:crawl")))
-    return ok.groupBy("memory_type").agg(F.count("*").alias("n"), F.lit("accepted").alias("fate")).unionByName(held.groupBy("memory_type").agg(F.count("*").alias("n"), F.lit("quarantined").alias("fate")))
-
-
 @query("jsonl_round_trip", "SELECT role, count(*) AS n, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1")
 def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, path = table(spark, sf_dir, "conversations"), folder(spark, "jsonl")

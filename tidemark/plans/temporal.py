@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import claims as C
 from tidemark.plans.registry import query
-from tidemark.sources.adapters import CLAIMS_SQL, claims
+from tidemark.sources.adapters import CLAIMS_SQL, claims, table
 
 SPANS_SQL = CLAIMS_SQL + """,
 opened AS (SELECT *, row_number() OVER k = 1 OR kind NOT IN ('assert', 'repeat') AS opens FROM claims WINDOW k AS (PARTITION BY subject, predicate, bucket ORDER BY observed_at, event_id)),
@@ -171,3 +171,25 @@ def late_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = F.col("observed_at") <= F.max("observed_at").over(w)
     c = claims(spark, sf_dir).withColumn("late", F.coalesce(late, F.lit(False)))
     return c.groupBy("predicate").agg(F.count_if("late").alias("late"), F.count_if(F.col("late") & (F.col("kind") == "correct")).alias("late_corrections"), F.count("*").alias("n"))
+
+
+@query("claim_selection", """WITH m AS (SELECT event_id AS i, user_id, event_id % 6 AS t FROM events), q AS (SELECT DISTINCT 'Trần ' || chr(65 + (user_id % 26)::INTEGER) AS subject FROM events)
+SELECT subject AS question_id, i AS memory_id, CASE WHEN t IN (0, 1) THEN 'structured' WHEN t = 2 THEN 'text' ELSE 'rescued' END AS by FROM m JOIN q ON q.subject = 'Trần ' || chr(65 + (m.user_id % 26)::INTEGER) WHERE t IN (0, 2) OR (t = 3 AND NOT EXISTS (SELECT 1 FROM m x WHERE x.t = 0 AND x.user_id % 26 = m.user_id % 26))""")
+def claim_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which memories a question about a salary reads: structured ones of the slot, older ones by their text, and, where there are
+    none of the first kind, such as name the slot only in words."""
+    t, who = F.col("event_id") % 6, F.concat(F.lit("Trần "), F.char(65 + F.col("user_id") % 26))
+    text = F.when(t == 3, F.concat(F.lit("lương của "), who, F.lit(" là 5"))).when(t == 4, F.concat(who, F.lit(" sống ở Huế"))).when(t == 5, F.lit("lương là 5")).otherwise(F.concat(F.lit("về "), who))
+    m = table(spark, sf_dir, "events").select(F.col("event_id").alias("memory_id"), F.when(t <= 1, who).alias("entity"), F.when(t == 1, "location").when(t.isin(0, 2), "salary").alias("slot"), text.alias("content"))
+    q = table(spark, sf_dir, "events").select(who.alias("subject")).distinct().select(F.col("subject").alias("question_id"), "subject", F.lit("salary").alias("predicate"))
+    return C.selected(m, q, rescue=True)
+
+
+@query("stored_windows", f"""WITH {SPANS_SQL}, s AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN TIMESTAMP '2020-01-01' END AS sf, CASE WHEN event_id % 8 = 0 THEN TIMESTAMP '2020-01-01' WHEN event_id % 4 = 0 THEN TIMESTAMP '2030-01-01' END AS st FROM spans)
+SELECT event_id, coalesce(sf, valid_from) AS valid_from, coalesce(st, valid_to) AS valid_to, CASE WHEN coalesce(coalesce(sf, valid_from) = coalesce(st, valid_to), false) THEN 'corrected' WHEN disputed THEN 'disputed' WHEN coalesce(st, valid_to) IS NOT NULL THEN 'superseded' ELSE 'open' END AS status FROM s""")
+def stored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that were written down override those derived; empty ones mean corrected."""
+    at = lambda s: F.lit(s).cast("timestamp_ntz")
+    i = F.col("event_id")
+    stored = table(spark, sf_dir, "events").where(i % 4 == 0).select("event_id", at("2020-01-01").alias("stored_from"), F.when(i % 8 == 0, at("2020-01-01")).otherwise(at("2030-01-01")).alias("stored_to"))
+    return C.with_stored(C.spans(claims(spark, sf_dir)), stored).select("event_id", "valid_from", "valid_to", "status")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -65,3 +65,49 @@ def retries(stream: DataFrame, most: int = 5) -> DataFrame:
 
     failed = stream.where("event_type = 'error'").select("user_id", "event_id")
     return failed.groupBy("user_id").applyInPandasWithState(count, "user_id long, attempts long, status string", "n long", "update", GroupStateTimeout.NoTimeout)
+
+
+def dependent(children: DataFrame, parents: DataFrame, within: str, late: str = "1 day") -> DataFrame:
+    """child_id, parent_id: purchases whose user's signup came before, at most `within` ago. A stream-stream join; the watermarks and
+    the time bound tell how long either side is remembered."""
+    timed = lambda s, kind, name: s.where(F.col("event_type") == kind).select(F.col("event_id").alias(f"{name}_id"), F.col("user_id").alias(f"{name}_user"), F.col("ts").cast("timestamp").alias(f"{name}_ts")).withWatermark(f"{name}_ts", late)
+    c, p = timed(children, "purchase", "child"), timed(parents, "signup", "parent")
+    return c.join(p, F.expr(f"child_user = parent_user AND child_ts >= parent_ts AND child_ts <= parent_ts + interval {within}")).select("child_id", "parent_id")
+
+
+class Control:
+    """A projection that can be paused, resumed and drained. Its state is in tables under one folder: a log of controls, the ledger by
+    batch, and the stream's checkpoint; so it goes on where it was after any failure."""
+
+    def __init__(self, spark: SparkSession, log: str, can_build: Column, root: str | None = None) -> None:
+        self.spark, self.log, self.can_build, self.root = spark, log, can_build, root or folder(spark, "control")
+
+    def _set(self, paused: bool) -> None:
+        self.spark.range(1).select(F.lit(paused).alias("paused"), F.expr("unix_micros(current_timestamp())").alias("at")).write.mode("append").parquet(f"{self.root}/controls")
+
+    def pause(self) -> None:
+        self._set(True)
+
+    def resume(self) -> None:
+        self._set(False)
+
+    @property
+    def paused(self) -> bool:
+        row = self.spark.read.schema("paused boolean, at long").parquet(f"{self.root}/controls").agg(F.max_by("paused", "at")).first()
+        return bool(row[0])
+
+    def run(self) -> tuple[int, int]:
+        """Projects what is there, unless paused: (rows projected so far, rows owed that can't be built)."""
+        return (0, 0) if self.paused else self.drain()
+
+    def drain(self) -> tuple[int, int]:
+        """Projects what is there, paused or not. What can't be built is counted, not tried forever."""
+        def write(batch: DataFrame, number: int) -> None:
+            batch.where(self.can_build).select("event_id").write.mode("overwrite").parquet(f"{self.root}/ledger/batch={number}")
+
+        owed = F.col("event_type").isin("purchase", "signup")
+        stream = events_stream(self.spark, self.log).where(owed)
+        stream.writeStream.option("checkpointLocation", f"{self.root}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+        done = self.spark.read.schema("event_id long").option("recursiveFileLookup", True).parquet(f"{self.root}/ledger")
+        left = self.spark.read.parquet(self.log).where(owed).select("event_id").join(done, "event_id", "left_anti")
+        return done.count(), left.count()
