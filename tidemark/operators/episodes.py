@@ -28,7 +28,7 @@ def search(episodes: DataFrame, queries: DataFrame, pool: int) -> DataFrame:
     the query's text.
     """
     folded = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " ")))
-    rows, out = M.tokenised(episodes.withColumn("folded", folded("text")), *COLUMNS, "folded"), []
+    rows, out = M.tokenised(M.dealt(episodes).withColumn("folded", folded("text")), *COLUMNS, "folded"), []
     schema = "item_id long, doc_id long, score double, age_hours double"
     for terms in M.passes(queries):
         n, _, df = M.corpus(rows, terms)

@@ -49,10 +49,10 @@ class Terms:
 def passes(queries: DataFrame) -> Iterator[Terms]:
     """queries: item_id, text. Their terms, in as many parts as their number asks for. Queries without a term are in none."""
     counts = queries.select("item_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("n"))
-    total = counts.count()
-    parts = max(1, -(-total // PAIRS))
+    some = counts.limit(PAIRS + 1).toArrow()
+    parts = 1 if some.num_rows <= PAIRS else -(-counts.count() // PAIRS)
     for p in range(parts):
-        rows = (counts if parts == 1 else counts.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p)).toArrow()
+        rows = some if parts == 1 else counts.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p).toArrow()
         items, item = np.unique(rows.column("item_id").to_numpy(), return_inverse=True)
         term = rows.column("term").combine_chunks().dictionary_encode()
         term = term.combine_chunks() if isinstance(term, pa.ChunkedArray) else term
@@ -115,13 +115,17 @@ def best(order: list[np.ndarray], allowed: np.ndarray, top: int) -> tuple[np.nda
 
 
 def dealt(rows: DataFrame) -> DataFrame:
-    """Rows of an input with fewer splits than there are cores, so of a bounded size, dealt out evenly; others stay as they are."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """Rows dealt out over all cores, if what they are read from is so small that there may be fewer splits than cores: a bounded
+    number of bytes. Larger inputs stay as they are. Only the plan is looked at; nothing runs."""
+    spark = rows.sparkSession
+    cores, split = spark.sparkContext.defaultParallelism, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return rows.repartition(cores) if size < cores * split else rows
 
 
 def tokenised(docs: DataFrame, *columns: str) -> DataFrame:
-    return dealt(docs).select(*columns, F.coalesce(T.tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
+    return docs.select(*columns, F.coalesce(T.tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
 
 
 def over(rows: DataFrame, terms: Terms, emit: Callable[[Block, Terms], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -150,7 +154,7 @@ def ranked(rows: DataFrame, by: str, order: list, top: int) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, top: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The best documents of each query: item_id, doc_id, score, rank; ties go to the smaller doc_id. One pass counts in how many
     documents each query term is and how long they are, the other scores."""
-    rows, out = tokenised(docs, "doc_id"), []
+    rows, out = tokenised(dealt(docs), "doc_id"), []
     for terms in passes(queries):
         n, length, df = corpus(rows, terms)
         distinct = np.ones(len(terms.item))
@@ -189,7 +193,7 @@ def corpus(rows: DataFrame, terms: Terms) -> tuple[int, float, np.ndarray]:
 
 def tf_cosine(docs: DataFrame, queries: DataFrame, least: int = 1) -> DataFrame:
     """item_id, doc_id, cosine of term-count vectors, overlap (shared distinct terms, `least` at least)."""
-    rows, out = tokenised(docs, "doc_id"), []
+    rows, out = tokenised(dealt(docs), "doc_id"), []
 
     def emit(block: Block, terms: Terms) -> Iterator[pa.RecordBatch]:
         ids, there = block.batch.column("doc_id").to_numpy(), (block.tf > 0).astype(float)
@@ -205,7 +209,7 @@ def tf_cosine(docs: DataFrame, queries: DataFrame, least: int = 1) -> DataFrame:
 
 def idf_coverage(docs: DataFrame, queries: DataFrame, least: float = 0.0) -> DataFrame:
     """Share of a query's idf mass, ln(1 + N / (1 + df)), that a document covers: item_id, doc_id, coverage over `least`."""
-    rows, out = tokenised(docs, "doc_id"), []
+    rows, out = tokenised(dealt(docs), "doc_id"), []
     for terms in passes(queries):
         n, _, df = corpus(rows, terms)
         idf = np.log(1 + n / (1 + df))

@@ -9,6 +9,7 @@ from tidemark.functions import lexicon as L
 from tidemark.functions import scores as S
 from tidemark.functions import text as T
 from tidemark.operators.governance import security_rank
+from tidemark.operators.matching import dealt
 
 KINDS = (*(name for name, _ in L.QUERY_TYPES), "factual")  #: order of by_kind
 
@@ -67,7 +68,7 @@ def strength(now: Column, state: dict[str, str]) -> Column:
 
 def candidates(memories: DataFrame, now: Column, as_of: Column | None, state: dict[str, str]) -> DataFrame:
     """Memories as matching.hybrid wants them. Columns: those of the memory, tags and context (maps), embedding, labels."""
-    return memories.select(
+    return dealt(memories).select(
         F.col("memory_id").cast("long").alias("memory_id"), F.col("content").alias("text"), "tenant", "workspace", security_rank(F.col("security_label")).alias("security"),
         F.coalesce(F.col("trust_tier").cast("int"), F.lit(0)).alias("trust_tier"), F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"),
         F.round(F.coalesce(strength(now, state), F.lit(0.0)), 9).alias("strength"), by_kind(as_of, state).alias("by_kind"), "embedding")
