@@ -14,8 +14,8 @@ from tidemark.functions.text import content_hash
 DOCTOR_VERSION = 3
 #: a projection waits for those of its event that it depends on
 DEPENDS = {"label": "memory"}
-#: weights of the faults a benchmark injects
-FAULTS = (("ok", 0.90), ("transient", 0.07), ("permanent", 0.02), ("duplicate", 0.01))
+# fixed values: weights of the faults a benchmark injects
+FAULTS = (("normal", 0.80), ("transient", 0.08), ("stale_lease", 0.04), ("dependency", 0.03), ("skipped", 0.02), ("permanent", 0.02), ("duplicate", 0.01))
 
 
 def schema_report(spark: SparkSession, tables: dict[str, DataFrame | None], wanted: dict[str, str]) -> DataFrame:

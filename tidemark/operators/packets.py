@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import scores as S
 from tidemark.operators.matching import ranked
 
-WORLD_TYPES = ("world_state", "relational", "spatial", "semantic", "self_model")
+# fixed values: memory types that speak of the world; what an agent's mode prefers; a memory's meaning without a vector
+WORLD_TYPES = ("world_state", "semantic", "relational", "spatial", "social")
 MODES = {"debug": {"exception": 0.25, "procedural": 0.25}, "implement": {"procedural": 0.35, "semantic": 0.18}, "refactor": {"semantic": 0.32, "procedural": 0.12}, "deploy": {"exception": 0.3, "procedural": 0.3}}
 NO_VECTOR = 0.6
 

@@ -28,6 +28,7 @@ ONTOLOGY = {
 DISCRIMINATING = {"lương": "salary", "thu nhập": "salary", "sinh nhật": "birthday", "địa chỉ": "location", "chức vụ": "role", "salary": "salary", "birthday": "birthday", "work": "employer"}
 # fixed values: first match decides
 ROUTER = (("recall", ("hôm qua", "lần trước", "nhớ không", "đã nói", "bao giờ")), ("knowledge", ("giải thích", "là gì", "tại sao", "cách nào", "so sánh")), ("task", ("giúp", "làm", "tạo", "viết", "sửa", "deploy", "build")))
+# fixed values: titles, words that name nothing, dates, and what tells a kind of time
 TITLES = {"anh", "chị", "em", "ông", "bà", "cô", "chú", "bác", "mr", "mrs", "ms"}
 STOP = {
     "vào", "ngày", "tháng", "năm", "hồi", "lúc", "khi", "thì", "là", "gì", "nào", "đâu", "ở", "của", "đang", "hiện", "tại", "bây", "giờ", "trước",
@@ -39,11 +40,13 @@ YEAR = r"\b((?:19|20)\d{2})\b"
 HISTORY = r"(những lần nào|mấy lần|bao nhiêu lần|đã (từng )?(đổi|thay đổi|chuyển)|lịch sử|history of|how many times|list the changes)"
 CURRENT = r"(hiện tại|bây giờ|hiện nay|đang|lúc này|currently|right now|now\b)"
 HISTORICAL = r"(?i)(vào ngày|hồi|trước đây|lúc trước|trước khi|sau khi|đã từng|\bwas\b|\bused to\b)"
+# fixed values: what each intent needs, and questions that an exact fact answers
 PREFETCHED = {
     "deploy": ("policy", "procedure", "world_state", "exception"), "debug": ("procedure", "episode", "causal", "world_state"), "review": ("policy", "fact", "episode", "evidence"), "communicate": ("social", "identity", "policy", "fact"),
     "plan": ("prospective", "causal", "counterfactual", "world_state"), "operate": ("procedure", "policy", "world_state", "prospective"),
 }
 STARTERS, ENDERS = ("what ", "which ", "whats ", "what's ", "ky ", "ký ", "mat ", "mật ", "pass", "secret", "code", "password"), ("la gi?", "là gì?", "is what?", "is it?")
+# fixed values: first match decides
 PREFETCH = (("deploy", ("deploy", "release", "production", "triển khai")), ("debug", ("debug", "fix", "error", "sửa lỗi")), ("review", ("review", "audit", "soi", "đánh giá")), ("communicate", ("email", "reply", "customer", "khách")), ("plan", ("plan", "strategy", "kế hoạch", "what if")))
 
 #: phrases of several words, the longest first; single words decide only through DISCRIMINATING

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 IMMUTABLE_ODDS = ((0.70, "repeat"), (0.85, "correct"), (1.0, "noise"))
 ASSERTED, REPEATED, CHANGED, NOISY, CONTRADICTED, CORRECTED, FORGOTTEN = 0.85, 0.28, 0.26, 0.62, 0.72, 0.80, 0.84
 FORGET_FROM = 0.25
-SAMPLE, SKEW, EVENTS, PERFECT, APART = 30, 0.9, 10, 0.95, 0.15
+SAMPLE, SKEW, EVENTS, PERFECT, APART = 8, 0.85, 10, 0.95, 0.15
 SENTENCES = {"assert": "% là $.", "repeat": "Nhắc lại, % là $.", "supersede": "Từ hôm nay, % là $.", "correct": "Đính chính: % là $.", "contradict": "Theo một nguồn khác, % là $.", "forget": "Hãy quên %.", "noise": "Hôm nay trời đẹp."}
 
 

@@ -188,10 +188,10 @@ def belief_conflict_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.kept_beliefs(left, right, "lang").select(F.col("left_id").alias("doc_id"))
 
 
-@query("governed_exceptions", f"""WITH {MEMORIES_SQL} SELECT x.memory_id AS exception_id, g.memory_id AS rule_id, CASE WHEN x.trust_tier >= 4 THEN 12 WHEN x.confidence >= 0.5 THEN 24 ELSE 6 END::INTEGER AS hours FROM memories x JOIN memories g ON x.tenant = g.tenant AND x.memory_id % 8 = 1 AND g.memory_id % 8 = 0""")
+@query("governed_exceptions", f"""WITH {MEMORIES_SQL} SELECT x.memory_id AS exception_id, g.memory_id AS rule_id, CASE WHEN x.trust_tier >= 4 THEN 12 WHEN x.confidence >= 0.5 THEN 24 ELSE 6 END::INTEGER AS hours FROM memories x JOIN memories g ON x.memory_id // 40 = g.memory_id // 40 AND x.memory_id % 8 = 1 AND g.memory_id % 8 = 0""")
 def governed_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which permissions except which prohibitions of their tenant and scope, and for how many hours they override them."""
+    """Which permissions except which prohibitions of their team (forty memories each) and scope, and for how many hours they override them."""
     m = memories(spark, sf_dir)
-    rules = m.select(F.col("memory_id").alias("id"), "tenant", pick([r[0] for r in RULES], "memory_id").alias("text"), pick([r[1] for r in RULES], "memory_id").alias("scope"))
+    rules = m.select(F.col("memory_id").alias("id"), F.floor(F.col("memory_id") / 40).alias("team"), pick([r[0] for r in RULES], "memory_id").alias("text"), pick([r[1] for r in RULES], "memory_id").alias("scope"))
     hours = F.when(F.col("trust_tier") >= 4, 12).when(F.col("confidence") >= 0.5, 24).otherwise(6)
-    return R.governed_pairs(rules, "tenant").join(m.select(F.col("memory_id").alias("exception_id"), hours.alias("hours")), "exception_id").select("exception_id", "rule_id", "hours")
+    return R.governed_pairs(rules, "team").join(m.select(F.col("memory_id").alias("exception_id"), hours.alias("hours")), "exception_id").select("exception_id", "rule_id", "hours")

@@ -137,7 +137,7 @@ def frozen_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FAULT = "(('0x' || left(sha256(event_id::VARCHAR), 8))::BIGINT::DOUBLE / 4294967295.0)"
 
 
-@query("fault_buckets", f"SELECT CASE WHEN {_FAULT} < 0.90 THEN 'ok' WHEN {_FAULT} < 0.97 THEN 'transient' WHEN {_FAULT} < 0.99 THEN 'permanent' ELSE 'duplicate' END AS bucket, count(*) AS n FROM events GROUP BY 1")
+@query("fault_buckets", f"SELECT CASE WHEN {_FAULT} < 0.80 THEN 'normal' WHEN {_FAULT} < 0.88 THEN 'transient' WHEN {_FAULT} < 0.92 THEN 'stale_lease' WHEN {_FAULT} < 0.95 THEN 'dependency' WHEN {_FAULT} < 0.97 THEN 'skipped' WHEN {_FAULT} < 0.99 THEN 'permanent' ELSE 'duplicate' END AS bucket, count(*) AS n FROM events GROUP BY 1")
 def fault_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which fault a benchmark injects for how many events."""
     return table(spark, sf_dir, "events").groupBy(O.fault_of(F.col("event_id")).alias("bucket")).agg(F.count("*").alias("n"))

@@ -42,7 +42,7 @@ def answerers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("integrity_report", f"""WITH RECURSIVE {_TRUTH}, sc AS ({_SCORED}), qq AS (SELECT CASE WHEN slot % 5 = 0 THEN 'historical' ELSE 'current' END AS family, CASE WHEN value IS NULL THEN 'decline' ELSE 'value' END AS expect FROM q), f AS (SELECT family, count(*) AS n FROM qq GROUP BY 1), k AS (SELECT family, max(c) AS k, sum(c) AS n FROM (SELECT family, expect, count(*) AS c FROM qq GROUP BY ALL) GROUP BY 1), b AS (SELECT score AS best FROM sc WHERE answerer = 'perfect')
-SELECT 'small_family' AS "check", family AS subject, n::DOUBLE AS figure FROM f WHERE n < 30 UNION ALL SELECT 'skewed_family', family, round(k / n::DOUBLE, 6) FROM k WHERE n >= 30 AND k / n::DOUBLE > 0.9 UNION ALL SELECT 'rare_event', kd, c::DOUBLE FROM (SELECT kd, (SELECT count(*) FROM world WHERE kind = kd) AS c FROM (SELECT unnest(['repeat', 'supersede', 'correct', 'forget']) AS kd)) WHERE c < 10
+SELECT 'small_family' AS "check", family AS subject, n::DOUBLE AS figure FROM f WHERE n < 8 UNION ALL SELECT 'skewed_family', family, round(k / n::DOUBLE, 6) FROM k WHERE n >= 8 AND k / n::DOUBLE > 0.85 UNION ALL SELECT 'rare_event', kd, c::DOUBLE FROM (SELECT kd, (SELECT count(*) FROM world WHERE kind = kd) AS c FROM (SELECT unnest(['repeat', 'supersede', 'correct', 'forget']) AS kd)) WHERE c < 10
 UNION ALL SELECT 'unreachable', answerer, score FROM sc WHERE answerer = 'perfect' AND score < 0.95 UNION ALL SELECT 'too_near', answerer, round(best - score, 6) FROM sc, b WHERE answerer <> 'perfect' AND best - score < 0.15""")
 def integrity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the questions of this world can tell right answerers from wrong ones, and where they can't."""
