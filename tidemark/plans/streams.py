@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import nearest_rank_time
 from tidemark.plans.registry import query
 from tidemark.sources import stores
 from tidemark.sources.adapters import MEMORIES_SQL, memories, table
@@ -90,5 +91,5 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("audit_replay", "SELECT event_id, ts, event_type FROM events WHERE ts BETWEEN (SELECT quantile_disc(ts, 0.4) FROM events) AND (SELECT quantile_disc(ts, 0.5) FROM events)")
 def audit_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
-    at = lambda q: e.agg(F.percentile_approx("ts", q, 1_000_000)).scalar()
+    at = lambda q: nearest_rank_time(e, "ts", q)
     return e.where((F.col("ts") >= at(0.4)) & (F.col("ts") <= at(0.5)))
