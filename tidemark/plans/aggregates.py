@@ -10,6 +10,7 @@ from tidemark.functions import text as T
 from tidemark.operators import graph as G
 from tidemark.operators import metrics as M
 from tidemark.operators import sequences as Q
+from tidemark.operators.quantiles import nearest_rank_time
 from tidemark.plans.registry import query
 from tidemark.sources.adapters import CLAIMS_SQL, MEMORIES_SQL, claims, memories, table
 
@@ -284,7 +285,7 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("split_proposal", "SELECT CASE WHEN ts < (SELECT quantile_disc(ts, 0.8) FROM events) THEN 'train' WHEN ts < (SELECT quantile_disc(ts, 0.9) FROM events) THEN 'validation' ELSE 'test' END AS part, count(*) AS n FROM events GROUP BY 1")
 def split_proposal(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("ts")
-    cut = lambda x: e.agg(F.percentile_approx("ts", x, 1_000_000)).scalar()
+    cut = lambda x: nearest_rank_time(e, "ts", x)
     return e.groupBy(F.when(F.col("ts") < cut(0.8), "train").when(F.col("ts") < cut(0.9), "validation").otherwise("test").alias("part")).agg(F.count("*").alias("n"))
 
 
