@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import claims as C
+from tidemark.operators.quantiles import nearest_rank_time
 from tidemark.plans.registry import query
 from tidemark.sources.adapters import CLAIMS_SQL, claims, table
 
@@ -24,8 +25,7 @@ spans AS (SELECT *, CASE WHEN disputed THEN 'disputed' WHEN retracted THEN 'corr
 
 def _at(spark: SparkSession, sf_dir: str):
     """The middle of the event log's time, as a scalar subquery."""
-    e = claims(spark, sf_dir)
-    return e.agg(F.percentile_approx(F.col("observed_at"), 0.5, 1_000_000)).scalar()
+    return nearest_rank_time(claims(spark, sf_dir), "observed_at", 0.5)
 
 
 MID_SQL = "(SELECT quantile_disc(observed_at, 0.5) FROM claims)"
