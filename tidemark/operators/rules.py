@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,20 +139,47 @@ def provenance(rows: Column, state: Column) -> Column:
     return same("workspace", 0.2) + same("version", 0.15) + same("task", 0.1)
 
 
+def text_classes(rows: DataFrame, key: str, scope: str, *more: str) -> DataFrame:
+    """key, scope, more, neg, pos, w and class of the rows with a marker: texts of the same words and markers share a class."""
+    w = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")))
+    out = rows.select(key, scope, *more, T.any_of(F.col("text"), TEXT_NEGATIVE).alias("neg"), T.any_of(F.col("text"), TEXT_POSITIVE).alias("pos"), w.alias("w")).where("neg or pos")
+    return out.withColumn("class", F.unhex(F.sha2(F.concat_ws(" ", F.col("neg").cast("string"), F.col("pos").cast("string"), "w").cast("binary"), 256)))
+
+
+def opposed_classes(a: DataFrame, b: DataFrame, scope: str) -> DataFrame:
+    """a, b: one row a scope and class. Pairs of a scope of which one forbids and the other allows, with three words in common; they
+    meet through their words, not pairwise."""
+    side = lambda rows, s: rows.select(scope, F.col("class").alias(f"{s}_class"), F.col("neg").alias(f"{s}_neg"), F.col("pos").alias(f"{s}_pos"), F.explode("w").alias("word"))
+    met = side(a, "a").join(side(b, "b"), [scope, "word"]).where("(a_neg and b_pos) or (a_pos and b_neg)")
+    return met.groupBy(scope, "a_class", "b_class").agg(F.count("*").alias("shared")).where("shared >= 3")
+
+
 def text_conflicts(left: DataFrame, right: DataFrame, scope: str) -> DataFrame:
     """left: left_id, scope, text. right: right_id, scope, text. Pairs of a scope of which one forbids and the other allows, with
-    three words in common. Rows without a marker are left out first; the rest meet through their words, not pairwise."""
-    side = lambda rows, key: rows.select(key, scope, T.any_of(F.col("text"), TEXT_NEGATIVE).alias("neg"), T.any_of(F.col("text"), TEXT_POSITIVE).alias("pos"), F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("w")).where("neg or pos")
-    a = side(left, "left_id").select("left_id", scope, F.col("neg").alias("a_neg"), F.col("pos").alias("a_pos"), F.explode("w").alias("word"))
-    b = side(right, "right_id").select("right_id", scope, F.col("neg").alias("b_neg"), F.col("pos").alias("b_pos"), F.explode("w").alias("word"))
-    met = a.join(b, [scope, "word"]).where("(a_neg and b_pos) or (a_pos and b_neg)")
-    return met.groupBy(scope, "left_id", "right_id").agg(F.count("*").alias("shared")).where("shared >= 3").select(scope, "left_id", "right_id", "shared")
+    three words in common. Rows without a marker are left out first; different texts meet through their words, once each however
+    many rows have them. The pairs of rows go straight into the result: each pair of classes is dealt over a grid, rows by their left
+    and columns by their right members, so that no class gathers in one task."""
+    a, b = text_classes(left, "left_id", scope), text_classes(right, "right_id", scope)
+    one = lambda rows: rows.groupBy(scope, "class").agg(*[F.first(c).alias(c) for c in ("neg", "pos", "w")])
+    shares = max(4, math.isqrt(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    own = lambda key: F.pmod(F.xxhash64(key), F.lit(shares)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))
+    pairs = opposed_classes(one(a), one(b), scope)
+    mine = a.select("left_id", scope, F.col("class").alias("a_class")).join(pairs, [scope, "a_class"]).select("left_id", scope, "b_class", "shared", own("left_id").alias("row"), every.alias("column"))
+    other = b.select("right_id", scope, F.col("class").alias("b_class"), every.alias("row"), own("right_id").alias("column"))
+    return mine.join(other, [scope, "b_class", "row", "column"]).select(scope, "left_id", "right_id", "shared")
 
 
 def kept_beliefs(beliefs: DataFrame, memories: DataFrame, scope: str) -> DataFrame:
-    """beliefs: left_id, text, score; memories: right_id, text, score. Beliefs that no stronger memory contradicts."""
-    pairs = text_conflicts(beliefs, memories, scope).join(beliefs.select("left_id", F.col("score").alias("own")), "left_id").join(memories.select("right_id", F.col("score").alias("other")), "right_id")
-    return beliefs.join(pairs.where("other > own").select("left_id").distinct(), "left_id", "left_anti")
+    """beliefs: left_id, text, score; memories: right_id, text, score. Beliefs that no stronger memory contradicts. Of each class of
+    equal texts only the strongest memory counts, so no pair of rows is made."""
+    a = text_classes(beliefs.select("left_id", scope, "text"), "left_id", scope)
+    b = text_classes(memories, "right_id", scope, "score").groupBy(scope, "class").agg(F.max("score").alias("score"), *[F.first(c).alias(c) for c in ("neg", "pos", "w")])
+    pairs = opposed_classes(a.groupBy(scope, "class").agg(*[F.first(c).alias(c) for c in ("neg", "pos", "w")]), b, scope)
+    strongest = pairs.join(b.select(scope, F.col("class").alias("b_class"), "score"), [scope, "b_class"]).groupBy(scope, "a_class").agg(F.max("score").alias("other"))
+    met = a.select("left_id", scope, F.col("class").alias("a_class")).join(strongest, [scope, "a_class"]).select("left_id", "other")
+    dropped = met.join(beliefs.select("left_id", F.col("score").alias("own")), "left_id").where("other > own").select("left_id").distinct()
+    return beliefs.join(dropped, "left_id", "left_anti")
 
 
 def governed_pairs(rules: DataFrame, by: str) -> DataFrame:
