@@ -9,6 +9,7 @@ from tidemark.functions import scores as S
 from tidemark.functions import text as T
 from tidemark.operators import graph as G
 from tidemark.operators import metrics as M
+from tidemark.operators import overlaps as O
 from tidemark.operators import sequences as Q
 from tidemark.operators.quantiles import nearest_rank_time
 from tidemark.plans.registry import query
@@ -309,6 +310,6 @@ def rule_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of one scope with opposite polarity and much the same words."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
     t = memories(spark, sf_dir).where("memory_type = 'policy'").select("memory_id", "tenant", (F.floor(F.col("memory_id") / 60) % 2).alias("polarity"), words.alias("w"))
-    a, b = (t.select("tenant", *[F.col(c).alias(f"{c}_{s}") for c in ("memory_id", "polarity", "w")]) for s in "ab")
-    j = a.join(b, "tenant").where("polarity_a <> polarity_b and memory_id_a < memory_id_b").withColumn("overlap", S.jaccard(F.col("w_a"), F.col("w_b")))
-    return j.where("overlap >= 0.03").select(F.col("memory_id_a").alias("a"), F.col("memory_id_b").alias("b"), F.round("overlap", 6).alias("overlap"))
+    side = lambda p: t.where(F.col("polarity") == p).select("tenant", F.col("memory_id").alias("id"), "w")
+    j = O.overlapping(side(0), side(1), "tenant", 0.03)
+    return j.select(F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b"), F.round("overlap", 6).alias("overlap"))
