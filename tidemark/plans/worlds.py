@@ -107,15 +107,19 @@ def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("jdbc_round_trip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def jdbc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table written to one database, copied to another in ranges of its key, and read back."""
-    import uuid
+    """A table written to one database, copied to another in ranges of its key, and read back. The databases are embedded ones of the driver."""
+    import os
+    import tempfile
 
-    name = uuid.uuid4().hex[:8]
-    a, b = (f"jdbc:derby:memory:{x}{name};create=true" for x in "ab")
     nation = table(spark, sf_dir, "nation")
-    nation.write.format("jdbc").option("url", a).option("dbtable", "nation").option("driver", "org.apache.derby.iapi.jdbc.AutoloadedDriver").option("createTableColumnTypes", "n_name VARCHAR(64)").save()
-    stores.copy_table(spark, a, b, "nation", key='"n_nationkey"', parts=3, low=0, high=25)
-    return stores.read_table(spark, b, "nation").select(*nation.columns)
+    with tempfile.TemporaryDirectory(prefix="tidemark-") as top:
+        a, b = (f"jdbc:derby:{os.path.realpath(top)}/{x};create=true" for x in "ab")
+        stores.write_table(nation, a, "nation", createTableColumnTypes="n_name VARCHAR(64)")
+        stores.copy_table(spark, a, b, "nation", key='"n_nationkey"', parts=3, low=0, high=25)
+        got = stores.read_table(spark, b, "nation").select(*nation.columns)
+        for url in (a, b):
+            stores.closed(spark, url)
+    return got
 
 
 @query("vector_scroll", "SELECT vec_id, label, ((row_number() OVER (ORDER BY vec_id) - 1) // 64)::INTEGER AS page FROM embeddings WHERE vec_id % 10 <> 3")
