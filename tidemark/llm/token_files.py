@@ -10,7 +10,6 @@ from __future__ import annotations
 import functools
 import json
 import os
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -26,10 +25,10 @@ from tidemark.llm.common import arrow, documents, partitions_for, shared_dir, sl
 from tidemark.llm.ordered import packed, range_ends, unpacked
 
 CHUNK_TOKENS = 1 << 20  #: a chunk ends with the document that reaches this many ids
+RUN_BYTES = 1 << 16  #: pieces encoded in one go, about
 PIECES = 700_000  #: pieces a worker remembers, about 60 MB; when full, it keeps those met again
 #: bytes that may follow a space at which a text is cut: not white space, nor a lead byte of characters among which some is
 _CUT = np.array([not (0x09 <= b <= 0x0D or 0x1C <= b <= 0x20 or b in (0xC2, 0xE1, 0xE2, 0xE3)) for b in range(256)])
-_PLAIN = re.compile(rb" [^\x09-\x0D\x1C-\x20<\xC2\xE1-\xE3]+", re.DOTALL)
 FILE_SCHEMA = "shard int, chunk int, before long, n_docs int, n_tokens long, doc_ids binary, lengths binary, payload binary"
 _FILE = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("payload", pa.binary())])
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -53,31 +52,46 @@ class Encoder:
         shown = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(shown.values()) + 1, np.int64)  # bytes of each token's text
         self.width[list(shown.values())] = [len(t) for t in shown]
+        for i, t in self.tokenizer.get_added_tokens_decoder().items():
+            self.width[i] = len(t.content.encode())
+        self.no_unknown = (spec.get("model") or {}).get("unk_token") is None  # then a byte without a token leaves no trace
         self.memo = PieceMemo(self._pieces, pieces)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all pieces in a row, number of ids of each). Pieces that start with a space and hold no other white space
-        are encoded in one go, and the ids dealt back by the bytes that each token stands for."""
+        """(ids of all pieces in a row, number of ids of each). Pieces that start as a cut does may follow any others: they are
+        encoded many at a time, and the ids dealt back by the bytes that each token stands for. The others, first in their texts, go one by one."""
+        flat = np.frombuffer(b"".join(pieces) + b" ", np.uint8)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        starts = np.cumsum(size) - size
+        follows = (size > 1) & (flat[starts] == 32) & _CUT[flat[starts + 1]]
         counts, parts = np.zeros(len(pieces), np.int64), []
-        plain = [_PLAIN.fullmatch(p) is not None for p in pieces]
-        at = 0
-        while at < len(pieces):
-            to = at + 1
-            if plain[at]:
-                while to < len(pieces) and plain[to] and to - at < 8192:
-                    to += 1
-            ids = self._ids(b"".join(pieces[at:to]).decode())
-            if to - at > 1:
-                ends = np.cumsum(np.fromiter(map(len, pieces[at:to]), np.int64, to - at))
-                counts[at:to] = np.diff(np.searchsorted(np.cumsum(self.width[ids]), ends, "right"), prepend=0)
-            else:
-                counts[at] = len(ids)
-            parts.append(ids)
-            at = to
-        return np.concatenate([*parts, np.zeros(0, np.uint32)]), counts
+        some = np.flatnonzero(follows)
+        alone = [np.flatnonzero(~follows)]
+        runs = np.cumsum(size[some]) // RUN_BYTES
+        edges = np.flatnonzero(np.diff(runs, prepend=-1))
+        for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(some)], strict=False):
+            own = some[i:j].copy()
+            ids = self._ids(b"".join([pieces[k] for k in own.tolist()]).decode())
+            ends = np.cumsum(self.width[ids])
+            if self.no_unknown and len(ids) and ends[-1] == size[own].sum():
+                counts[own] = np.diff(np.searchsorted(ends, np.cumsum(size[own]), "right"), prepend=0)
+                parts.append(ids)
+            else:  # some bytes have no token of their own
+                some[i:j] = -1
+                alone.append(own)
+        lone = np.concatenate(alone)
+        for i in range(0, len(lone), 1024):
+            got = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast([pieces[k].decode() for k in lone[i : i + 1024].tolist()], add_special_tokens=False)]
+            counts[lone[i : i + 1024]] = [len(x) for x in got]
+            parts += got
+        ids, order = np.concatenate([*parts, np.zeros(0, np.uint32)]), np.concatenate([some[some >= 0], lone])
+        n = counts[order]
+        start = np.zeros(len(pieces), np.int64)
+        start[order] = np.cumsum(n) - n
+        return ids[np.repeat(start - (np.cumsum(counts) - counts), counts) + np.arange(len(ids))], counts
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each)."""
